@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,6 @@ def spi(monthly: DataFrame, keys: list[str], value: str, scale: int, date: str =
     The ``scale``-month sums are fitted by the closed-form maximum-likelihood approximation from two
     averages; zeros keep their own probability mass.
     """
-    import numpy as np
-    import pandas as pd
-
     from ..functions.fits import gamma_cdf
 
     @F.pandas_udf("double")

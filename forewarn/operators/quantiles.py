@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import past
+from .windows import along, past, whole
 
 
 def block_maxima(df: DataFrame, keys: list[str], value: str, block: Column, name: str = "block",
@@ -32,13 +32,15 @@ def thresholds(df: DataFrame, keys: list[str], value: str, percents: list[int],
                     F.round(F.col("_p.threshold"), decimals).alias("threshold")))
 
 
-def threshold_array(df: DataFrame, keys: list[str], value: str, percents: list[int],
-                    decimals: int = 6) -> DataFrame:
-    """The same thresholds as one ascending array per key."""
+def with_levels(df: DataFrame, keys: list[str], value: str, percents: list[int],
+                decimals: int = 6, out: str = "levels") -> DataFrame:
+    """The same thresholds as one ascending array on every row of the series.
+
+    A whole-partition window reuses the partitioning of the series; nothing is read twice or joined.
+    """
     probs = F.array(*[F.lit(p / 100.0) for p in sorted(percents)])
-    q = F.percentile(value, probs)
-    return df.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, F.transform("_q", lambda x: F.round(x, decimals)).alias("levels"))
+    df = df.withColumn(out, F.percentile(value, probs).over(whole(keys)))
+    return df.withColumn(out, F.transform(out, lambda x: F.round(x, decimals)))
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, amounts: list[str],
@@ -95,7 +97,6 @@ def quantiles_of_rows(df: DataFrame, keys: list[str], value: str, percents: list
 
 def l_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """First three L-moments of each key's block maxima (bounded by the number of blocks)."""
-    from .windows import along, whole
     ranked = df.withColumns({"_r": F.row_number().over(along(keys, value)),
                              "_n": F.count(F.lit(1)).over(whole(keys))})
     r, n, x = F.col("_r"), F.col("_n"), F.col(value)

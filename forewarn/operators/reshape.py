@@ -57,11 +57,15 @@ def to_wide(df: DataFrame, keys: list[str], name: str, names: list, agg: Column)
     return df.groupBy(*keys).pivot(name, names).agg(agg)
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], prefix: str,
+def number_within(df: DataFrame, keys: list[str], order: list[str], prefix: str, most: int,
                   out: str = "slot") -> DataFrame:
-    """Label rows ``prefix1``, ``prefix2`` ... within the key."""
+    """Label the first ``most`` rows of each key ``prefix1``, ``prefix2`` ...
+
+    The filter on the row number lets Spark keep ``most`` rows per key and task before the shuffle.
+    """
     rn = F.row_number().over(along(keys, order))
-    return df.withColumn(out, F.concat(F.lit(prefix), rn.cast("string")))
+    return (df.withColumn("_rn", rn).where(F.col("_rn") <= most)
+            .withColumn(out, F.concat(F.lit(prefix), F.col("_rn").cast("string"))).drop("_rn"))
 
 
 def repeat_months(df: DataFrame, year: str, months: list[tuple[int, int]]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import along, future, past
+from .windows import ahead, along, past, whole
 
 
 def collapse(df: DataFrame, keys: list[str], date: str, aggs: dict[str, Column],
@@ -37,8 +37,23 @@ def scaffold(df: DataFrame, keys: list[str], date: str = "date", step: str = "1
 
 def densify(df: DataFrame, keys: list[str], date: str = "date", step: str = "1 day",
             start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """The series on its full calendar, with null where nothing was observed."""
-    return scaffold(df, keys, date, step, start, end).join(df, [*keys, date], "left")
+    """The series on its full calendar, with null where nothing was observed.
+
+    Every row opens the steps up to the next one, so the calendar is made where the series lies: the
+    input is neither read twice nor joined to a scaffold. ``start`` and ``end`` widen all keys to one
+    span. Rows must be unique per key and date.
+    """
+    w = along(keys, date)
+    unit = F.expr(f"INTERVAL {step}")
+    lo, hi = F.col(date), (F.lead(date).over(w) - unit).cast("date")
+    if start is not None:
+        lo = F.when(F.lag(date).over(w).isNull(), F.least(start, F.col(date))).otherwise(F.col(date))
+    last = F.col(date) if end is None else F.greatest(end, F.col(date))
+    opened = df.withColumns({"_lo": lo, "_hi": F.coalesce(hi, last)})
+    values = [c for c in df.columns if c not in (*keys, date)]
+    days = opened.withColumn("_step", F.explode(F.sequence("_lo", "_hi", unit)))
+    kept = [F.when(F.col("_step") == F.col(date), F.col(c)).alias(c) for c in values]
+    return days.select(*keys, F.col("_step").alias(date), *kept)
 
 
 def locf(df: DataFrame, keys: list[str], cols: list[str], date: str = "date",
@@ -48,7 +63,9 @@ def locf(df: DataFrame, keys: list[str], cols: list[str], date: str = "date",
     for c in cols:
         filled = F.last(c, ignorenulls=True).over(past(keys, date))
         if direction == "downup":
-            filled = F.coalesce(filled, F.first(c, ignorenulls=True).over(future(keys, date)))
+            # only the gap before the first observation is left
+            earliest = F.min_by(c, F.when(F.col(c).isNotNull(), F.col(date))).over(whole(keys))
+            filled = F.coalesce(filled, earliest)
         out[c] = filled
     return df.withColumns(out)
 
@@ -59,8 +76,8 @@ def interpolate(df: DataFrame, keys: list[str], value: str, date: str = "date",
     seen = F.when(F.col(value).isNotNull(), F.col(date))
     prev_v = F.last(value, ignorenulls=True).over(past(keys, date))
     prev_d = F.last(seen, ignorenulls=True).over(past(keys, date))
-    next_v = F.first(value, ignorenulls=True).over(future(keys, date))
-    next_d = F.first(seen, ignorenulls=True).over(future(keys, date))
+    next_v = F.last(value, ignorenulls=True).over(ahead(keys, date))
+    next_d = F.last(seen, ignorenulls=True).over(ahead(keys, date))
     gap = F.datediff(next_d, prev_d)
     line = prev_v + (next_v - prev_v) * F.try_divide(
         F.datediff(F.col(date), prev_d).cast("double"), gap.cast("double"))

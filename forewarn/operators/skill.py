@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,9 +168,6 @@ def bootstrap_wacc(counts: DataFrame, keys: list[str], resamples: int = 1000,
     Resampling ``n`` confusion outcomes with replacement is a multinomial draw from the four counts,
     so each replicate costs one draw instead of ``n`` rows.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("tp double, fp double, tn double, fn double")
     def draw(s: pd.Series, tp: pd.Series, fp: pd.Series, tn: pd.Series,
              fn: pd.Series) -> pd.DataFrame:
@@ -198,9 +197,6 @@ def random_baseline(labels: DataFrame, keys: list[str], label: str, p: float = 0
     Flipping a coin per row makes the true and false positives binomial in the class sizes; only
     those two counts per key are needed.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("tp double, fp double")
     def flip(s: pd.Series, n_pos: pd.Series, n_neg: pd.Series) -> pd.DataFrame:
         out = np.empty((len(s), 2))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 
@@ -21,8 +22,13 @@ def past(keys: list[str], order: str | list[str]) -> WindowSpec:
     return along(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def future(keys: list[str], order: str | list[str]) -> WindowSpec:
-    return along(keys, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def ahead(keys: list[str], order: str) -> WindowSpec:
+    """The current and all later rows, nearest first.
+
+    Read backwards, so that each row adds to a running state; a frame that ends at the last row
+    would be evaluated anew for every row.
+    """
+    return past(keys, [F.desc(order)])
 
 
 def whole(keys: list[str]) -> WindowSpec:

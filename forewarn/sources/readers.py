@@ -77,7 +77,7 @@ def read_sheets(spark: SparkSession, path: str, skip: int, sep: str = ";") -> Da
     A sheet is one station's file and is read as one row; the header fills down by position within it.
     """
     from ..operators.windows import past
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("sheet"), F.posexplode(F.split("value", "\n")))
     rows = files.where((F.col("pos") >= skip) & (F.trim("col") != ""))
     year = F.nullif(F.regexp_extract("col", r"^Year:\s*(\d{4})", 1), F.lit("")).cast("int")

@@ -79,7 +79,7 @@ def live_triggers(stream: DataFrame, key: str, ts: str, exceeds: str, day_range:
     """Emit the days on which a new peak range opens, from the state of each station.
 
     The state is the last exceedance day. A day opens a range when it exceeds and the previous
-    exceedance is at least ``day_range`` days back. Rows of a batch arrive in Arrow chunks and are
+    exceedance is more than ``day_range`` days back. Rows of a batch arrive in Arrow chunks and are
     reduced to distinct days before they are ordered; a day already covered by the state is ignored.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -93,7 +93,7 @@ def live_triggers(stream: DataFrame, key: str, ts: str, exceeds: str, day_range:
         for d in sorted(days):
             if last is not None and d <= last:
                 continue
-            if last is None or d - last >= day_range:
+            if last is None or d - last > day_range:
                 fired.append(d)
             last = d
         if last is not None:
