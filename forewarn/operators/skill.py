@@ -239,3 +239,70 @@ def single_cue_counts(long: DataFrame, keys: list[str], cue: str, value: str,
     return cum.select(*by, F.col(value).alias("cut"), F.col("pos").alias("at_pos"),
                       F.col("neg").alias("at_neg"), tp.alias("tp"), fp.alias("fp"),
                       (F.col("_n") - fp).alias("tn"), (F.col("_p") - tp).alias("fn"))
+
+
+def day_sweep(series: DataFrame, keys: list[str], value: str, event: str, levels: str,
+              percents: list[int]) -> DataFrame:
+    """Day-level confusion counts of every threshold from one histogram per key."""
+    b = F.when(F.col(value).isNull(), 0).otherwise(
+        F.size(F.filter(levels, lambda t: F.col(value) >= t)))
+    hist = series.groupBy(*keys, b.alias("_b"), F.col(event).alias("_ev")).agg(F.count("*").alias("_n"))
+    grid = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(p).alias("percent"))
+                     for i, p in enumerate(sorted(percents))])
+    flat = hist.withColumn("_g", F.explode(grid))
+    over = F.col("_b") >= F.col("_g.k")
+
+    def total(cond: Column) -> Column:
+        return F.sum(F.when(cond, F.col("_n")).otherwise(0)).cast("bigint")
+
+    ev = F.col("_ev") == 1
+    return flat.groupBy(*keys, F.col("_g.percent").alias("percent")).agg(
+        total(ev & over).alias("tp"), total(~ev & over).alias("fp"),
+        total(~ev & ~over).alias("tn"), total(ev & ~over).alias("fn"))
+
+
+def leave_one_out_cue(long: DataFrame, keys: list[str], row: str, cue: str, value: str,
+                      label: str) -> DataFrame:
+    """Leave-one-out test of the best single cue and cut by weighted accuracy.
+
+    Taking one row out changes the counts of a cut by one, on the side the row lies on. So the best cut
+    below and the best at or above a value are running maxima over the cuts, computed once for each
+    class; every held-out row looks its pair up instead of refitting. Ties go to the smaller cut, then
+    to the cue first in the alphabet.
+    """
+    by = [*keys, cue]
+    cuts = single_cue_counts(long, keys, cue, value, label)
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    pos, neg = tp + fn, tn + fp
+
+    def wacc(t: Column, p: Column, c: Column, n: Column) -> Column:
+        return (F.lit(0.75) * F.coalesce(ratio(t, p), F.lit(0.0))
+                + F.lit(0.25) * F.coalesce(ratio(c, n), F.lit(0.0)))
+
+    def best(score: Column, frame) -> Column:
+        return F.max(F.struct(score.alias("w"), (-F.col("cut")).alias("c"))).over(frame)
+
+    before = earlier(by, "cut")
+    onward = past(by, [F.desc("cut")])
+    sides = cuts.withColumns({
+        "_lo1": best(wacc(tp, pos - 1, tn, neg), before),
+        "_hi1": best(wacc(tp - 1, pos - 1, tn, neg), onward),
+        "_lo0": best(wacc(tp, pos, tn - 1, neg - 1), before),
+        "_hi0": best(wacc(tp, pos, tn, neg - 1), onward)})
+    rows = long.where(F.col(value).isNotNull()).select(*by, row, F.col(value).alias("cut"), label)
+    met = rows.join(sides, [*by, "cut"])
+    lo = F.when(F.col(label) == 1, F.col("_lo1")).otherwise(F.col("_lo0"))
+    hi = F.when(F.col(label) == 1, F.col("_hi1")).otherwise(F.col("_hi0"))
+    met = met.withColumns({"_lo": lo, "_hi": hi})
+    lower = F.col("_lo").isNotNull() & (F.col("_lo.w") >= F.col("_hi.w"))
+    met = met.select(*keys, row, cue, label, F.when(lower, 0).otherwise(1).alias("pred"),
+                     F.when(lower, F.col("_lo.w")).otherwise(F.col("_hi.w")).alias("w"))
+    chosen = met.groupBy(*keys, row).agg(
+        F.min_by(F.struct("pred", label), F.struct((-F.col("w")).alias("a"), F.col(cue).alias("b"))).alias("r"))
+    counts = confusion(chosen.select(*keys, "r.*"), keys, label, "pred")
+    p, n = tp + fn, tn + fp
+    return counts.withColumns({
+        "far": F.round(ratio(fp, n), 6), "ms": F.round(ratio(fn, p), 6), "cr": F.round(ratio(tn, n), 6),
+        "hr": F.round(ratio(tp, p), 6), "npv": F.round(ratio(tn, tn + fn), 6),
+        "ppv": F.round(ratio(tp, tp + fp), 6),
+        "wacc": F.round(F.lit(0.75) * ratio(tp, p) + F.lit(0.25) * ratio(tn, n), 6)})
