@@ -47,6 +47,15 @@ def add_missing(a: Column, b: Column) -> Column:
     return a + F.coalesce(b, F.lit(0))
 
 
+def once(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often the body mentions it.
+
+    Without the binding the optimizer copies ``c`` into every mention, and nested formulas grow beyond
+    what it can handle.
+    """
+    return F.transform(F.array(c), body)[0]
+
+
 def _poly(coefs, x: Column) -> Column:
     out = F.lit(coefs[0])
     for c in coefs[1:]:
@@ -56,20 +65,23 @@ def _poly(coefs, x: Column) -> Column:
 
 def norm_ppf(p: Column) -> Column:
     """Inverse of the standard normal distribution; null outside (0, 1)."""
+    return once(p.cast("double"), _norm_ppf)
+
+
+def _norm_ppf(p: Column) -> Column:
     one = F.lit(1.0)
-    q_mid = p - F.lit(0.5)
-    r = q_mid * q_mid
-    central = _poly(PPF_A, r) * q_mid / (_poly(PPF_B, r) * r + one)
-    q_lo = F.sqrt(F.lit(-2.0) * F.ln(F.when(p > 0, p)))
-    q_hi = F.sqrt(F.lit(-2.0) * F.ln(F.when(p < 1, one - p)))
 
-    def tail(q: Column) -> Column:
-        return _poly(PPF_C, q) / (_poly(PPF_D, q) * q + one)
+    def central(q: Column) -> Column:
+        return once(q * q, lambda r: _poly(PPF_A, r) * q / (_poly(PPF_B, r) * r + one))
+
+    def tail(x: Column) -> Column:
+        return once(F.sqrt(F.lit(-2.0) * F.ln(x)),
+                    lambda q: _poly(PPF_C, q) / (_poly(PPF_D, q) * q + one))
 
     return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-            .when(p < PPF_LOW, tail(q_lo))
-            .when(p <= 1 - PPF_LOW, central)
-            .otherwise(-tail(q_hi)))
+            .when(p < PPF_LOW, tail(p))
+            .when(p <= 1 - PPF_LOW, central(p - F.lit(0.5)))
+            .otherwise(-tail(one - p)))
 
 
 def _gamma_upper(x: Column) -> Column:
@@ -83,8 +95,11 @@ def _gamma_upper(x: Column) -> Column:
 
 def gamma_fn(x: Column) -> Column:
     """Gamma function; the reflection formula covers arguments below one half."""
-    low = F.lit(math.pi) / (F.sin(F.lit(math.pi) * x) * _gamma_upper(F.lit(1.0) - x))
-    return F.when(x < 0.5, low).otherwise(_gamma_upper(x))
+    def body(v: Column) -> Column:
+        low = F.lit(math.pi) / (F.sin(F.lit(math.pi) * v) * _gamma_upper(F.lit(1.0) - v))
+        return F.when(v < 0.5, low).otherwise(_gamma_upper(v))
+
+    return once(x.cast("double"), body)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

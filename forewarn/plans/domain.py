@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from ..operators.series import attach_flag, collapse, densify, locf
 
 COMMON: dict[str, str] = {
+    "impact_reports": """
+SELECT CAST(c_nationkey AS BIGINT) AS zone, CAST(o_orderdate AS DATE) AS date,
+       o_totalprice AS severity, o_orderkey AS report
+FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
+    "event_days": """SELECT DISTINCT zone, date FROM impact_reports""",
     "station_days": """
 SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value,
        round(sum(l_extendedprice), 2) AS rain FROM lineitem GROUP BY 1, 2""",
@@ -45,12 +51,6 @@ SELECT zone, date, coalesce(
     "zone_months": """
 SELECT zone, CAST(date_trunc('month', date) AS DATE) AS date, sum(value) AS value,
        round(sum(rain), 2) AS rain FROM zone_days GROUP BY 1, 2""",
-    "events": """
-SELECT CAST(c_nationkey AS BIGINT) AS zone, CAST(o_orderdate AS DATE) AS date,
-       o_totalprice AS severity, o_orderkey AS report
-FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
-    "event_days": """SELECT DISTINCT zone, date FROM events""",
     "zone_flagged": """
 SELECT f.zone, f.date, f.value, f.rain, CASE WHEN e.zone IS NULL THEN 0 ELSE 1 END AS event
 FROM zone_filled f LEFT JOIN event_days e USING (zone, date)""",

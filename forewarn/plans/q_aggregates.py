@@ -27,7 +27,7 @@ def _(spark, sf):
 
 @query("a02_grouping_sets", """
 SELECT coalesce(r_name, '-') AS region, coalesce(n_name, '-') AS zone, coalesce(c_mktsegment, '-') AS segment,
-  round(sum(severity), 2) AS affected FROM events JOIN orders ON report = o_orderkey
+  round(sum(severity), 2) AS affected FROM impact_reports JOIN orders ON report = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name), (n_name), (c_mktsegment))""")
 def _(spark, sf):
@@ -44,7 +44,7 @@ def _(spark, sf):
 
 
 @query("a03_event_counts", """
-SELECT zone, count(*) AS reports, count(DISTINCT date) AS event_days FROM events GROUP BY zone ORDER BY reports DESC, zone""")
+SELECT zone, count(*) AS reports, count(DISTINCT date) AS event_days FROM impact_reports GROUP BY zone ORDER BY reports DESC, zone""")
 def _(spark, sf):
     daily = D.events(spark, sf).groupBy("zone", "date").agg(F.count("*").alias("n"))
     return daily.groupBy("zone").agg(F.sum("n").alias("reports"), F.count("*").alias("event_days")).orderBy(
@@ -68,7 +68,7 @@ SELECT m.zone, m.year, m.season, round(avg(m.value), 6) AS value_mean, min(m.val
   round(sum(m.rain), 2) AS rain_sum, max(CASE WHEN e.zone IS NULL THEN 0 ELSE 1 END) AS any_event FROM (
   SELECT *, year(date) AS year, CASE WHEN month(date) IN (3,4,5) THEN 1 WHEN month(date) IN (7,8,9) THEN 2
     ELSE 3 END AS season FROM zone_months) m
-LEFT JOIN (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM events) e USING (zone, date)
+LEFT JOIN (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports) e USING (zone, date)
 GROUP BY 1, 2, 3""")
 def _(spark, sf):
     ev = D.event_days(spark, sf).select("zone", F.trunc("date", "month").alias("date"))
@@ -194,7 +194,7 @@ def _(spark, sf):
 
 @query("a15_first_per_key", """
 SELECT zone, date, severity FROM (SELECT *, row_number() OVER (PARTITION BY zone, date
-  ORDER BY severity DESC, report) AS rn FROM events) WHERE rn = 1""")
+  ORDER BY severity DESC, report) AS rn FROM impact_reports) WHERE rn = 1""")
 def _(spark, sf):
     return T.best_row(D.events(spark, sf), ["zone", "date"], -F.col("severity"), F.col("report")).select(
         "zone", "date", "severity")
@@ -360,7 +360,7 @@ def _(spark, sf):
 
 @query("a30_yearly_labels", """
 WITH m AS (SELECT zone AS admin, (zone * 7) % 6 AS lz FROM zone_shapes),
-y AS (SELECT zone AS admin, year(date) AS year, max(severity) AS affected FROM events GROUP BY 1, 2)
+y AS (SELECT zone AS admin, year(date) AS year, max(severity) AS affected FROM impact_reports GROUP BY 1, 2)
 SELECT 'admin' AS level, admin AS zone, year, affected FROM y
 UNION ALL SELECT 'livelihood', lz, year, max(affected) FROM y JOIN m USING (admin) GROUP BY 2, 3""")
 def _(spark, sf):
@@ -372,7 +372,7 @@ def _(spark, sf):
 
 @query("a31_yearly_totals", """
 WITH y AS (SELECT unnest(generate_series(min(year(date)) - 1, max(year(date)) + 1)) AS year FROM zone_days),
-e AS (SELECT year(date) AS year, count(*) AS events, count(*) FILTER (severity > 250000) AS severe FROM events GROUP BY 1)
+e AS (SELECT year(date) AS year, count(*) AS events, count(*) FILTER (severity > 250000) AS severe FROM impact_reports GROUP BY 1)
 SELECT y.year, CASE WHEN y.year < 1998 THEN 'train' ELSE 'test' END AS split, coalesce(events, 0) AS events,
   coalesce(severe, 0) AS severe FROM y LEFT JOIN e USING (year)""")
 def _(spark, sf):
@@ -392,7 +392,7 @@ def _(spark, sf):
 
 @query("o02_top_zones", """
 SELECT zone, affected FROM (SELECT *, rank() OVER (ORDER BY affected DESC) AS r FROM (
-  SELECT zone, round(sum(severity), 2) AS affected FROM events GROUP BY zone)) WHERE r <= 20""")
+  SELECT zone, round(sum(severity), 2) AS affected FROM impact_reports GROUP BY zone)) WHERE r <= 20""")
 def _(spark, sf):
     a = D.events(spark, sf).groupBy("zone").agg(F.round(F.sum("severity"), 2).alias("affected"))
     # rows tied with the 20th are kept: compare with the smallest of the 20 largest
@@ -426,7 +426,7 @@ def _(spark, sf):
 
 
 @query("u01_union_by_name", """
-SELECT zone, date, severity AS people, NULL::DOUBLE AS value FROM events
+SELECT zone, date, severity AS people, NULL::DOUBLE AS value FROM impact_reports
 UNION ALL SELECT zone, date, NULL, value FROM zone_months""")
 def _(spark, sf):
     a = D.events(spark, sf).select("zone", "date", F.col("severity").alias("people"))
@@ -447,7 +447,7 @@ def _(spark, sf):
 
 
 @query("u04_set_operations", """
-SELECT 'either' AS kind, zone, date FROM (SELECT zone, date FROM events UNION SELECT zone, date FROM zone_days)
+SELECT 'either' AS kind, zone, date FROM (SELECT zone, date FROM impact_reports UNION SELECT zone, date FROM zone_days)
 UNION ALL SELECT 'only_event', zone, date FROM (SELECT zone, date FROM event_days EXCEPT SELECT zone, date FROM zone_days)""")
 def _(spark, sf):
     e, z = D.event_days(spark, sf), D.zone_days(spark, sf).select("zone", "date")

@@ -164,7 +164,7 @@ def levels_of_maxima(maxima, percents):
 
 def sweep_sql(block: str, percents: list[int]) -> str:
     return f"""
-WITH bm AS (SELECT station, {block} AS b, max(value) AS mx FROM station_flagged GROUP BY 1, 2),
+WITH bm AS (SELECT station, {block} AS b, max(value) AS mx FROM station_days GROUP BY 1, 2),
 q AS (SELECT station, p AS percent, round(list_extract(quantile_cont(mx, {[p / 100 for p in percents]}),
   CAST(list_position({percents}, p) AS INTEGER)), 6) AS thr FROM bm, (SELECT unnest({percents}) AS p) GROUP BY station, p),
 p AS (SELECT zone, station, percent, date, event, CASE WHEN value >= thr THEN 1 ELSE 0 END AS x FROM station_flagged JOIN q USING (station)),
@@ -223,7 +223,7 @@ WITH l AS (SELECT zone, station, date, k AS lead, lead(value, CAST(k AS INTEGER)
 q AS (SELECT station, lead, p AS percent, round(list_extract(quantile_cont(value, [0.8, 0.9, 0.95, 0.99]),
   CAST(list_position({YEARLY}, p) AS INTEGER)), 6) AS thr FROM l, (SELECT unnest({YEARLY}) AS p) WHERE value IS NOT NULL GROUP BY 1, 2, 3),
 y AS (SELECT zone, station, lead, year(date) AS year, max(value) AS mx FROM l WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4),
-t AS (SELECT DISTINCT zone, year(date) AS year FROM events WHERE severity > 350000),
+t AS (SELECT DISTINCT zone, year(date) AS year FROM impact_reports WHERE severity > 350000),
 p AS (SELECT y.zone, y.lead, percent, CASE WHEN mx > thr THEN 1 ELSE 0 END AS x, CASE WHEN t.zone IS NULL THEN 0 ELSE 1 END AS event
   FROM y JOIN q USING (station, lead) LEFT JOIN t ON t.zone = y.zone AND t.year = y.year)
 SELECT zone, lead, percent, {COUNTS_SQL} FROM p GROUP BY 1, 2, 3""")
@@ -306,7 +306,7 @@ def _(spark, sf):
 
 
 @query("x14_drought_quantile", f"""
-WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM events WHERE severity > 400000),
+WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports WHERE severity > 400000),
 m AS (SELECT z.zone, z.date, z.value, z.rain, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS event FROM zone_months z LEFT JOIN ev USING (zone, date)),
 l AS (SELECT zone, date, event, 'value' AS indicator, value AS v FROM m UNION ALL SELECT zone, date, event, 'rain', rain FROM m),
 t AS (SELECT *, round(quantile_cont(v, 0.1) OVER (PARTITION BY zone, indicator), 6) AS thr FROM l),
@@ -340,7 +340,7 @@ WITH s AS (SELECT zone, year(date) AS year, CASE WHEN month(date) IN (3,4,5) THE
   round(sum(rain), 2) AS rain, sum(value) / count(*) AS flow FROM zone_months GROUP BY 1, 2, 3),
 i AS (SELECT zone, year, season, 'rain_season' AS indicator, rain AS v, round(0.01 * round(avg(rain) OVER (PARTITION BY zone, season), 4) * (100 - 10), 4) AS thr FROM s
   UNION ALL SELECT zone, year, season, 'flow', flow, 1150.0 FROM s),
-ev AS (SELECT DISTINCT zone, year(date) AS year FROM events WHERE severity > 400000),
+ev AS (SELECT DISTINCT zone, year(date) AS year FROM impact_reports WHERE severity > 400000),
 p AS (SELECT i.zone, indicator, CASE WHEN v < thr THEN 1 ELSE 0 END AS x, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS event
   FROM i LEFT JOIN ev ON ev.zone = i.zone AND ev.year = i.year WHERE season = 1),
 c AS (SELECT zone, indicator, {COUNTS_SQL} FROM p GROUP BY 1, 2)
@@ -432,7 +432,7 @@ WITH a AS (SELECT zone, date, CASE WHEN count(value) OVER w >= 3 THEN sum(value)
   WINDOW w AS (PARTITION BY zone ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 m AS (SELECT *, avg(acc) OVER g AS mean, avg(ln(acc)) OVER g AS lm FROM a WHERE acc IS NOT NULL WINDOW g AS (PARTITION BY zone, month(date))),
 s AS (SELECT *, (1 + sqrt(1 + 4 * (ln(mean) - lm) / 3)) / (4 * (ln(mean) - lm)) AS k FROM m),
-p AS (SELECT zone, date, acc, list_sum(list_transform(range(0, 1500), n -> exp(-(acc * k / mean) + (k + n) * ln(acc * k / mean) - lgamma(k + n + 1)))) AS p FROM s)
+p AS (SELECT zone, date, acc, list_sum(list_transform(range(0, 1500), lambda n: exp(-(acc * k / mean) + (k + n) * ln(acc * k / mean) - lgamma(k + n + 1)))) AS p FROM s)
 SELECT zone, date, round(""" + ppf_sql("p") + ", 4) AS spi FROM p")
 def _(spark, sf):
     out = N.spi(D.zone_months(spark, sf), ["zone"], "value", 3)
@@ -472,8 +472,8 @@ def _(spark, sf):
 
 
 @query("x21_event_labels", """
-WITH a AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM events WHERE severity > 400000),
-b AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM events WHERE severity < 60000)
+WITH a AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports WHERE severity > 400000),
+b AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports WHERE severity < 60000)
 SELECT m.zone, m.date, m.value, CASE WHEN a.zone IS NULL THEN 0 ELSE 1 END AS news, CASE WHEN b.zone IS NULL THEN 0 ELSE 1 END AS archive,
   CASE WHEN a.zone IS NULL AND b.zone IS NULL THEN 0 ELSE 1 END AS any_source
 FROM zone_months m LEFT JOIN a USING (zone, date) LEFT JOIN b USING (zone, date)""")
@@ -516,7 +516,7 @@ def _(spark, sf):
 
 
 @query("x23_event_clusters", """
-WITH g AS (SELECT zone, date, severity, report, date - lag(date) OVER (PARTITION BY zone ORDER BY date, report) AS gap FROM events),
+WITH g AS (SELECT zone, date, severity, report, date - lag(date) OVER (PARTITION BY zone ORDER BY date, report) AS gap FROM impact_reports),
 c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 7 THEN 1 ELSE 0 END) OVER (PARTITION BY zone ORDER BY date, report) AS no FROM g)
 SELECT zone, CAST(no AS BIGINT) AS event_no, min(date) AS start_date, max(date) AS end_date, count(*) AS reports,
   round(avg(severity), 4) AS severity, round(avg(nullif(report % 3, 0)), 6) AS deaths FROM c GROUP BY 1, 2""")
@@ -529,7 +529,7 @@ def _(spark, sf):
 @query("x24_fill_event_day", """
 WITH w AS (SELECT zone, month, date FROM (SELECT zone, CAST(date_trunc('month', date) AS DATE) AS month, date,
   row_number() OVER (PARTITION BY zone, date_trunc('month', date) ORDER BY rain DESC, date) AS rn FROM zone_days) WHERE rn = 1)
-SELECT report, e.zone, CASE WHEN report % 2 = 0 THEN e.date ELSE w.date END AS date FROM events e
+SELECT report, e.zone, CASE WHEN report % 2 = 0 THEN e.date ELSE w.date END AS date FROM impact_reports e
 LEFT JOIN w ON e.zone = w.zone AND w.month = date_trunc('month', e.date)""")
 def _(spark, sf):
     ev = D.events(spark, sf).select("report", "zone", F.trunc("date", "month").alias("month"),
@@ -539,7 +539,7 @@ def _(spark, sf):
 
 @query("x25_impact_catalogue", """
 SELECT zone, date, station, value, report FROM (SELECT s_nationkey AS zone, f.date, f.station, f.value FROM station_filled f
-  JOIN supplier ON f.station = s_suppkey) h FULL JOIN (SELECT zone, date, report FROM events) e USING (zone, date)""")
+  JOIN supplier ON f.station = s_suppkey) h FULL JOIN (SELECT zone, date, report FROM impact_reports) e USING (zone, date)""")
 def _(spark, sf):
     ev = D.events(spark, sf).select("zone", "date", "report")
     return I.catalogue(D.station_filled(spark, sf).select("station", "date", "value"), D.mapping(spark, sf), ev).select(
@@ -636,7 +636,7 @@ WITH r AS (SELECT zone, date, CASE WHEN count(*) OVER w >= 3 THEN avg(value) OVE
 z AS (SELECT zone, date, CASE WHEN stddev_pop(v) OVER g = 0 THEN 0.0 ELSE (v - avg(v) OVER g) / stddev_pop(v) OVER g END AS v,
   CASE WHEN stddev_pop(r) OVER g = 0 THEN 0.0 ELSE (r - avg(r) OVER g) / stddev_pop(r) OVER g END AS r FROM r WHERE v IS NOT NULL WINDOW g AS (PARTITION BY zone, month(date))),
 s AS (SELECT zone, CAST(date + INTERVAL 1 MONTH AS DATE) AS date, round(0.1 - 0.8 * v - 0.3 * r, 6) AS score FROM z),
-o AS (SELECT zone, CAST(date_trunc('month', date) AS DATE) AS date, max(severity) AS observed FROM events GROUP BY 1, 2)
+o AS (SELECT zone, CAST(date_trunc('month', date) AS DATE) AS date, max(severity) AS observed FROM impact_reports GROUP BY 1, 2)
 SELECT zone, date, score, CASE WHEN score > 0 THEN 1 WHEN score IS NULL THEN -1 ELSE 0 END AS drought_predicted, observed FROM s FULL JOIN o USING (zone, date)""")
 def _(spark, sf):
     m = D.zone_months(spark, sf)
@@ -658,7 +658,7 @@ def _(spark, sf):
 
 
 @query("x39_leave_one_out_cue", """
-WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM events WHERE severity > 300000),
+WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports WHERE severity > 300000),
 m AS (SELECT z.zone, z.date, z.value, round(z.rain / 1000, 0) AS rain, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS y FROM zone_months z LEFT JOIN ev USING (zone, date) WHERE year(z.date) >= 1998),
 l AS (SELECT zone, date, y, 'value' AS cue, value AS v FROM m UNION ALL SELECT zone, date, y, 'rain', rain FROM m),
 cuts AS (SELECT DISTINCT zone, cue, v AS cut FROM l),
@@ -679,7 +679,7 @@ def _(spark, sf):
 
 
 @query("x40_median_difference", """
-WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM events),
+WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports),
 m AS (SELECT z.*, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS y FROM zone_months z LEFT JOIN ev USING (zone, date)),
 l AS (SELECT y, 'value' AS feature, value AS v FROM m UNION ALL SELECT y, 'rain', rain FROM m),
 d AS (SELECT feature, quantile_cont(v, 0.5) FILTER (y = 1) AS m1, quantile_cont(v, 0.5) FILTER (y = 0) AS m0 FROM l GROUP BY 1)

@@ -31,7 +31,7 @@ def _(spark, sf):
 SELECT m.zone, m.date, m.value, coalesce(r.n, 0) AS reports FROM zone_months m
 JOIN nation ON m.zone = n_nationkey LEFT JOIN (
   SELECT lower(n_name) AS place, year(date) AS y, month(date) AS mo, count(*) AS n
-  FROM events JOIN nation ON zone = n_nationkey GROUP BY 1, 2, 3) r
+  FROM impact_reports JOIN nation ON zone = n_nationkey GROUP BY 1, 2, 3) r
 ON lower(n_name) = r.place AND year(m.date) = r.y AND month(m.date) = r.mo""")
 def _(spark, sf):
     names = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("zone"),
@@ -49,7 +49,7 @@ def _(spark, sf):
 @query("j04_shared_keys", """
 SELECT m.zone, m.date, m.value, e.severity FROM zone_months m JOIN (
   SELECT zone, CAST(date_trunc('month', date) AS DATE) AS date, max(severity) AS severity
-  FROM events GROUP BY 1, 2) e USING (zone, date)""")
+  FROM impact_reports GROUP BY 1, 2) e USING (zone, date)""")
 def _(spark, sf):
     ev = D.events(spark, sf).groupBy("zone", F.trunc("date", "month").alias("date")).agg(
         F.max("severity").alias("severity"))
@@ -58,7 +58,7 @@ def _(spark, sf):
 
 @query("j05_full_outer", """
 SELECT zone, date, h.value, e.severity FROM zone_days h FULL JOIN (
-  SELECT zone, date, sum(severity) AS severity FROM events GROUP BY 1, 2) e USING (zone, date)""")
+  SELECT zone, date, sum(severity) AS severity FROM impact_reports GROUP BY 1, 2) e USING (zone, date)""")
 def _(spark, sf):
     ev = D.events(spark, sf).groupBy("zone", "date").agg(F.sum("severity").alias("severity"))
     return D.zone_days(spark, sf).select("zone", "date", "value").join(ev, ["zone", "date"], "full_outer")
@@ -92,7 +92,7 @@ def _(spark, sf):
 
 @query("j08_semi_join", """
 SELECT station, date, value FROM station_days WHERE station IN (
-  SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT zone FROM events GROUP BY zone HAVING count(*) > 40))""")
+  SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT zone FROM impact_reports GROUP BY zone HAVING count(*) > 40))""")
 def _(spark, sf):
     hit = D.events(spark, sf).groupBy("zone").count().where("count > 40")
     stations = D.mapping(spark, sf).join(hit, "zone", "left_semi")
@@ -195,7 +195,7 @@ def _(spark, sf):
 
 @query("j19_year_neighbours", """
 SELECT zone, date, value FROM zone_months m WHERE EXISTS (
-  SELECT 1 FROM events e WHERE e.zone = m.zone AND e.severity > 450000
+  SELECT 1 FROM impact_reports e WHERE e.zone = m.zone AND e.severity > 450000
   AND year(m.date) BETWEEN year(e.date) - 1 AND year(e.date) + 1)""")
 def _(spark, sf):
     y = F.year("date")

@@ -1 +1,85 @@
-"""Queries."""
+"""Model queries. Scores depend on iterative solvers, so they are compared by shape and by tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models as L
+from ..operators import series as T
+from ..operators import skill as K
+from ..operators.windows import along
+from ..session import cut_lineage
+from . import domain as D
+from .registry import query
+
+FEATURES = ["value", "rain", "value_lag1", "rain_lag1", "month"]
+
+
+def training(spark, sf):
+    """Monthly features per zone with the event label; written once, read by every fit."""
+    ev = D.events(spark, sf).where("severity > 200000").select("zone", F.trunc("date", "month").alias("date"))
+    m = T.attach_flag(D.zone_months(spark, sf), ev, ["zone"], "label")
+    w = along(["zone"], "date")
+    m = m.select("zone", "date", "label", "value", (F.col("rain") / 1000).alias("rain"),
+                 F.lag("value").over(w).alias("value_lag1"), (F.lag("rain").over(w) / 1000).alias("rain_lag1"),
+                 F.month("date").cast("double").alias("month"), F.year("date").alias("year"))
+    return cut_lineage(m.dropna())
+
+
+def scores(pred, by=("split",)):
+    return K.class_scores(K.confusion(pred, list(by), "label", "predicted"))
+
+
+@query("x31_sparse_logistic")
+def _(spark, sf):
+    data = training(spark, sf)
+    train, valid = L.year_window(data, "year", 1995, 1999), L.year_window(data, "year", 1999, 2000)
+    model, _c, _t = L.sparse_logistic(train, valid, FEATURES, "label", [3.0, 12.0])
+    test = L.predict(model, L.assemble(L.year_window(data, "year", 2000, 2002), FEATURES))
+    return scores(test.withColumn("split", F.lit("test")))
+
+
+@query("x31b_coefficients")
+def _(spark, sf):
+    data = training(spark, sf)
+    model, _c, _t = L.sparse_logistic(L.year_window(data, "year", 1995, 1999), L.year_window(data, "year", 1999, 2002),
+                                      FEATURES, "label", [12.0])
+    return L.coefficient_table(data, model, FEATURES, 0.0)
+
+
+@query("x33_boosted_trees")
+def _(spark, sf):
+    data = training(spark, sf)
+    model = L.boosted_trees(data, FEATURES, "label", rounds=4, depth=3)
+    return scores(L.predict(model, L.assemble(data, FEATURES)).withColumn("split", F.lit("train")))
+
+
+@query("x34_tuned_trees")
+def _(spark, sf):
+    data = training(spark, sf)
+    train = L.hash_folds(data, ["zone", "date"], 5, "part").where("part > 0")
+    test = L.hash_folds(data, ["zone", "date"], 5, "part").where("part = 0")
+    model = L.tuned_trees(train, FEATURES, "label", ["zone", "date"], depths=(2, 3), rounds=3, folds=2)
+    return scores(L.predict(model, L.assemble(test, FEATURES)).withColumn("split", F.lit("test")))
+
+
+@query("x35_loss_tree")
+def _(spark, sf):
+    data = training(spark, sf)
+    out = None
+    for cost in (1.0, 8.0):
+        part = L.predict(L.loss_tree(data, FEATURES, "label", cost), L.assemble(data, FEATURES))
+        part = part.select(F.lit(cost).alias("miss_cost"), "label", "predicted")
+        out = part if out is None else out.unionByName(part)
+    return scores(out, ["miss_cost"])
+
+
+@query("x36_importances")
+def _(spark, sf):
+    data = training(spark, sf)
+    return L.importance_table(data, L.boosted_trees(data, FEATURES, "label", rounds=3), FEATURES)
+
+
+@query("x37_classifier_comparison")
+def _(spark, sf):
+    return L.compare_classifiers(training(spark, sf), FEATURES, "label", ["zone", "date"], folds=3)

@@ -81,7 +81,7 @@ def _(spark, sf):
 @query("f05_parse_dates", """
 SELECT report, date, CAST(date AS DATE) AS iso, CAST(date AS DATE) AS dmy,
   try_cast(year(date) || '-' || lpad(CAST(month(date) AS VARCHAR), 2, '0') || '-31' AS DATE) AS day31,
-  last_day(date) AS month_end FROM events""")
+  last_day(date) AS month_end FROM impact_reports""")
 def _(spark, sf):
     fmts = ("yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy")
     return D.events(spark, sf).select(
@@ -92,7 +92,7 @@ def _(spark, sf):
 
 @query("f06_event_interval", """
 WITH r AS (SELECT report, year(date) AS y, CASE WHEN report % 5 = 0 THEN NULL ELSE month(date) END AS m,
-  CASE WHEN report % 3 = 0 THEN NULL ELSE day(date) END AS d FROM events),
+  CASE WHEN report % 3 = 0 THEN NULL ELSE day(date) END AS d FROM impact_reports),
 i AS (SELECT report, make_date(y, coalesce(m, 1), coalesce(CASE WHEN m IS NULL AND d > 28 THEN 28 ELSE d END, 1)) AS s,
   last_day(make_date(y, coalesce(m, 12), 1)) AS e FROM r)
 SELECT report, s AS start_date, e AS end_date, s + CAST(floor((e - s) / 2) AS INTEGER) AS mid_date FROM i""")
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query("f07_date_parts", """
 SELECT report, year(date) AS y, month(date) AS m, day(date) AS d, strftime(date, '%d/%m/%Y') AS text,
-  CAST(date + INTERVAL 1 MONTH AS DATE) AS next_month, date - DATE '1995-01-01' AS age_days FROM events""")
+  CAST(date + INTERVAL 1 MONTH AS DATE) AS next_month, date - DATE '1995-01-01' AS age_days FROM impact_reports""")
 def _(spark, sf):
     return D.events(spark, sf).select(
         "report", F.year("date").alias("y"), F.month("date").alias("m"), F.dayofmonth("date").alias("d"),
@@ -126,7 +126,7 @@ def _(spark, sf):
 
 @query("f09_null_tolerant_add", """
 SELECT zone, date, z.value, e.severity, z.value + coalesce(e.severity, 0) AS total FROM zone_months z
-LEFT JOIN (SELECT zone, CAST(date_trunc('month', date) AS DATE) AS date, max(severity) AS severity FROM events GROUP BY 1, 2) e USING (zone, date)""")
+LEFT JOIN (SELECT zone, CAST(date_trunc('month', date) AS DATE) AS date, max(severity) AS severity FROM impact_reports GROUP BY 1, 2) e USING (zone, date)""")
 def _(spark, sf):
     e = D.events(spark, sf).groupBy("zone", F.trunc("date", "month").alias("date")).agg(F.max("severity").alias("severity"))
     return D.zone_months(spark, sf).join(e, ["zone", "date"], "left").select(

@@ -69,7 +69,7 @@ def _(spark, sf):
 
 @query("s06_xml_records", """
 SELECT o_orderkey AS serial, zone, year(date) AS fechano, month(date) AS fechames,
-       day(date) AS fechadia, severity AS afectados FROM events JOIN orders ON report = o_orderkey""")
+       day(date) AS fechadia, severity AS afectados FROM impact_reports JOIN orders ON report = o_orderkey""")
 def _(spark, sf):
     df = D.events(spark, sf).select(
         F.col("report").alias("serial"), "zone", F.year("date").alias("fechano"),
@@ -103,7 +103,7 @@ def _(spark, sf):
 
 
 @query("s08_csv_append", """
-SELECT zone, date, severity FROM events UNION ALL SELECT zone, date, severity FROM events""")
+SELECT zone, date, severity FROM impact_reports UNION ALL SELECT zone, date, severity FROM impact_reports""")
 def _(spark, sf):
     df = D.events(spark, sf).select("zone", "date", "severity")
     path = work_path(spark, "catalogue")
@@ -278,7 +278,7 @@ def _(spark, sf):
 
 
 @query("p15_provenance", """
-SELECT zone, date, severity, 'orders' AS data_source, 2 AS quality FROM events""")
+SELECT zone, date, severity, 'orders' AS data_source, 2 AS quality FROM impact_reports""")
 def _(spark, sf):
     return D.events(spark, sf).select("zone", "date", "severity", F.lit("orders").alias("data_source"),
                                       F.lit(2).alias("quality"))
