@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import half_up, once
+from ..session import cut_lineage
+from .joining import join_dimension
 from .windows import along, past, whole
 
 
@@ -33,61 +36,111 @@ def thresholds(df: DataFrame, keys: list[str], value: str, percents: list[int],
 
 
 def with_levels(df: DataFrame, keys: list[str], value: str, percents: list[int],
-                decimals: int = 6, out: str = "levels") -> DataFrame:
+                decimals: int = 6, out: str = "levels", date: str = "date") -> DataFrame:
     """The same thresholds as one ascending array on every row of the series.
 
-    A whole-partition window reuses the partitioning of the series; nothing is read twice or joined.
+    A whole-series window reuses the partitioning and sort of the series; nothing is read twice or
+    joined.
     """
     probs = F.array(*[F.lit(p / 100.0) for p in sorted(percents)])
-    df = df.withColumn(out, F.percentile(value, probs).over(whole(keys)))
-    return df.withColumn(out, F.transform(out, lambda x: F.round(x, decimals)))
+    df = df.withColumn(out, F.percentile(value, probs).over(whole(keys, date)))
+    return df.withColumn(out, F.transform(out, lambda x: half_up(x, decimals)))
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, amounts: list[str],
-                  pieces: int = 64, descending: bool = False) -> DataFrame:
-    """Inclusive running sums along ``order`` that never put a whole key into one task.
+def levels_reached(value: Column, levels: Column, n: int) -> Column:
+    """How many of ``n`` ascending levels a value reaches; 0 for a missing one.
 
-    ``order`` must be numeric and ties are expected to be aggregated away. Each key is cut at
-    approximate quantiles of ``order`` into ``pieces`` contiguous pieces; piece totals (a handful of
-    rows per key) are accumulated first and added as an offset to the sums within the piece.
+    A few levels are a sum of comparisons, which is compiled; many are found by bisection, since a
+    method with dozens of comparisons is too long for the JVM to compile.
+    """
+    if n <= 12:
+        hits = F.lit(0)
+        for i in range(n):
+            hits = hits + F.when(value >= levels[i], 1).otherwise(0)
+        return hits
+    found, step = F.lit(0), 1 << (n.bit_length() - 1)
+    while step:
+        def advance(p: Column, step: int = step) -> Column:
+            return p + F.when(value >= F.get(levels, p + (step - 1)), step).otherwise(0)
+        found, step = once(found, advance), step // 2
+    return found
+
+
+def _pieces(df: DataFrame, keys: list[str], order: str, pieces: int) -> DataFrame:
+    """Number contiguous pieces of every key along ``order``, cut at approximate quantiles.
+
+    The cuts come from sketches combined before the shuffle and are kept as a small table, one short
+    array per key; rows are not shuffled to get their number while that table is small.
     """
     cuts = [i / pieces for i in range(1, pieces)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(order, cuts, 10 * pieces).alias("_cuts"))
-    piece = F.size(F.filter("_cuts", lambda b: b < F.col(order)))
-    cut = df.join(bounds, keys).withColumn("_piece", -piece if descending else piece).drop("_cuts")
-    totals = cut.groupBy(*keys, "_piece").agg(*[F.sum(a).alias(f"_t_{a}") for a in amounts])
+    bounds = cut_lineage(df.groupBy(*keys).agg(
+        F.percentile_approx(order, cuts, 10 * pieces).alias("_cuts")))
+    piece = levels_reached(F.col(order), F.col("_cuts"), pieces - 1)
+    return join_dimension(df, bounds, keys, max_rows=20_000).withColumn("_piece", piece).drop("_cuts")
+
+
+def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
+                   pieces: int = 32, descending: bool = False) -> DataFrame:
+    """Sums per distinct ``order`` value and their inclusive running totals ``cum_...``.
+
+    No key is put into one task: each is cut into contiguous ``pieces``, the piece totals (a handful of
+    rows per key) are accumulated first and added as an offset to the sums within the piece. Use
+    ``pieces=1`` for series bounded by the calendar, where a plain window is cheaper.
+    """
+    step = F.col(order).desc() if descending else F.col(order).asc()
+    named = [c.alias(n) for n, c in sums.items()]
+    rows = df.where(F.col(order).isNotNull())
+    if pieces == 1:
+        inner = past(keys, [step])
+        return rows.groupBy(*keys, order).agg(*named).withColumns(
+            {f"cum_{n}": F.sum(n).over(inner) for n in sums})
+    cut = _pieces(rows, keys, order, pieces)
+    if descending:
+        cut = cut.withColumn("_piece", -F.col("_piece"))
+    counts = cut.groupBy(*keys, "_piece", order).agg(*named)
+    totals = counts.groupBy(*keys, "_piece").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     w = past(keys, "_piece")
     offsets = totals.select(*keys, "_piece", *[
-        (F.sum(f"_t_{a}").over(w) - F.col(f"_t_{a}")).alias(f"_o_{a}") for a in amounts])
-    step = F.col(order).desc() if descending else F.col(order).asc()
+        (F.sum(f"_t_{n}").over(w) - F.col(f"_t_{n}")).alias(f"_o_{n}") for n in sums])
     inner = past([*keys, "_piece"], [step])
-    joined = cut.join(offsets, [*keys, "_piece"])
-    return (joined.withColumns({f"cum_{a}": F.col(f"_o_{a}") + F.sum(a).over(inner) for a in amounts})
-            .drop("_piece", *[f"_o_{a}" for a in amounts]))
+    joined = counts.join(offsets, [*keys, "_piece"])
+    return (joined.withColumns({f"cum_{n}": F.col(f"_o_{n}") + F.sum(n).over(inner) for n in sums})
+            .drop("_piece", *[f"_o_{n}" for n in sums]))
 
 
 def quantiles_of_rows(df: DataFrame, keys: list[str], value: str, percents: list[int],
-                      decimals: int = 6) -> DataFrame:
+                      decimals: int = 6, pieces: int = 64) -> DataFrame:
     """Exact interpolated quantiles of raw rows, safe for a key that holds most of the table.
 
-    Rows are combined to value counts before the shuffle, ranked by :func:`running_total`, and the
-    two neighbours of every rank are picked with plain conditional minima.
+    Each key is cut into pieces by value. Counting the rows of the pieces (combined before the shuffle)
+    tells which few pieces hold the wanted ranks; only the values of those are shuffled and ranked.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranked = running_total(counts, keys, value, ["n"])
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    ranked = ranked.join(totals, keys)
+    cut = _pieces(df.where(F.col(value).isNotNull()), keys, value, pieces)
+    totals = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
+    totals = totals.withColumns({"_end": F.sum("_rows").over(past(keys, "_piece")),
+                                 "_total": F.sum("_rows").over(whole(keys))})
+
+    def position(p: int) -> Column:
+        return (F.col("_total") - 1) * F.lit(p / 100.0)
+
+    start = F.col("_end") - F.col("_rows")
+    wanted = F.lit(False)
+    for p in percents:
+        for rank in (F.floor(position(p)), F.ceil(position(p))):
+            wanted = wanted | ((rank >= start) & (rank < F.col("_end")))
+    held = cut_lineage(totals.where(wanted).select(*keys, "_piece", "_total", start.alias("_start")))
+    inner = past([*keys, "_piece"], value)
+    counts = join_dimension(cut, held, [*keys, "_piece"]).groupBy(
+        *keys, "_piece", "_total", "_start", value).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("_cum", F.col("_start") + F.sum("n").over(inner))
     picks = []
     for p in percents:
-        pos = (F.col("_total") - 1) * F.lit(p / 100.0)
-        picks += [F.min(F.when(F.col("cum_n") > F.floor(pos), F.col(value))).alias(f"_lo{p}"),
-                  F.min(F.when(F.col("cum_n") > F.ceil(pos), F.col(value))).alias(f"_hi{p}")]
+        picks += [F.min(F.when(F.col("_cum") > F.floor(position(p)), F.col(value))).alias(f"_lo{p}"),
+                  F.min(F.when(F.col("_cum") > F.ceil(position(p)), F.col(value))).alias(f"_hi{p}")]
     found = ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), *picks)
     rows = []
     for p in percents:
-        pos = (F.col("_total") - 1) * F.lit(p / 100.0)
-        share = pos - F.floor(pos)
+        share = position(p) - F.floor(position(p))
         level = F.col(f"_lo{p}") + (F.col(f"_hi{p}") - F.col(f"_lo{p}")) * share
         rows.append(F.struct(F.lit(p).alias("percent"),
                              F.round(level.cast("double"), decimals).alias("threshold")))

@@ -99,13 +99,3 @@ def correlation_matrix(df: DataFrame, keys: list[str], cols: list[str]) -> DataF
              for a, b in pairs]
     wide = df.groupBy(*keys).agg(F.array(*cells).alias("_c")) if keys else df.agg(F.array(*cells).alias("_c"))
     return wide.select(*keys, F.explode("_c").alias("_r")).select(*keys, "_r.a", "_r.b", "_r.r")
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
-                   max_rows: int = 200_000) -> DataFrame:
-    """Join a dimension, broadcast only after its row count was checked against a bound.
-
-    A larger dimension takes the ordinary shuffled join, where AQE handles skew.
-    """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(dim) if small else dim, on, how)

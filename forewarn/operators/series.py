@@ -64,7 +64,7 @@ def locf(df: DataFrame, keys: list[str], cols: list[str], date: str = "date",
         filled = F.last(c, ignorenulls=True).over(past(keys, date))
         if direction == "downup":
             # only the gap before the first observation is left
-            earliest = F.min_by(c, F.when(F.col(c).isNotNull(), F.col(date))).over(whole(keys))
+            earliest = F.min_by(c, F.when(F.col(c).isNotNull(), F.col(date))).over(whole(keys, date))
             filled = F.coalesce(filled, earliest)
         out[c] = filled
     return df.withColumns(out)
@@ -93,6 +93,24 @@ def clip_to_events(series: DataFrame, events: DataFrame, keys: list[str], days:
             .where(F.col(date).between(F.col("lo"), F.col("hi"))).drop("lo", "hi"))
 
 
+def filled_with_marks(series: DataFrame, marks: DataFrame, keys: list[str], value: str,
+                      zero: list[str], flag: str = "event", date: str = "date") -> DataFrame:
+    """Dense, filled series with a 0/1 flag on the marked days, from one shuffle of the sparse rows.
+
+    The marks meet the observations while both are sparse and partitioned by key and day; the calendar
+    is opened afterwards. ``value`` is filled down then up, the columns in ``zero`` with 0. Days before
+    the first and after the last observation of a key are left out.
+    """
+    marked = marks.select(*keys, date).distinct().withColumn(flag, F.lit(1))
+    both = series.join(marked, [*keys, date], "full_outer")
+    g = whole(keys, date)
+    seen = F.when(F.col(value).isNotNull(), F.col(date))
+    both = both.withColumns({"_first": F.min(seen).over(g), "_last": F.max(seen).over(g)})
+    inside = both.where(F.col(date).between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+    dense = locf(densify(inside, keys, date), keys, [value], date)
+    return dense.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in (*zero, flag)})
+
+
 def attach_flag(series: DataFrame, events: DataFrame, keys: list[str], flag: str = "event",
                 date: str = "date") -> DataFrame:
     """0/1 event flag per row; several reports of one day count once and never duplicate rows."""

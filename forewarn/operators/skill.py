@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import norm_ppf, ratio
-from .quantiles import running_total
-from .windows import along, earlier, past
+from .quantiles import levels_reached, running_totals
+from .windows import along, earlier, past, whole
 
 
 def confusion(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
@@ -104,9 +104,7 @@ def threshold_sweep(series: DataFrame, keys: list[str], value: str, event: str,
     small histogram per key, and only that is expanded to the thresholds.
     """
     w = along(keys, date)
-    b = F.when(F.col(value).isNull(), 0).otherwise(
-        F.size(F.filter(levels, lambda t: F.col(value) >= t)))
-    df = series.withColumn("_b", b)
+    df = series.withColumn("_b", levels_reached(F.col(value), F.col(levels), len(percents)))
     df = df.withColumns({"_pb": F.coalesce(F.lag("_b").over(w), F.lit(0)),
                          "_seen": F.coalesce(F.sum(event).over(earlier(keys, date)),
                                              F.lit(0))})
@@ -135,13 +133,12 @@ def threshold_sweep(series: DataFrame, keys: list[str], value: str, event: str,
     return _period_ratios(sums, [*keys, "percent"])
 
 
-def roc_points(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+def roc_points(df: DataFrame, keys: list[str], label: str, score: str, pieces: int = 32) -> DataFrame:
     """Cumulative counts and rates after each distinct score, highest first."""
-    counts = df.groupBy(*keys, score).agg(
-        F.sum(F.col(label).cast("bigint")).alias("pos"),
-        F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    cum = running_total(counts, keys, score, ["pos", "neg"], descending=True).join(totals, keys)
+    pos = F.col(label).cast("bigint")
+    cum = running_totals(df, keys, score, {"pos": F.sum(pos), "neg": F.sum(1 - pos)}, pieces, descending=True)
+    totals = df.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.sum(pos).alias("_p"), F.sum(1 - pos).alias("_n"))
+    cum = cum.join(totals, keys)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
         *keys, score, F.col("pos"), F.col("neg"), tp.alias("tp"), fp.alias("fp"),
@@ -228,24 +225,24 @@ def random_baseline(labels: DataFrame, keys: list[str], label: str, p: float = 0
 
 def single_cue_counts(long: DataFrame, keys: list[str], cue: str, value: str,
                       label: str) -> DataFrame:
-    """Confusion counts of every distinct cut of every cue: predict the event at or below it."""
-    counts = long.where(F.col(value).isNotNull()).groupBy(*keys, cue, value).agg(
-        F.sum(F.col(label).cast("bigint")).alias("pos"),
-        F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
+    """Confusion counts of every distinct cut of every cue: predict the event at or below it.
+
+    For series bounded by the calendar.
+    """
     by = [*keys, cue]
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    cum = running_total(counts, by, value, ["pos", "neg"]).join(totals, by)
+    pos = F.col(label).cast("bigint")
+    cum = running_totals(long, by, value, {"pos": F.sum(pos), "neg": F.sum(1 - pos)}, pieces=1)
+    g = whole(by, value)
+    cum = cum.withColumns({"_p": F.sum("pos").over(g), "_n": F.sum("neg").over(g)})
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    return cum.select(*by, F.col(value).alias("cut"), F.col("pos").alias("at_pos"),
-                      F.col("neg").alias("at_neg"), tp.alias("tp"), fp.alias("fp"),
+    return cum.select(*by, F.col(value).alias("cut"), tp.alias("tp"), fp.alias("fp"),
                       (F.col("_n") - fp).alias("tn"), (F.col("_p") - tp).alias("fn"))
 
 
 def day_sweep(series: DataFrame, keys: list[str], value: str, event: str, levels: str,
               percents: list[int]) -> DataFrame:
     """Day-level confusion counts of every threshold from one histogram per key."""
-    b = F.when(F.col(value).isNull(), 0).otherwise(
-        F.size(F.filter(levels, lambda t: F.col(value) >= t)))
+    b = levels_reached(F.col(value), F.col(levels), len(percents))
     hist = series.groupBy(*keys, b.alias("_b"), F.col(event).alias("_ev")).agg(F.count("*").alias("_n"))
     grid = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(p).alias("percent"))
                      for i, p in enumerate(sorted(percents))])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_up, ratio
+from .quantiles import levels_reached
 from .windows import along, earlier, past, span
 
 COMPARE = {
@@ -118,8 +119,7 @@ def trigger_table(series: DataFrame, keys: list[str], value: str, event: str, le
     if len(percents) > 62:
         raise ValueError("at most 62 thresholds per pass")
     w, cum = along(keys, date), past(keys, date)
-    reached = F.size(F.filter(levels, lambda t: F.col(value) >= t))
-    df = series.withColumn("_b", F.when(F.col(value).isNull(), 0).otherwise(reached))
+    df = series.withColumn("_b", levels_reached(F.col(value), F.col(levels), len(percents)))
     df = df.withColumns({
         "_m": F.max("_b").over(span(keys, date, day_range - 1, 0)),
         "_pb": F.coalesce(F.lag("_b").over(w), F.lit(0)),

@@ -31,8 +31,11 @@ def ahead(keys: list[str], order: str) -> WindowSpec:
     return past(keys, [F.desc(order)])
 
 
-def whole(keys: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys)
+def whole(keys: list[str], order: str | None = None) -> WindowSpec:
+    """The whole series; give ``order`` to share the sort of the ordered frames."""
+    if order is None:
+        return Window.partitionBy(*keys)
+    return along(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def earlier(keys: list[str], order: str | list[str]) -> WindowSpec:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import attach_flag, collapse, densify, locf
+from ..operators.series import collapse, densify, filled_with_marks, locf
 
 COMMON: dict[str, str] = {
     "impact_reports": """
@@ -137,13 +137,16 @@ def event_days(spark, sf) -> DataFrame:
 
 
 def zone_flagged(spark, sf) -> DataFrame:
-    return attach_flag(zone_filled(spark, sf), event_days(spark, sf), ["zone"])
+    """Filled zone series with the event flag."""
+    return filled_with_marks(zone_days(spark, sf), event_days(spark, sf), ["zone"], "value", ["rain"])
 
 
 def station_flagged(spark, sf) -> DataFrame:
     """Filled station series with the event flag of the station's zone."""
-    zoned = station_filled(spark, sf).join(mapping(spark, sf), "station")
-    return attach_flag(zoned, event_days(spark, sf), ["zone"])
+    stations = mapping(spark, sf)
+    marks = event_days(spark, sf).join(stations, "zone").select("station", "date")
+    filled = filled_with_marks(station_days(spark, sf), marks, ["station"], "value", ["rain"])
+    return filled.join(stations, "station")
 
 
 def station_places(spark, sf) -> DataFrame:

@@ -602,7 +602,7 @@ a AS (SELECT zone, count(*) FILTER (event = 1) AS n_pos, count(*) FILTER (event
 SELECT c.*, {CLASS_SQL}, round((rs - n_pos * (n_pos + 1) / 2.0) / (CAST(n_pos AS DOUBLE) * n_neg), 6) AS auc FROM c JOIN a USING (zone)""")
 def _(spark, sf):
     p = predicted(spark, sf)
-    area = K.auc(K.roc_points(p, ["zone"], "event", "value"), ["zone"]).select("zone", "auc")
+    area = K.auc(K.roc_points(p, ["zone"], "event", "value", pieces=1), ["zone"]).select("zone", "auc")
     return K.class_scores(K.confusion(p, ["zone"], "event", "pred")).join(area, "zone")
 
 
@@ -627,7 +627,20 @@ c AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS B
 SELECT zone, score, tp, fp, round(tp / nullif(p, 0), 6) AS tpr, round(fp / nullif(n, 0), 6) AS fpr, round(tp / nullif(tp + fp, 0), 6) AS precision FROM c""")
 def _(spark, sf):
     days = D.zone_flagged(spark, sf).withColumnRenamed("value", "score")
-    return K.roc_points(days, ["zone"], "event", "score").drop("pos", "neg")
+    return K.roc_points(days, ["zone"], "event", "score", pieces=1).drop("pos", "neg")
+
+
+@query("x30b_roc_of_rows", """
+WITH s AS (SELECT o_orderstatus AS status, o_totalprice AS score, count(*) FILTER (o_orderpriority = '1-URGENT') AS pos, count(*) FILTER (o_orderpriority <> '1-URGENT') AS neg FROM orders GROUP BY 1, 2),
+c AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, sum(pos) OVER g AS p, sum(neg) OVER g AS n FROM s
+  WINDOW w AS (PARTITION BY status ORDER BY score DESC), g AS (PARTITION BY status))
+SELECT status, score, tp, fp, round(tp / nullif(p, 0), 6) AS tpr, round(fp / nullif(n, 0), 6) AS fpr, round(tp / nullif(tp + fp, 0), 6) AS precision FROM c""")
+def _(spark, sf):
+    # raw reports: one status holds a third of them
+    rows = D.table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"),
+        (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
+    return K.roc_points(rows, ["status"], "urgent", "score").drop("pos", "neg")
 
 
 @query("x32_linear_monitor", """

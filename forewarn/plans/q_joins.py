@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import impacts as I
-from ..operators import reshape as R
 from ..operators import rolling as W
 from ..operators import spatial as G
+from ..operators.joining import join_dimension
 from ..operators.series import scaffold
 from . import domain as D
 from .registry import query
@@ -239,7 +239,7 @@ def _(spark, sf):
         F.col("n_nationkey").cast("bigint").alias("zone"), F.col("n_name").alias("zone_name"),
         F.col("r_name").alias("region"))
     sums = D.zone_days(spark, sf).groupBy("zone").agg(F.sum("value").alias("value"))
-    return R.join_dimension(sums, dim, ["zone"]).select("zone", "zone_name", "region", "value")
+    return join_dimension(sums, dim, ["zone"]).select("zone", "zone_name", "region", "value")
 
 
 @query("j23_multi_name_events", """
