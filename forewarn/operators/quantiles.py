@@ -58,11 +58,13 @@ def levels_reached(value: Column, levels: Column, n: int) -> Column:
         for i in range(n):
             hits = hits + F.when(value >= levels[i], 1).otherwise(0)
         return hits
+
+    def half(step: int):
+        return lambda p: p + F.when(value >= F.get(levels, p + (step - 1)), step).otherwise(0)
+
     found, step = F.lit(0), 1 << (n.bit_length() - 1)
     while step:
-        def advance(p: Column, step: int = step) -> Column:
-            return p + F.when(value >= F.get(levels, p + (step - 1)), step).otherwise(0)
-        found, step = once(found, advance), step // 2
+        found, step = once(found, half(step)), step // 2
     return found
 
 

@@ -341,9 +341,9 @@ WITH s AS (SELECT zone, year(date) AS year, CASE WHEN month(date) IN (3,4,5) THE
 i AS (SELECT zone, year, season, 'rain_season' AS indicator, rain AS v, round(0.01 * round(avg(rain) OVER (PARTITION BY zone, season), 4) * (100 - 10), 4) AS thr FROM s
   UNION ALL SELECT zone, year, season, 'flow', flow, 1150.0 FROM s),
 ev AS (SELECT DISTINCT zone, year(date) AS year FROM impact_reports WHERE severity > 400000),
-p AS (SELECT i.zone, indicator, CASE WHEN v < thr THEN 1 ELSE 0 END AS x, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS event
-  FROM i LEFT JOIN ev ON ev.zone = i.zone AND ev.year = i.year WHERE season = 1),
-c AS (SELECT zone, indicator, {COUNTS_SQL} FROM p GROUP BY 1, 2)
+p AS (SELECT i.zone, season, indicator, CASE WHEN v < thr THEN 1 ELSE 0 END AS x, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS event
+  FROM i LEFT JOIN ev ON ev.zone = i.zone AND ev.year = i.year),
+c AS (SELECT zone, season, indicator, {COUNTS_SQL} FROM p GROUP BY 1, 2, 3)
 SELECT *, {RATIO_SQL} FROM c""")
 def _(spark, sf):
     m = D.zone_months(spark, sf).withColumns({"year": F.year("date"), "season": S.season_code(F.col("date"))})
@@ -352,12 +352,12 @@ def _(spark, sf):
     long = s.unpivot(["zone", "year", "season"], ["rain_season", "flow"], "indicator", "v")
     mean = F.round(F.avg("v").over(whole(["zone", "season", "indicator"])), 4)
     thr = F.when(F.col("indicator") == "rain_season", F.round(0.01 * mean * (100 - 10), 4)).otherwise(F.lit(1150.0))
-    long = long.withColumn("thr", thr).where("season = 1")
+    long = long.withColumn("thr", thr)
     long = long.withColumn("x", X.exceedance(F.col("v"), F.col("thr"), "<"))
     ev = D.events(spark, sf).where("severity > 400000").select("zone", F.year("date").alias("year")).distinct()
     long = long.join(ev.withColumn("event", F.lit(1)), ["zone", "year"], "left").withColumn(
         "event", F.coalesce("event", F.lit(0)))
-    return K.skill_ratios(K.confusion(long, ["zone", "indicator"], "event", "x"))
+    return K.skill_ratios(K.confusion(long, ["zone", "season", "indicator"], "event", "x"))
 
 
 @query("x16_index_vs_yield", f"""
@@ -570,7 +570,7 @@ def _(spark, sf):
 @query("x27_forecast_metrics", """
 WITH b AS (SELECT zone, date, value AS a, value - p AS e, abs(value - p) AS ae, (value - p) / (value + 1e-10) AS pe, p,
   2 * abs(value - p) / (abs(value) + abs(p) + 1e-10) AS sp, value - lag(value) OVER w AS nd, sign(value - lag(value) OVER w) = sign(p - lag(p) OVER w) AS same,
-  avg(value) OVER (PARTITION BY zone) AS am FROM (SELECT zone, date, value, rain / 1500 AS p FROM zone_months) WINDOW w AS (PARTITION BY zone ORDER BY date)),
+  avg(value) OVER (PARTITION BY zone) AS am FROM (SELECT zone, date, rain / 1000.0 AS value, value * 1.5 AS p FROM zone_months) WINDOW w AS (PARTITION BY zone ORDER BY date)),
 c AS (SELECT *, e / (nd + 1e-10) AS re, ae / (ae + abs(nd) + 1e-10) AS bre, avg(ae) OVER (PARTITION BY zone) AS mae0, avg(abs(pe)) OVER (PARTITION BY zone) AS mape0 FROM b)
 SELECT zone, round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, round(sqrt(avg(e * e)) / (max(a) - min(a)), 4) AS nrmse, round(avg(e), 4) AS me,
   round(avg(ae), 4) AS mae, round(avg(ae), 4) AS mad, round(exp(avg(ln(ae))), 4) AS gmae, round(quantile_cont(ae, 0.5), 4) AS mdae, round(avg(pe), 4) AS mpe,
@@ -578,16 +578,13 @@ SELECT zone, round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, ro
   round(avg(atan(abs(pe))), 4) AS maape, round(avg(ae) / avg(abs(nd)), 4) AS mase, round(sqrt(sum(pow(e - mae0, 2)) / (count(*) - 1)), 4) AS std_ae,
   round(sqrt(sum(pow(pe - mape0, 2)) / (count(*) - 1)), 4) AS std_ape, round(sqrt(avg(pe * pe)), 4) AS rmspe, round(sqrt(quantile_cont(pe * pe, 0.5)), 4) AS rmdspe,
   round(sqrt(avg(e * e)) / avg(abs(nd)), 4) AS rmsse, round(sqrt(sum(e * e) / sum(pow(a - am, 2))), 4) AS inrse, round(sqrt(sum(e * e) / sum(pow(a - am, 2))), 4) AS rrse,
-  round(avg(CASE WHEN nd <> 0 THEN re END), 4) AS mre, round(sum(ae) / (sum(abs(a - am)) + 1e-10), 4) AS rae, round(avg(CASE WHEN nd <> 0 THEN abs(re) END), 4) AS mrae,
+  round(avg(re), 4) AS mre, round(sum(ae) / (sum(abs(a - am)) + 1e-10), 4) AS rae, round(avg(abs(re)), 4) AS mrae,
   round(quantile_cont(abs(re), 0.5), 4) AS mdrae, round(exp(avg(ln(abs(re)))), 4) AS gmrae, round(avg(bre), 4) AS mbrae,
-  round(avg(bre) / (1 - avg(bre)), 4) AS umbrae, round(avg(CASE WHEN same THEN 1.0 WHEN NOT same THEN 0.0 END), 4) AS mda FROM c GROUP BY zone
-HAVING count(*) FILTER (nd = 0) = 0""")
+  round(avg(bre) / (1 - avg(bre)), 4) AS umbrae, round(avg(CASE WHEN same THEN 1.0 WHEN NOT same THEN 0.0 END), 4) AS mda FROM c GROUP BY zone""")
 def _(spark, sf):
-    m = D.zone_months(spark, sf).withColumn("p", F.col("rain") / 1500)
-    out = M.forecast_metrics(m, ["zone"], "value", "p", places=4)
-    # months that repeat a value make the relative measures explode; such zones are left out here
-    same = W.shifts(m, ["zone"], "value", [1]).where("value = value_lag1").select("zone").distinct()
-    return out.join(same, "zone", "left_anti")
+    m = D.zone_months(spark, sf).select("zone", "date", (F.col("rain") / 1000.0).alias("actual"),
+                                        (F.col("value") * 1.5).alias("forecast"))
+    return M.forecast_metrics(m, ["zone"], "actual", "forecast", places=4)
 
 
 CLASS_SQL = """round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
@@ -672,7 +669,7 @@ def _(spark, sf):
 
 @query("x39_leave_one_out_cue", """
 WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports WHERE severity > 300000),
-m AS (SELECT z.zone, z.date, z.value, round(z.rain / 1000, 0) AS rain, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS y FROM zone_months z LEFT JOIN ev USING (zone, date) WHERE year(z.date) >= 1998),
+m AS (SELECT z.zone, z.date, z.value, round(z.rain / 1000, 0) AS rain, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS y FROM zone_months z LEFT JOIN ev USING (zone, date)),
 l AS (SELECT zone, date, y, 'value' AS cue, value AS v FROM m UNION ALL SELECT zone, date, y, 'rain', rain FROM m),
 cuts AS (SELECT DISTINCT zone, cue, v AS cut FROM l),
 f AS (SELECT h.zone, h.date, h.y, h.cue, h.v, c.cut,
@@ -685,7 +682,7 @@ SELECT *, round(fp / nullif(fp + tn, 0), 6) AS far, round(fn / nullif(tp + fn, 0
   round(tn / nullif(tn + fn, 0), 6) AS npv, round(tp / nullif(tp + fp, 0), 6) AS ppv, round(0.75 * tp / nullif(tp + fn, 0) + 0.25 * tn / nullif(fp + tn, 0), 6) AS wacc FROM c""")
 def _(spark, sf):
     ev = D.events(spark, sf).where("severity > 300000").select("zone", F.trunc("date", "month").alias("date"))
-    m = T.attach_flag(D.zone_months(spark, sf).where(F.year("date") >= 1998), ev, ["zone"], "y")
+    m = T.attach_flag(D.zone_months(spark, sf), ev, ["zone"], "y")
     m = m.withColumn("rain", F.round(F.col("rain") / 1000, 0))
     long = m.unpivot(["zone", "date", "y"], ["value", "rain"], "cue", "v")
     return K.leave_one_out_cue(long, ["zone"], "date", "cue", "v", "y")
@@ -763,10 +760,10 @@ def _(spark, sf):
 
 
 @query("x45_best_score_view", sweep_sql("year(date)", [50, 80, 90]) + """,
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone, percent ORDER BY far NULLS LAST, station) AS rn FROM k WHERE zone < 20) WHERE rn = 1)
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone, percent ORDER BY far NULLS LAST, station) AS rn FROM k WHERE far <= 0.9) WHERE rn = 1)
 SELECT CAST(n_nationkey AS BIGINT) AS zone, n_name AS name, percent, station, pod, far, csi FROM b RIGHT JOIN nation ON b.zone = n_nationkey""")
 def _(spark, sf):
-    scores = maxima_sweep(spark, sf, F.year("date"), [50, 80, 90]).where("zone < 20")
+    scores = maxima_sweep(spark, sf, F.year("date"), [50, 80, 90]).where("far <= 0.9")
     best = X.best_row(scores, ["zone", "percent"], F.col("far"), F.col("station"))
     shapes = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("zone"), F.col("n_name").alias("name"))
     return best.join(shapes, "zone", "right").select("zone", "name", "percent", "station", "pod", "far", "csi")

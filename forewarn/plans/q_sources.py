@@ -36,9 +36,9 @@ def _(spark, sf):
 
 
 @query("s03_file_filter", """
-SELECT zone, date, value FROM zone_days WHERE year(date) BETWEEN 1997 AND 1999 AND zone % 5 <> 0""")
+SELECT zone, date, value FROM zone_days WHERE year(date) BETWEEN 1997 AND 1999 AND value >= 40""")
 def _(spark, sf):
-    kind = F.when(F.col("zone") % 5 == 0, "_QL_").otherwise("_final_")
+    kind = F.when(F.col("value") < 40, "_QL_").otherwise("_final_")
     name = F.concat(F.lit("grid"), kind, F.year("date").cast("string"))
     df = D.zone_days(spark, sf).select("zone", "date", "value", name.alias("product"))
     path = writers.write_partitioned(df, work_path(spark, "products"), ["product"])
