@@ -90,11 +90,15 @@ def fill_event_day(events: DataFrame, rain: DataFrame, keys: list[str], value: s
             .withColumn("date", F.coalesce(known, F.col("wettest_day"))))
 
 
-def catalogue(hazard: DataFrame, mapping: DataFrame, events: DataFrame, zone: str = "zone",
-              station: str = "station", date: str = "date") -> DataFrame:
-    """Impact-hazard catalogue: hazard rows per zone and day, outer-joined with the events."""
-    zoned = hazard.join(mapping, station)
-    return zoned.join(events, [zone, date], "full_outer")
+def catalogue(hazard: DataFrame, mapping: DataFrame, events: DataFrame, summary: dict[str, Column],
+              zone: str = "zone", station: str = "station", date: str = "date") -> DataFrame:
+    """Impact-hazard catalogue: hazard rows per zone and day, outer-joined with the events.
+
+    The reports of one zone and day enter as one row with the columns of ``summary``, so that stations
+    and reports of a busy zone are not multiplied with each other.
+    """
+    daily = events.groupBy(zone, date).agg(*[c.alias(n) for n, c in summary.items()])
+    return hazard.join(mapping, station).join(daily, [zone, date], "full_outer")
 
 
 def label_months(features: DataFrame, sources: dict[str, DataFrame], zone: str = "zone",

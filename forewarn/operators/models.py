@@ -87,12 +87,14 @@ def boosted_trees(train: DataFrame, cols: list[str], label: str, rounds: int = 1
 
 
 def tuned_trees(train: DataFrame, cols: list[str], label: str, keys: list[str],
-                depths=(2, 3), rounds: int = 5, folds: int = 3):
+                depths=(2, 3), step_sizes=(0.1,), least_rows=(3,), gains=(0.0,), rounds: int = 5,
+                folds: int = 3):
     """Boosted trees tuned on true, held-out folds."""
     data = hash_folds(balance_weights(assemble(train, cols), label), keys, folds)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds,
-                        minInstancesPerNode=3, minInfoGain=0.0, stepSize=0.1, seed=11)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).build()
+                        seed=11)
+    grid = (ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(step_sizes))
+            .addGrid(gbt.minInstancesPerNode, list(least_rows)).addGrid(gbt.minInfoGain, list(gains)).build())
     judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     return CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=judge, numFolds=folds,
                           foldCol="fold", parallelism=2).fit(data).bestModel

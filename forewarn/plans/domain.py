@@ -143,10 +143,8 @@ def zone_flagged(spark, sf) -> DataFrame:
 
 def station_flagged(spark, sf) -> DataFrame:
     """Filled station series with the event flag of the station's zone."""
-    stations = mapping(spark, sf)
-    marks = event_days(spark, sf).join(stations, "zone").select("station", "date")
-    filled = filled_with_marks(station_days(spark, sf), marks, ["station"], "value", ["rain"])
-    return filled.join(stations, "station")
+    from .pipelines import flagged_stations
+    return flagged_stations(station_days(spark, sf), mapping(spark, sf), event_days(spark, sf), ["rain"])
 
 
 def station_places(spark, sf) -> DataFrame:

@@ -17,7 +17,9 @@ from ..operators import skill as K
 from ..operators import spatial as G
 from ..operators import triggers as X
 from ..operators.windows import along, whole
+from ..session import work_path
 from . import domain as D
+from . import pipelines as P
 from .q_aggregates import PERCENTS, Q90, predicted
 from .q_scalars import ppf_sql
 from .q_windows import PEAKS_SQL, peaks
@@ -83,20 +85,8 @@ def _(spark, sf):
 LEADS = [3, 7]
 
 
-def lead_series(spark, sf, leads=LEADS):
-    """Flagged station series once per lead time."""
-    days = D.station_flagged(spark, sf)
-    w = along(["station"], "date")
-    shifted = F.array(*[F.struct(F.lit(k).alias("lead"), F.lead("value", k).over(w).alias("v")) for k in leads])
-    return (days.withColumn("_l", shifted).select("zone", "station", "date", "event", F.inline("_l"))
-            .where(F.col("v").isNotNull()).withColumnRenamed("v", "value"))
-
-
-def best_triggers(spark, sf, percents=PERCENTS, day_range=40):
-    table = X.trigger_table(
-        Q.with_levels(lead_series(spark, sf), ["zone", "station", "lead"], "value", percents),
-        ["zone", "station", "lead"], "value", "event", "levels", percents, day_range)
-    return table.where(F.col("detection_ratio") > 0)
+def best_triggers(spark, sf):
+    return P.warning_table(D.station_flagged(spark, sf), LEADS, PERCENTS, 40)
 
 
 TABLE_SQL = f"""
@@ -155,13 +145,6 @@ def _(spark, sf):
     return K.skill_ratios(K.confusion(predicted(spark, sf), ["zone"], "event", "pred"))
 
 
-def levels_of_maxima(maxima, percents):
-    """Ascending quantiles of block maxima per station."""
-    probs = F.array(*[F.lit(p / 100.0) for p in percents])
-    q = maxima.groupBy("station").agg(F.percentile("block_max", probs).alias("q"))
-    return q.select("station", F.transform("q", lambda x: F.round(x, 6)).alias("levels"))
-
-
 def sweep_sql(block: str, percents: list[int]) -> str:
     return f"""
 WITH bm AS (SELECT station, {block} AS b, max(value) AS mx FROM station_days GROUP BY 1, 2),
@@ -177,10 +160,7 @@ k AS (SELECT zone, station, percent, h AS hits, s - h AS false_alarms, m AS miss
 
 
 def maxima_sweep(spark, sf, block, percents):
-    """Period skill of every station at quantiles of its own block maxima."""
-    days = D.station_flagged(spark, sf)
-    lv = levels_of_maxima(Q.block_maxima(D.station_days(spark, sf), ["station"], "value", block), percents)
-    return K.threshold_sweep(days.join(lv, "station"), ["zone", "station"], "value", "event", "levels", percents)
+    return P.station_skill(D.station_flagged(spark, sf), D.station_days(spark, sf), block, percents)
 
 
 @query("x09_fixed_quantiles", sweep_sql("year(date)", [50, 80, 90]) + "SELECT * FROM k")
@@ -209,9 +189,7 @@ SELECT zone, station, percent, hits, false_alarms, misses, pod, far, pofd, csi,
   PARTITION BY zone ORDER BY objective NULLS LAST, station, percent) AS rn FROM (
   SELECT *, round(0.5 * far + 0.5 * (1 - pod), 6) AS objective FROM k)) WHERE rn = 1""")
 def _(spark, sf):
-    scores = maxima_sweep(spark, sf, S.half_year(F.col("date")), GRID)
-    scores = scores.withColumn("objective", F.round(0.5 * F.col("far") + 0.5 * (1 - F.col("pod")), 6))
-    return X.best_row(scores, ["zone"], F.col("objective"), F.col("station"), F.col("percent"))
+    return P.best_thresholds(maxima_sweep(spark, sf, S.half_year(F.col("date")), GRID))
 
 
 YEARLY = [80, 90, 95, 99]
@@ -229,7 +207,7 @@ p AS (SELECT y.zone, y.lead, percent, CASE WHEN mx > thr THEN 1 ELSE 0 END AS x,
 SELECT zone, lead, percent, {COUNTS_SQL} FROM p GROUP BY 1, 2, 3""")
 def _(spark, sf):
     by = ["zone", "station", "lead"]
-    s = lead_series(spark, sf, [0, 4, 7])
+    s = P.lead_series(D.station_flagged(spark, sf), [0, 4, 7])
     # one pass per series: its quantiles and its yearly maxima come from the same partitions
     y = Q.with_levels(s, by, "value", YEARLY).groupBy(*by, F.year("date").alias("year")).agg(
         F.max("value").alias("mx"), F.any_value("levels").alias("levels"))
@@ -538,12 +516,13 @@ def _(spark, sf):
 
 
 @query("x25_impact_catalogue", """
-SELECT zone, date, station, value, report FROM (SELECT s_nationkey AS zone, f.date, f.station, f.value FROM station_filled f
-  JOIN supplier ON f.station = s_suppkey) h FULL JOIN (SELECT zone, date, report FROM impact_reports) e USING (zone, date)""")
+SELECT zone, date, station, value, reports, affected FROM (SELECT s_nationkey AS zone, f.date, f.station, f.value FROM station_filled f
+  JOIN supplier ON f.station = s_suppkey) h FULL JOIN (SELECT zone, date, count(*) AS reports, round(sum(severity), 2) AS affected
+  FROM impact_reports GROUP BY 1, 2) e USING (zone, date)""")
 def _(spark, sf):
-    ev = D.events(spark, sf).select("zone", "date", "report")
-    return I.catalogue(D.station_filled(spark, sf).select("station", "date", "value"), D.mapping(spark, sf), ev).select(
-        "zone", "date", "station", "value", "report")
+    hazard = D.station_filled(spark, sf).select("station", "date", "value")
+    return I.catalogue(hazard, D.mapping(spark, sf), D.events(spark, sf), {
+        "reports": F.count("*"), "affected": F.round(F.sum("severity"), 2)})
 
 
 @query("x26_drought_catalogue", """
@@ -775,5 +754,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY 0.5 * false_alarm_
   FROM tt WHERE detection_ratio > 0) WHERE rn = 1""")
 def best_warning(spark, sf):
     """Which station, lead time and threshold warns each zone best?"""
-    loss = 0.5 * F.col("false_alarm_ratio") + 0.5 * (1 - F.col("detection_ratio"))
-    return X.best_row(best_triggers(spark, sf), ["zone"], loss, -F.col("lead"), F.col("station"), F.col("percent"))
+    return P.best_warnings(best_triggers(spark, sf))
+
+
+@query("x46_indicator_refresh", """
+WITH z AS (SELECT zone, date, avg(value) AS value FROM cell_days JOIN cell_zone USING (iy, ix) GROUP BY 1, 2)
+SELECT zone, date, round(CASE WHEN stddev_pop(value) OVER w = 0 THEN 0.0 ELSE (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS normal
+FROM z WINDOW w AS (PARTITION BY zone, month(date))""")
+def _(spark, sf):
+    days, bridge = D.cell_days(spark, sf), D.cell_zone(spark, sf)
+    table = work_path(spark, "indicator-store")
+    # two refreshes that overlap by a year
+    P.refresh_indicator(days.where("date < DATE '1999-01-01'"), bridge, table, "flow")
+    P.refresh_indicator(days.where("date >= DATE '1998-01-01'"), bridge, table, "flow")
+    out = P.standardised_indicator(spark.read.parquet(table))
+    return out.select("zone", "date", F.round("normal", 6).alias("normal"))

@@ -29,9 +29,10 @@ def test_peak_ranges_share_one_exchange(spark, sf):
 
 
 def test_trigger_table_adds_no_exchange_to_its_series(spark, sf):
-    from forewarn.plans.q_domain import best_triggers, lead_series
-    series = plan(lead_series(spark, sf)).count("Exchange hashpartitioning")
-    table = plan(best_triggers(spark, sf)).count("Exchange hashpartitioning")
+    from forewarn.plans import pipelines as P
+    flagged = D.station_flagged(spark, sf)
+    series = plan(P.lead_series(flagged, [3, 7])).count("Exchange hashpartitioning")
+    table = plan(P.warning_table(flagged, [3, 7], [80, 90], 40)).count("Exchange hashpartitioning")
     assert table <= series + 2  # the two small histograms
 
 
