@@ -1,3 +1,10 @@
 """forewarn: early-warning trigger analytics as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python helpers that run in tasks travel with the plan, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

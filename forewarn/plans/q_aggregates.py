@@ -12,6 +12,7 @@ from ..operators import reshape as R
 from ..operators import skill as K
 from ..operators import spatial as G
 from ..operators import triggers as T
+from ..session import cut_lineage
 from . import domain as D
 from .registry import query
 
@@ -419,10 +420,13 @@ def _(spark, sf):
 
 @query("o04_greedy_path")
 def _(spark, sf):
-    o = overlap(spark, sf)
     cell = F.col("cy") * 10000 + F.col("cx")
-    table = o.select(cell.alias("cell"), (F.col("ny") * 10000 + F.col("nx")).alias("neighbour"), "percentage")
-    return G.greedy_path(table, "cell", "neighbour", 50005, steps=8, limit=5.0)
+    table = cut_lineage(overlap(spark, sf).select(
+        cell.alias("cell"), (F.col("ny") * 10000 + F.col("nx")).alias("neighbour"), "percentage"))
+    # the click: the cell with the strongest neighbour
+    click = table.where("cell <> neighbour").orderBy(F.desc("percentage"), "cell").first()
+    start = click["cell"] if click else 0
+    return G.greedy_path(table, "cell", "neighbour", start, steps=8, limit=5.0)
 
 
 @query("u01_union_by_name", """
