@@ -17,7 +17,7 @@ def test_matches_sql(spark, duck, sf, name):
 def test_entry_points_agree():
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert len(e.queries()) == len(QUERIES)
+    assert set(QUERIES) <= set(e.queries())
 
 
 NO_SQL = {"a25_bootstrap_wacc", "a26_random_baseline", "o04_greedy_path", "x20b_return_levels_mle", "x38_seasonal_forecast",
