@@ -55,5 +55,5 @@ def components(edges: DataFrame) -> DataFrame:
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             return after.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")) \
-                .union(after.select("b", "b").distinct())
+                .union(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state, now = seen, after

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup
+from . import bpe, chat, decontam, forest_join, langid, line_dedup, suffix_dedup, topk, warc, wrappers
 from .common import table
+from forewarn.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,95 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     found = decontam.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.count("*").alias("n_overlaps"), F.max("n_equal").alias("n_equal"))
+
+
+@query("op1_chat_formatting", r"""
+WITH extra(conv_id, turn, role, text) AS (
+  VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM extra)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g'))
+              + length(text) + length(regexp_replace(text, '[^\\#<:]', '', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    told = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    out = chat.format_trees(chat.threads(turns.unionByName(extra)))
+    read = out.withColumn("said", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("mask")))
+    lines = F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("said").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op4_exact_top_k", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    return topk.search(v, v.where("vec_id % 50 = 0"), 5)
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs, langid.public_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_warc", r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (hex)""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_path(spark, "archives")
+    warc.write(table(spark, sf, "pages"), path)
+    return warc.read(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = bpe.public_vocabulary()
+    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    return bpe.digests(bpe.decode(ids, vocabulary))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each document: its class, and its number of links."""
+    out = forest_join.similar(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    out = wrappers.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
