@@ -17,18 +17,20 @@ def _gev_nll(theta, x):
     return x.size * log_scale + np.sum((1 + 1 / xi) * np.log(t) + t ** (-1 / xi))
 
 
-def _simplex(f, start, steps=400):
-    """Plain Nelder-Mead for three parameters."""
+def _simplex(f, start, steps=20000):
+    """Plain Nelder-Mead for three parameters: the best point, and whether the points met."""
     pts = [np.array(start, float)]
     for i in range(len(start)):
         p = pts[0].copy()
         p[i] += 0.1 if p[i] == 0 else 0.1 * abs(p[i])
         pts.append(p)
     vals = [f(p) for p in pts]
+    met = False
     for _ in range(steps):
         order = np.argsort(vals)
         pts, vals = [pts[i] for i in order], [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) < 1e-10:
+        met = abs(vals[-1] - vals[0]) < 1e-10
+        if met:
             break
         mid = np.mean(pts[:-1], axis=0)
         refl = mid + (mid - pts[-1])
@@ -47,8 +49,7 @@ def _simplex(f, start, steps=400):
             else:
                 pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
                 vals = [f(p) for p in pts]
-    best = int(np.argmin(vals))
-    return pts[best]
+    return pts[int(np.argmin(vals))], bool(met)
 
 
 def _level(theta, period):
@@ -60,15 +61,19 @@ def _level(theta, period):
 
 
 def fit_gev_levels(pdf: pd.DataFrame, keys, value, periods) -> pd.DataFrame:
-    """Return levels of one key with delta-method intervals."""
+    """Return levels of one key with delta-method intervals.
+
+    ``converged`` tells whether the search for the most likely parameters met; bounds are null where it did not, or
+    where the curvature there is not positive definite.
+    """
     x = pdf[value].dropna().to_numpy(float)
     head = {k: pdf[k].iloc[0] for k in keys}
     if x.size < 5 or np.ptp(x) == 0:
-        return pd.DataFrame([{**head, "period": t, "low": None, "estimate": None, "high": None}
+        return pd.DataFrame([{**head, "period": t, "low": None, "estimate": None, "high": None, "converged": False}
                              for t in periods])
     scale = np.std(x, ddof=1) * np.sqrt(6) / np.pi
     start = (np.mean(x) - 0.5772156649 * scale, np.log(scale), 0.05)
-    theta = _simplex(lambda p: _gev_nll(p, x), start)
+    theta, met = _simplex(lambda p: _gev_nll(p, x), start)
     h = np.maximum(np.abs(theta), 1e-2) * 1e-3
     hess = np.empty((3, 3))
     for i in range(3):
@@ -79,36 +84,63 @@ def fit_gev_levels(pdf: pd.DataFrame, keys, value, periods) -> pd.DataFrame:
                 p[j] += b * h[j]
                 return _gev_nll(p, x)
             hess[i, j] = (at(1, 1) - at(1, -1) - at(-1, 1) + at(-1, -1)) / (4 * h[i] * h[j])
-    cov = np.linalg.pinv(hess)
+    sound = met and np.all(np.isfinite(hess)) and np.all(np.linalg.eigvalsh((hess + hess.T) / 2) > 0)
+    cov = np.linalg.inv(hess) if sound else None
     rows = []
     for t in periods:
         est = _level(theta, t)
         grad = np.array([(_level(theta + d, t) - _level(theta - d, t)) / (2 * d[i])
                          for i, d in enumerate(np.diag(h))])
-        se = np.sqrt(max(float(grad @ cov @ grad), 0.0))
-        rows.append({**head, "period": t, "low": est - 1.96 * se, "estimate": est,
-                     "high": est + 1.96 * se})
+        se = np.sqrt(float(grad @ cov @ grad)) if sound else np.nan
+        rows.append({**head, "period": t, "low": est - 1.96 * se if sound else None, "estimate": est,
+                     "high": est + 1.96 * se if sound else None, "converged": met})
     return pd.DataFrame(rows)
 
 
 def gamma_cdf(shape: np.ndarray, x: np.ndarray, lgamma: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma by its series, vectorised over a batch.
+    """Regularised lower incomplete gamma, vectorised over a batch.
 
-    ``lgamma`` is the log gamma of ``shape + 1``. Terms are added until none matters any more.
+    ``lgamma`` is the log gamma of ``shape + 1``. Up to ``shape + 1`` the series is added up, beyond it the continued
+    fraction of the complement; a row leaves the loop when its own result stands still.
     """
     out = np.full(shape.shape, np.nan)
     ok = np.isfinite(shape) & np.isfinite(x) & (shape > 0)
-    a, v = shape[ok], np.maximum(x[ok], 0.0)
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        term = np.where(v > 0, np.exp(a * np.log(np.where(v > 0, v, 1.0)) - v - lgamma[ok]), 0.0)
-        total = term.copy()
-        n = 0
-        while n < 20000 and np.any(term > 1e-17 * np.maximum(total, 1e-300)):
-            n += 1
-            term = term * v / (a + n)
-            total = total + term
-    out[ok] = np.minimum(total, 1.0)
-    return out
+    out[ok & (x <= 0)] = 0.0
+    for low in (True, False):
+        rows = np.flatnonzero(ok & (x > 0) & ((x <= shape + 1) == low))
+        a, v = shape[rows], x[rows]
+        front = np.exp(a * np.log(v) - v - lgamma[rows])
+        out[rows] = np.minimum(front * _series(a, v), 1.0) if low else 1.0 - front * a * _fraction(a, v)
+    return np.clip(out, 0.0, 1.0)
+
+
+def _series(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    total, open_ = np.ones_like(v), np.arange(len(v))
+    term, n = np.ones_like(v), 0
+    while len(open_):
+        n += 1
+        term = term * v[open_] / (a[open_] + n)
+        total[open_] += term
+        left = term > 1e-17 * total[open_]
+        open_, term = open_[left], term[left]
+    return total
+
+
+def _fraction(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    b = v + 1.0 - a
+    c = np.full_like(v, 1e300)
+    d = 1.0 / b
+    h, open_, n = d.copy(), np.arange(len(v)), 0
+    while len(open_):
+        n += 1
+        an = -n * (n - a[open_])
+        b[open_] += 2.0
+        d[open_] = 1.0 / (an * d[open_] + b[open_])
+        c[open_] = b[open_] + an / c[open_]
+        step = d[open_] * c[open_]
+        h[open_] *= step
+        open_ = open_[np.abs(step - 1.0) > 4e-16]
+    return h
 
 
 def harmonic_forecast(y: np.ndarray, month: np.ndarray, train: int) -> np.ndarray:

@@ -111,18 +111,27 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting against a closed ring (``ARRAY<STRUCT<x, y>>``): odd crossings are inside."""
-    def crossing(i: Column) -> Column:
-        a = F.element_at(ring, i)
-        b = F.element_at(ring, i + 1)
+def ring_edges(ring: Column) -> Column:
+    """Edges (``a``, ``b``) of a closed ring (``ARRAY<STRUCT<x, y>>``); a ring of fewer than two points has none."""
+    starts = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.transform(starts, lambda p, i: F.struct(p.alias("a"), F.get(ring, i + 1).alias("b")))
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Ray casting: odd crossings are inside. The edges may come from several rings, so holes and separate parts need
+    no rule of their own."""
+    def crossing(e: Column) -> Column:
+        a, b = e["a"], e["b"]
         spans = (a["y"] > y) != (b["y"] > y)
         at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
         return F.when(spans & (x < at), F.lit(1)).otherwise(F.lit(0))
 
-    edges = F.sequence(F.lit(1), F.size(ring) - 1)
-    crossings = F.aggregate(edges, F.lit(0), lambda acc, i: acc + crossing(i))
-    return crossings % 2 == 1
+    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies inside a closed ring."""
+    return inside_edges(x, y, ring_edges(ring))
 
 
 def parse_date(c: Column, *formats: str) -> Column:
@@ -174,6 +183,15 @@ def overlap_band(pct: Column) -> Column:
             .when(pct > 20, "low").otherwise("very low"))
 
 
+def log_gamma(x: Column) -> Column:
+    """Log gamma for ``x > 0``: Stirling's series above 10, reached by the recurrence."""
+    z = x + 10
+    inv = 1 / z
+    series = inv / 12 - F.pow(inv, 3) / 360 + F.pow(inv, 5) / 1260 - F.pow(inv, 7) / 1680 + F.pow(inv, 9) / 1188
+    steps = sum((F.ln(x + k) for k in range(1, 10)), F.ln(x))
+    return F.when(x > 0, (z - 0.5) * F.ln(z) - z + 0.9189385332046727 + series - steps)
+
+
 def half_year(d: Column) -> Column:
     """Half-year block number ``2 * year + {0, 1}``."""
     return F.year(d) * 2 + F.when(F.month(d) > 6, 1).otherwise(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .windows import along, whole
 
+# The guard against division by zero and the names of the measures.
 EPSILON = 1e-10
 
 NAMES = ["mse", "rmse", "nrmse", "me", "mae", "mad", "gmae", "mdae", "mpe", "mape", "mdape", "smape",

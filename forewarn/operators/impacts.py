@@ -9,10 +9,6 @@ from ..functions.scalar import add_missing, build_date, event_interval
 from .rolling import runs
 from .windows import along, past
 
-# The columns shared by all impact sources.
-IMPACT_COLUMNS = ["data_source", "country", "disaster_type", "location", "event_date", "start_date",
-                  "end_date", "people_dead", "people_injured", "people_affected"]
-
 
 def harmonise_sheet(df: DataFrame, source: str) -> DataFrame:
     """Event sheet with split start/end dates and totals per event."""

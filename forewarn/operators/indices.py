@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import gamma_fn, norm_ppf
+from ..functions.scalar import gamma_fn, log_gamma, norm_ppf
 from .rolling import rolling_trailing
 from .windows import along, whole
 
@@ -47,23 +45,30 @@ def climatology_anomaly(df: DataFrame, keys: list[str], value: str, period: Colu
     return out.withColumn("anomaly_scaled", F.try_divide(F.col("anomaly"), F.col("clim_sd")))
 
 
-def spi(monthly: DataFrame, keys: list[str], value: str, scale: int, date: str = "date") -> DataFrame:
-    """Standardised precipitation index: gamma distribution per key and calendar month.
+def accumulated(monthly: DataFrame, keys: list[str], value: str, scales: list[int], date: str = "date") -> DataFrame:
+    """Sums over the last ``scale`` months for every scale: a row for each month and scale, all windows on one sort."""
+    for n in scales:
+        monthly = rolling_trailing(monthly, keys, value, f"_acc{n}", n, "sum", True, date)
+    each = F.array(*[F.struct(F.lit(n).alias("scale"), F.col(f"_acc{n}").alias("acc")) for n in scales])
+    return (monthly.withColumn("_s", F.explode(F.filter(each, lambda s: s["acc"].isNotNull())))
+            .withColumns({"scale": F.col("_s.scale"), "acc": F.col("_s.acc"), "month": F.month(date)})
+            .drop("_s", *[f"_acc{n}" for n in scales]))
+
 
-    The ``scale``-month sums are fitted by the closed-form maximum-likelihood approximation from two
+def spi(monthly: DataFrame, keys: list[str], value: str, scales: list[int], date: str = "date") -> DataFrame:
+    """Standardised precipitation index of every scale: gamma distribution per key, scale and calendar month.
+
+    The sums over each scale's months are fitted by the closed-form maximum-likelihood approximation from two
     averages; zeros keep their own probability mass.
     """
     from ..functions.fits import gamma_cdf
 
     @F.pandas_udf("double")
-    def cdf(a: pd.Series, x: pd.Series) -> pd.Series:
-        av = a.to_numpy(float, na_value=np.nan)
-        lg = np.array([math.lgamma(v + 1) if v > 0 else np.nan for v in av])
-        return pd.Series(gamma_cdf(av, x.to_numpy(float, na_value=np.nan), lg))
-
-    df = rolling_trailing(monthly, keys, value, "acc", scale, "sum", True, date)
-    df = df.where(F.col("acc").isNotNull()).withColumn("month", F.month(date))
-    g = whole([*keys, "month"])
+    def cdf(a: pd.Series, x: pd.Series, lg: pd.Series) -> pd.Series:
+        return pd.Series(gamma_cdf(*(c.to_numpy(float, na_value=np.nan) for c in (a, x, lg))))
+
+    df = accumulated(monthly, keys, value, scales, date)
+    g = whole([*keys, "scale", "month"])
     pos = F.when(F.col("acc") > 0, F.col("acc"))
     mean, log_mean = F.avg(pos).over(g), F.avg(F.ln(pos)).over(g)
     df = df.withColumns({"_a": F.ln(mean) - log_mean, "_m": mean,
@@ -72,21 +77,20 @@ def spi(monthly: DataFrame, keys: list[str], value: str, scale: int, date: str =
                    / (F.lit(4.0) * F.col("_a")))
     df = df.withColumn("_shape", shape)
     x = F.try_divide(F.col("acc") * F.col("_shape"), F.col("_m"))
-    df = df.withColumn("_g", cdf(F.col("_shape"), x))
+    df = df.withColumn("_g", cdf(F.col("_shape"), x, log_gamma(F.col("_shape") + 1)))
     p = F.col("_q") + (F.lit(1.0) - F.col("_q")) * F.col("_g")
     return df.withColumn("spi", norm_ppf(p)).drop("_a", "_m", "_q", "_shape", "_g")
 
 
-def spei(monthly: DataFrame, keys: list[str], balance: str, scale: int,
+def spei(monthly: DataFrame, keys: list[str], balance: str, scales: list[int],
          date: str = "date") -> DataFrame:
-    """Standardised precipitation-evapotranspiration index: log-logistic by L-moments.
+    """Standardised precipitation-evapotranspiration index of every scale: log-logistic by L-moments.
 
-    Probability-weighted moments of each key and calendar month are plain window averages, so the
+    Probability-weighted moments of each key, scale and calendar month are plain window averages, so the
     whole index is one native plan.
     """
-    df = rolling_trailing(monthly, keys, balance, "acc", scale, "sum", True, date)
-    df = df.where(F.col("acc").isNotNull()).withColumn("month", F.month(date))
-    by = [*keys, "month"]
+    df = accumulated(monthly, keys, balance, scales, date)
+    by = [*keys, "scale", "month"]
     g, x = whole(by), F.col("acc")
     df = df.withColumns({"_r": F.row_number().over(along(by, ["acc", date])),
                          "_n": F.count(F.lit(1)).over(g)})

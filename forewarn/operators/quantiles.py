@@ -210,7 +210,7 @@ def gev_likelihood_levels(maxima: DataFrame, keys: list[str], value: str,
     from ..functions.fits import fit_gev_levels
     types = dict(maxima.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
-    schema += ", period int, low double, estimate double, high double"
+    schema += ", period int, low double, estimate double, high double, converged boolean"
 
     def fit(pdf):
         return fit_gev_levels(pdf, keys, value, periods)

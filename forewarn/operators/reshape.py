@@ -57,15 +57,15 @@ def to_wide(df: DataFrame, keys: list[str], name: str, names: list, agg: Column)
     return df.groupBy(*keys).pivot(name, names).agg(agg)
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], prefix: str, most: int,
+def number_within(df: DataFrame, keys: list[str], order: list[str], prefix: str,
                   out: str = "slot") -> DataFrame:
-    """Label the first ``most`` rows of each key ``prefix1``, ``prefix2`` ...
+    """Label the rows of each key ``prefix1``, ``prefix2`` ..., as many as there are."""
+    return df.withColumn(out, F.concat(F.lit(prefix), F.row_number().over(along(keys, order)).cast("string")))
 
-    The filter on the row number lets Spark keep ``most`` rows per key and task before the shuffle.
-    """
-    rn = F.row_number().over(along(keys, order))
-    return (df.withColumn("_rn", rn).where(F.col("_rn") <= most)
-            .withColumn(out, F.concat(F.lit(prefix), F.col("_rn").cast("string"))).drop("_rn"))
+
+def spread_slots(numbered: DataFrame, keys: list[str], value: str, slot: str = "slot", out: str = "slots") -> DataFrame:
+    """One row per key with a map from slot to value: the wide form for any number of slots."""
+    return numbered.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(slot, value))).alias(out))
 
 
 def repeat_months(df: DataFrame, year: str, months: list[tuple[int, int]]) -> DataFrame:

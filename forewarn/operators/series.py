@@ -119,18 +119,22 @@ def attach_flag(series: DataFrame, events: DataFrame, keys: list[str], flag: str
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(0))))
 
 
-def cooldown(df: DataFrame, keys: list[str], days: int, date: str = "date",
-             mode: str = "since_previous") -> DataFrame:
-    """Thin exceedances in time.
+def cooldowns(df: DataFrame, keys: list[str], modes: dict[str, int], date: str = "date") -> DataFrame:
+    """Thin exceedances in time, by one or both rules from one window; adds ``mode`` and ``gap_days``.
 
-    ``since_previous`` keeps a row more than ``days`` after the exceedance before it (the first row
-    stays); ``until_next`` keeps a row whose successor is more than ``days`` away (the last row goes).
+    ``since_previous`` keeps a row more than its days after the exceedance before it (the first row stays, its gap is
+    null); ``until_next`` keeps a row whose successor is more than its days away (the last row goes).
     """
     w = along(keys, date)
-    if mode == "since_previous":
-        gap = F.coalesce(F.datediff(F.col(date), F.lag(date).over(w)), F.lit(9999))
-    elif mode == "until_next":
-        gap = F.datediff(F.lead(date).over(w), F.col(date))
-    else:
-        raise ValueError(mode)
-    return df.withColumn("gap_days", gap).where(F.col("gap_days") > days)
+    gaps = {"since_previous": F.datediff(F.col(date), F.lag(date).over(w)),
+            "until_next": F.datediff(F.lead(date).over(w), F.col(date))}
+    rows = df.withColumn("_g", F.array(*[
+        F.struct(F.lit(m).alias("mode"), gaps[m].alias("gap_days"), F.lit(days).alias("days")) for m, days in modes.items()]))
+    kept = F.filter("_g", lambda g: (g["gap_days"] > g["days"]) | (g["gap_days"].isNull() & (g["mode"] == "since_previous")))
+    return rows.withColumn("_g", F.explode(kept)).select(*df.columns, "_g.mode", "_g.gap_days")
+
+
+def cooldown(df: DataFrame, keys: list[str], days: int, date: str = "date",
+             mode: str = "since_previous") -> DataFrame:
+    """Thin exceedances in time by one rule of ``cooldowns``."""
+    return cooldowns(df, keys, {mode: days}, date).drop("mode")

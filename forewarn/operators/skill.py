@@ -79,19 +79,24 @@ def period_skill(df: DataFrame, keys: list[str], obs: str, pred: str, hits: str
                  date: str = "date") -> DataFrame:
     """Score stretches of predicted days as single warnings.
 
-    ``per_period`` counts a stretch with events once, ``per_day`` every event day inside one.
+    ``per_period`` counts a stretch with events once, ``per_day`` every event day inside one; ``both`` gives a row for
+    each, told apart by ``variant``, from one aggregate.
     """
     w = along(keys, date)
     prev = F.coalesce(F.lag(pred).over(w), F.lit(0))
     df = df.withColumn("_start", F.when((F.col(pred) == 1) & (prev == 0), 1).otherwise(0))
     df = df.withColumn("_no", F.sum("_start").over(past(keys, date)))
     both = (F.col(obs) == 1) & (F.col(pred) == 1)
-    hit = (F.count_distinct(F.when(both, F.col("_no"))) if hits == "per_period"
-           else F.count(F.when(both, 1)))
+    ways = {"per_period": F.count_distinct(F.when(both, F.col("_no"))), "per_day": F.count(F.when(both, 1))}
+    chosen = list(ways) if hits == "both" else [hits]
     sums = df.groupBy(*keys).agg(
-        hit.alias("hits"), F.sum("_start").alias("starts"),
+        *[ways[n].alias(f"_{n}") for n in chosen], F.sum("_start").alias("starts"),
         F.count(F.when((F.col(obs) == 1) & (F.col(pred) == 0), 1)).alias("misses"))
-    return _period_ratios(sums, keys)
+    if hits != "both":
+        return _period_ratios(sums.withColumnRenamed(f"_{hits}", "hits"), keys)
+    flat = sums.withColumn("_v", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("variant"), F.col(f"_{n}").alias("hits")) for n in chosen])))
+    return _period_ratios(flat.select(*keys, "_v.variant", "_v.hits", "starts", "misses"), [*keys, "variant"])
 
 
 def threshold_sweep(series: DataFrame, keys: list[str], value: str, event: str, levels: str,
@@ -158,6 +163,29 @@ def auc(points: DataFrame, keys: list[str]) -> DataFrame:
                        F.round(ratio(F.col("_a"), F.col("n_pos") * F.col("n_neg")), 6).alias("auc"))
 
 
+def confusion_with_auc(df: DataFrame, keys: list[str], label: str, pred: str, score: str) -> DataFrame:
+    """Confusion counts and the area under the ROC curve from one histogram of the scores.
+
+    ``pred`` must be the same for equal scores of a key, as a threshold on the score is. For series bounded by the
+    calendar; raw rows take ``confusion`` and ``roc_points``.
+    """
+    event = F.col(label).cast("bigint")
+    hist = df.groupBy(*keys, score).agg(F.sum(event).alias("_pos"), F.sum(1 - event).alias("_neg"),
+                                        F.max(pred).alias("_hit"))
+    above = F.sum("_pos").over(past(keys, [F.col(score).desc()])) - F.col("_pos")
+    area = F.when(F.col(score).isNotNull(), F.col("_neg") * (above + F.col("_pos") / F.lit(2.0)))
+    rows = hist.withColumn("_area", area)
+
+    def total(column: str, hit: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_hit") == hit, F.col(column))), F.lit(0))
+
+    counts = rows.groupBy(*keys).agg(
+        total("_pos", 1).alias("tp"), total("_neg", 1).alias("fp"), total("_neg", 0).alias("tn"),
+        total("_pos", 0).alias("fn"), F.sum("_area").alias("_a"))
+    pairs = (F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn"))
+    return counts.withColumn("auc", F.round(ratio(F.col("_a"), pairs), 6)).drop("_a")
+
+
 def bootstrap_wacc(counts: DataFrame, keys: list[str], resamples: int = 1000,
                    seed: int = 7) -> DataFrame:
     """Bootstrap of the weighted accuracy.

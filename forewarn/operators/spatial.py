@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import haversine_km, in_ring, ratio
+from ..functions.scalar import haversine_km, inside_edges, ratio, ring_edges
 from ..session import cut_lineage
 from .windows import along
 
@@ -20,41 +23,68 @@ def cell_centre(c: Column) -> Column:
     return F.floor(c * 10) / F.lit(10.0) + F.lit(0.05)
 
 
+def with_edges(zones: DataFrame, zone: str, ring: str) -> DataFrame:
+    """``zone`` and ``_edges``: of one closed ring, or of an array of rings (parts and holes)."""
+    several = dict(zones.dtypes)[ring].startswith("array<array<")
+    edges = F.flatten(F.transform(ring, ring_edges)) if several else ring_edges(F.col(ring))
+    return zones.select(zone, edges.alias("_edges"))
+
+
 def zone_cover(zones: DataFrame, zone: str, ring: str, size: float = 1.0) -> DataFrame:
-    """One row per zone and coarse cell touched by its bounding box."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    box = zones.select(zone, ring, *[
+    """One row per zone and coarse cell touched by its bounding box; no geometry is copied."""
+    points = F.transform("_edges", lambda e: e["a"])
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    box = with_edges(zones, zone, ring).select(zone, *[
         cell_index(f(a), size).alias(n) for n, f, a in (
             ("_x0", F.array_min, xs), ("_x1", F.array_max, xs),
             ("_y0", F.array_min, ys), ("_y1", F.array_max, ys))])
     cols = box.withColumn("_cx", F.explode(F.sequence("_x0", "_x1")))
-    return cols.withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).select(zone, ring, "_cx", "_cy")
+    return cols.withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).select(zone, "_cx", "_cy")
 
 
 def points_in_zones(points: DataFrame, zones: DataFrame, zone: str, x: str, y: str,
                     ring: str = "ring", size: float = 1.0) -> DataFrame:
     """Zone of each point: equi-join on coarse cells, then ray casting. Points outside are dropped.
 
-    Run it on distinct coordinates (stations, grid cells) and join facts to the result, so that the
+    A zone is a closed ring or an array of rings, its parts and holes. Cells and zones meet by their ids, the geometry
+    joins afterwards. Run it on distinct coordinates (stations, grid cells) and join facts to the result, so that the
     geometry is tested once per place and not once per observation.
     """
     cover = zone_cover(zones, zone, ring, size)
     keyed = points.withColumns({"_cx": cell_index(F.col(x), size), "_cy": cell_index(F.col(y), size)})
-    return (keyed.join(cover, ["_cx", "_cy"]).where(in_ring(F.col(x), F.col(y), F.col(ring)))
-            .drop("_cx", "_cy", ring))
+    pairs = keyed.join(cover, ["_cx", "_cy"]).drop("_cx", "_cy")
+    return (pairs.join(with_edges(zones, zone, ring), zone)
+            .where(inside_edges(F.col(x), F.col(y), F.col("_edges"))).select(*points.columns, zone))
+
+
+def edges_meet_square(edges: Column, x: Column, y: Column, half: float) -> Column:
+    """Whether an edge meets the closed square around a centre (separating axes)."""
+    def meets(e):
+        p, q = e["a"], e["b"]
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        apart = F.abs(dx * (y - p["y"]) - dy * (x - p["x"]))
+        return ((F.least(p["x"], q["x"]) <= x + half) & (F.greatest(p["x"], q["x"]) >= x - half)
+                & (F.least(p["y"], q["y"]) <= y + half) & (F.greatest(p["y"], q["y"]) >= y - half)
+                & (apart <= half * (F.abs(dx) + F.abs(dy))))
+
+    return F.exists(edges, meets)
 
 
 def cells_touching_zones(cells: DataFrame, zones: DataFrame, zone: str, x: str, y: str,
                          half: float = 0.05, ring: str = "ring", size: float = 1.0) -> DataFrame:
-    """Zones met by each square cell, tested at its centre and corners."""
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx, dy in ((0.0, 0.0), (-half, -half), (-half, half), (half, -half),
-                                       (half, half))])
+    """Zones met by each square cell: an edge of the zone meets the square, or the square lies inside.
+
+    Cells and zones meet through the coarse cells that each of them touches; geometry is tested once per pair.
+    """
     cols = cells.columns
-    probes = cells.withColumn("_o", F.explode(offsets)).withColumns(
-        {"_px": F.col(x) + F.col("_o.dx"), "_py": F.col(y) + F.col("_o.dy")}).drop("_o")
-    hit = points_in_zones(probes, zones, zone, "_px", "_py", ring, size)
-    return hit.select(*cols, zone).distinct()
+    span = {n: F.sequence(cell_index(F.col(c) - half, size), cell_index(F.col(c) + half, size))
+            for n, c in (("_cx", x), ("_cy", y))}
+    near = cells.withColumn("_cx", F.explode(span["_cx"]))
+    near = near.withColumn("_cy", F.explode(span["_cy"]))
+    pairs = near.join(zone_cover(zones, zone, ring, size), ["_cx", "_cy"]).select(*cols, zone).distinct()
+    edges = F.col("_edges")
+    hit = edges_meet_square(edges, F.col(x), F.col(y), half) | inside_edges(F.col(x), F.col(y), edges)
+    return pairs.join(with_edges(zones, zone, ring), zone).where(hit).select(*cols, zone)
 
 
 def box_window(cells: DataFrame, stations: DataFrame, station: str, x: str, y: str, sx: str, sy: str,
@@ -85,9 +115,13 @@ def nearest_stations(zones: DataFrame, stations: DataFrame, zone: str, station:
         locs = first if locs is None else locs.unionByName(first)
         rest = rest.join(first.withColumnRenamed(station, "_first"), [x, y]).where(
             F.col(station) > F.col("_first")).drop("_first")
+    # the map ends at 180 degrees, the earth does not: each place also stands one turn away
+    turned = locs.withColumn(x, F.when(F.col(x) < 0, F.col(x) + 360.0).otherwise(F.col(x) - 360.0))
+    locs = locs.unionByName(turned)
     locs = locs.withColumns({"_cx": cell_index(F.col(x), size), "_cy": cell_index(F.col(y), size)})
-    # a degree of longitude shrinks with the cosine of the latitude
-    reach = F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.abs(F.col(zy)) + size)), F.lit(0.05)))
+    # a degree of longitude shrinks with the cosine of the latitude; near a pole all longitudes are near
+    narrow = F.cos(F.radians(F.least(F.abs(F.col(zy)) + size, F.lit(90.0))))
+    reach = F.least(F.ceil(F.lit(1.0) / F.greatest(narrow, F.lit(1e-6))), F.lit(math.ceil(180.0 / size)))
     around = zones.select(zone, zx, zy, cell_index(F.col(zx), size).alias("_zx"),
                           cell_index(F.col(zy), size).alias("_zy"), reach.cast("int").alias("_r"))
     around = around.withColumn("_cx", F.explode(F.sequence(F.col("_zx") - F.col("_r"),
@@ -95,7 +129,7 @@ def nearest_stations(zones: DataFrame, stations: DataFrame, zone: str, station:
     around = around.withColumn("_cy", F.explode(F.sequence(F.col("_zy") - 1, F.col("_zy") + 1)))
     km = haversine_km(F.col(zy), F.col(zx), F.col(y), F.col(x))
     pairs = (locs.join(around, ["_cx", "_cy"]).select(zone, station, F.round(km, 6).alias("km"))
-             .where(F.col("km") <= max_km))
+             .where(F.col("km") <= max_km).distinct())
     found = None
     for rank in range(1, k + 1):
         left = pairs if found is None else pairs.join(found.select(zone, station), [zone, station],
@@ -179,16 +213,15 @@ def greedy_path(overlap: DataFrame, cell: str, neighbour: str, start, steps: int
     return pool.withColumn("selected", marks.cast("int"))
 
 
-def upstream(edges: DataFrame, start: DataFrame, basin: str, down: str,
-             max_rounds: int = 1000) -> DataFrame:
+def upstream(edges: DataFrame, start: DataFrame, basin: str, down: str) -> DataFrame:
     """All basins draining into the start set, with the number of steps.
 
     Breadth first: every round joins the last frontier only. Frontiers are checkpointed, so neither
-    the plan nor a lost executor makes earlier rounds run again.
+    the plan nor a lost executor makes earlier rounds run again. A basin enters once, so cycles end as well.
     """
     frontier = cut_lineage(start.select(basin).distinct().withColumn("steps", F.lit(0)))
     seen = frontier
-    for step in range(1, max_rounds + 1):
+    for step in count(1):
         below = frontier.select(F.col(basin).alias(down))
         nxt = (edges.join(below, down).select(basin).distinct()
                .join(seen.select(basin), basin, "left_anti").withColumn("steps", F.lit(step)))
@@ -196,4 +229,3 @@ def upstream(edges: DataFrame, start: DataFrame, basin: str, down: str,
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    raise RuntimeError("no fixpoint reached")

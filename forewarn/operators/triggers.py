@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,16 @@ def either_hazard(df: DataFrame, keys: list[str], hazard: str, value: str, limit
                   how: str = "or", date: str = "date") -> DataFrame:
     """Combine long hazards per key and date; a hazard without data never exceeds.
 
-    ``how='and'`` asks for every hazard named in ``limits``.
+    ``how='and'`` asks for every hazard named in ``limits``; ``how='both'`` gives the two flags as ``exceeds_or`` and
+    ``exceeds_and`` from one aggregate.
     """
     limit = F.coalesce(*[F.when(F.col(hazard) == n, F.lit(float(v))) for n, v in limits.items()])
     flag = exceedance(F.col(value), limit)
     grouped = df.where(F.col(hazard).isin(list(limits))).groupBy(*keys, date)
-    if how == "or":
-        return grouped.agg(F.max(flag).alias("exceeds"))
-    return grouped.agg((F.sum(flag) == len(limits)).cast("int").alias("exceeds"))
+    flags = {"or": F.max(flag), "and": (F.sum(flag) == len(limits)).cast("int")}
+    if how == "both":
+        return grouped.agg(*[c.alias(f"exceeds_{n}") for n, c in flags.items()])
+    return grouped.agg(flags[how].alias("exceeds"))
 
 
 def peak_ranges(df: DataFrame, keys: list[str], exceeds: str, day_range: int,
@@ -109,7 +113,7 @@ def trigger_table(series: DataFrame, keys: list[str], value: str, event: str, le
                   percents: list[int], day_range: int, date: str = "date") -> DataFrame:
     """Score every threshold of every series in one pass over its days.
 
-    ``levels`` is an ascending array of up to 62 thresholds on each row. A day is described by how
+    ``levels`` is an ascending array of thresholds on each row; more than 62 are scored in words of 62. A day is described by how
     many levels it reaches, and everything that follows is a bit per level in one integer: a day is
     in range of a level exactly when one of the last ``day_range`` rows reached it, starts are the
     bits gained since yesterday, and the peaks a flood falls into are told apart by the starts since
@@ -117,7 +121,11 @@ def trigger_table(series: DataFrame, keys: list[str], value: str, event: str, le
     of distinct masks is.
     """
     if len(percents) > 62:
-        raise ValueError("at most 62 thresholds per pass")
+        percents, parts = sorted(percents), []
+        for i in range(0, len(percents), 62):
+            word = series.withColumn(levels, F.slice(levels, i + 1, 62))
+            parts.append(trigger_table(word, keys, value, event, levels, percents[i:i + 62], day_range, date))
+        return reduce(DataFrame.unionByName, parts)
     w, cum = along(keys, date), past(keys, date)
     df = series.withColumn("_b", levels_reached(F.col(value), F.col(levels), len(percents)))
     df = df.withColumns({

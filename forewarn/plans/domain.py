@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..operators.series import collapse, densify, filled_with_marks, locf
 
 COMMON: dict[str, str] = {
-    "impact_reports": """
+    "all_reports": """
 SELECT CAST(c_nationkey AS BIGINT) AS zone, CAST(o_orderdate AS DATE) AS date,
-       o_totalprice AS severity, o_orderkey AS report
-FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
+       o_totalprice AS severity, o_orderkey AS report, o_orderpriority AS class, o_orderstatus AS status
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "impact_reports": """
+SELECT zone, date, severity, report FROM all_reports WHERE class = '1-URGENT' AND status = 'F'""",
     "event_days": """SELECT DISTINCT zone, date FROM impact_reports""",
     "station_days": """
 SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value,
@@ -122,14 +123,23 @@ def zone_months(spark, sf) -> DataFrame:
             .agg(F.sum("value").alias("value"), F.round(F.sum("rain"), 2).alias("rain")))
 
 
-def events(spark, sf) -> DataFrame:
-    """Impact reports per zone and date."""
-    orders = table(spark, sf, "orders").where(
-        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
+def reports(spark, sf) -> DataFrame:
+    """All reports per zone and date, with their severity, class and status."""
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    return table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").cast("bigint").alias("zone"), F.to_date("o_orderdate").alias("date"),
-        F.col("o_totalprice").alias("severity"), F.col("o_orderkey").alias("report"))
+        F.col("o_totalprice").alias("severity"), F.col("o_orderkey").alias("report"),
+        F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("status"))
+
+
+#: What makes a report an impact event: closed reports of the highest class.
+EVENT_CLASS, EVENT_STATUS = "1-URGENT", "F"
+
+
+def events(spark, sf) -> DataFrame:
+    """Reports that count as impact events."""
+    return reports(spark, sf).where((F.col("class") == EVENT_CLASS) & (F.col("status") == EVENT_STATUS)).drop(
+        "class", "status")
 
 
 def event_days(spark, sf) -> DataFrame:

@@ -28,7 +28,7 @@ def _(spark, sf):
 
 @query("a02_grouping_sets", """
 SELECT coalesce(r_name, '-') AS region, coalesce(n_name, '-') AS zone, coalesce(c_mktsegment, '-') AS segment,
-  round(sum(severity), 2) AS affected FROM impact_reports JOIN orders ON report = o_orderkey
+  round(sum(severity), 2) AS affected FROM all_reports JOIN orders ON report = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name), (n_name), (c_mktsegment))""")
 def _(spark, sf):
@@ -36,7 +36,7 @@ def _(spark, sf):
     orders = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("report"), "o_custkey")
     nation = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("zone"), "n_name",
                                                  F.col("n_regionkey").alias("r_regionkey"))
-    base = (D.events(spark, sf).join(orders, "report").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    base = (D.reports(spark, sf).join(orders, "report").join(cust, F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, "zone").join(D.table(spark, sf, "region"), "r_regionkey"))
     sets = [[F.col("r_name")], [F.col("n_name")], [F.col("c_mktsegment")]]
     out = base.groupingSets(sets, "r_name", "n_name", "c_mktsegment").agg(F.round(F.sum("severity"), 2).alias("affected"))
@@ -45,9 +45,9 @@ def _(spark, sf):
 
 
 @query("a03_event_counts", """
-SELECT zone, count(*) AS reports, count(DISTINCT date) AS event_days FROM impact_reports GROUP BY zone ORDER BY reports DESC, zone""")
+SELECT zone, count(*) AS reports, count(DISTINCT date) AS event_days FROM all_reports GROUP BY zone ORDER BY reports DESC, zone""")
 def _(spark, sf):
-    daily = D.events(spark, sf).groupBy("zone", "date").agg(F.count("*").alias("n"))
+    daily = D.reports(spark, sf).groupBy("zone", "date").agg(F.count("*").alias("n"))
     return daily.groupBy("zone").agg(F.sum("n").alias("reports"), F.count("*").alias("event_days")).orderBy(
         F.desc("reports"), "zone")
 
@@ -195,9 +195,9 @@ def _(spark, sf):
 
 @query("a15_first_per_key", """
 SELECT zone, date, severity FROM (SELECT *, row_number() OVER (PARTITION BY zone, date
-  ORDER BY severity DESC, report) AS rn FROM impact_reports) WHERE rn = 1""")
+  ORDER BY severity DESC, report) AS rn FROM all_reports) WHERE rn = 1""")
 def _(spark, sf):
-    return T.best_row(D.events(spark, sf), ["zone", "date"], -F.col("severity"), F.col("report")).select(
+    return T.best_row(D.reports(spark, sf), ["zone", "date"], -F.col("severity"), F.col("report")).select(
         "zone", "date", "severity")
 
 
@@ -272,11 +272,21 @@ def _(spark, sf):
     return overlap(spark, sf).withColumn("percentage", F.round("percentage", 6))
 
 
-def overlap(spark, sf):
+@query("a22b_wide_overlap", """
+WITH x AS (SELECT DISTINCT iy // 10 AS cy, ix // 10 AS cx, date FROM cell_days WHERE value > 45),
+n AS (SELECT cy, cx, count(*) AS days FROM x GROUP BY 1, 2)
+SELECT a.cy, a.cx, b.cy AS ny, b.cx AS nx, count(*) AS both_days, round(100.0 * count(*) / n.days, 6) AS percentage
+FROM x a JOIN x b ON a.date = b.date AND abs(a.cy - b.cy) <= 2 AND abs(a.cx - b.cx) <= 2
+JOIN n ON n.cy = a.cy AND n.cx = a.cx GROUP BY 1, 2, 3, 4, n.days""")
+def _(spark, sf):
+    return overlap(spark, sf, 2).withColumn("percentage", F.round("percentage", 6))
+
+
+def overlap(spark, sf, rounds=1):
     """Overlap of extreme days between neighbouring one-degree cells."""
     hot = D.cell_days(spark, sf).where("value > 45").select(
         F.floor(F.col("iy") / 10).alias("cy"), F.floor(F.col("ix") / 10).alias("cx"), "date")
-    return G.neighbour_overlap(hot, "cx", "cy", "date", 1)
+    return G.neighbour_overlap(hot, "cx", "cy", "date", rounds)
 
 
 @query("a23_min_max_scale", """
@@ -328,35 +338,35 @@ def _(spark, sf):
         F.round(F.avg(F.when(c < -1, 1.0).otherwise(0.0)), 6).alias("share_below_1"))
 
 
-DURATIONS = [1, 2, 3, 6, 12, 24, 48, 72]
+#: Durations in hours.
+DURATIONS = [1, 2, 3, 4, 6, 9, 12, 18, 24, 36, 48, 72]
 
 
 @query("a29_duration_frequency", """
-WITH r AS (SELECT zone, year(date) AS year, """ + ", ".join(
-    f"CASE WHEN count(value) OVER w{n} >= {n} THEN sum(value) OVER w{n} END AS d{n}" for n in DURATIONS) + """
-  FROM zone_filled WINDOW """ + ", ".join(
-    f"w{n} AS (PARTITION BY zone ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in DURATIONS) + """),
+WITH h AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, sum(value) AS v FROM events GROUP BY 1, 2),
+r AS (SELECT event_type, hour // 24 AS day, """ + ", ".join(f"sum(v) OVER w{n} AS d{n}" for n in DURATIONS) + """
+  FROM h WINDOW """ + ", ".join(
+    f"w{n} AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in DURATIONS) + """),
 l AS (UNPIVOT r ON """ + ", ".join(f"d{n}" for n in DURATIONS) + """ INTO NAME d VALUE v),
-m AS (SELECT zone, CAST(substr(d, 2) AS BIGINT) AS duration, year, max(v) AS mx FROM l GROUP BY 1, 2, 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY zone, duration ORDER BY mx) AS r, count(*) OVER (PARTITION BY zone, duration) AS n FROM m),
-b AS (SELECT zone, duration, avg(mx) AS b0, sum((r - 1) / (n - 1) * mx) / count(*) AS b1 FROM k WHERE n >= 2 GROUP BY 1, 2)
-SELECT zone, duration, period, round((b0 - (2 * b1 - b0) / ln(2) * 0.5772156649015329
+m AS (SELECT event_type, CAST(substr(d, 2) AS BIGINT) AS duration, day, round(max(v), 6) AS mx FROM l GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, duration ORDER BY mx) AS r, count(*) OVER (PARTITION BY event_type, duration) AS n FROM m),
+b AS (SELECT event_type, duration, avg(mx) AS b0, sum((r - 1) / (n - 1) * mx) / count(*) AS b1 FROM k WHERE n >= 2 GROUP BY 1, 2)
+SELECT event_type, duration, period, round((b0 - (2 * b1 - b0) / ln(2) * 0.5772156649015329
   - (2 * b1 - b0) / ln(2) * ln(-ln(1 - 1.0 / period))) / duration, 4) AS intensity
 FROM b, (VALUES (2), (5), (10), (20), (50), (100)) p(period)""")
 def _(spark, sf):
     from ..operators.windows import along
-    days = D.zone_filled(spark, sf)
-    w = along(["zone"], "date")
-    sums = {}
-    for n in DURATIONS:
-        f = w.rowsBetween(-(n - 1), 0)
-        sums[f"d{n}"] = F.when(F.count("value").over(f) >= n, F.sum("value").over(f))
-    wide = days.withColumns(sums).groupBy("zone", F.year("date").alias("year")).agg(
-        *[F.max(f"d{n}").alias(f"d{n}") for n in DURATIONS])
-    long = wide.unpivot(["zone", "year"], [f"d{n}" for n in DURATIONS], "d", "mx").where("mx IS NOT NULL")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    # an hour without rows adds nothing, so the largest sum of a day ends at an hour with rows
+    hours = D.table(spark, sf, "events").groupBy("event_type", hour.alias("hour")).agg(F.sum("value").alias("v"))
+    w = along(["event_type"], "hour")
+    sums = {f"d{n}": F.sum("v").over(w.rangeBetween(-(n - 1), 0)) for n in DURATIONS}
+    wide = hours.withColumns(sums).groupBy("event_type", F.floor(F.col("hour") / 24).alias("day")).agg(
+        *[F.round(F.max(c), 6).alias(c) for c in sums])
+    long = wide.unpivot(["event_type", "day"], list(sums), "d", "mx")
     long = long.withColumn("duration", F.substring("d", 2, 5).cast("int"))
-    lv = Q.gumbel_levels(long, ["zone", "duration"], "mx", [2, 5, 10, 20, 50, 100])
-    return lv.select("zone", "duration", "period", F.round(F.col("level") / F.col("duration"), 4).alias("intensity"))
+    lv = Q.gumbel_levels(long, ["event_type", "duration"], "mx", [2, 5, 10, 20, 50, 100])
+    return lv.select("event_type", "duration", "period", F.round(F.col("level") / F.col("duration"), 4).alias("intensity"))
 
 
 @query("a30_yearly_labels", """
@@ -430,10 +440,10 @@ def _(spark, sf):
 
 
 @query("u01_union_by_name", """
-SELECT zone, date, severity AS people, NULL::DOUBLE AS value FROM impact_reports
+SELECT zone, date, severity AS people, NULL::DOUBLE AS value FROM all_reports
 UNION ALL SELECT zone, date, NULL, value FROM zone_months""")
 def _(spark, sf):
-    a = D.events(spark, sf).select("zone", "date", F.col("severity").alias("people"))
+    a = D.reports(spark, sf).select("zone", "date", F.col("severity").alias("people"))
     return a.unionByName(D.zone_months(spark, sf).select("zone", "date", "value"), allowMissingColumns=True)
 
 

@@ -52,9 +52,7 @@ def _(spark, sf):
     # zones divisible by three have no rain data at all
     long = days.withColumnRenamed("value", "flow").unpivot(["zone", "date"], ["flow", "rain"], "hazard", "v")
     limits = {"flow": 150.0, "rain": 300000.0}
-    a = X.either_hazard(long, ["zone"], "hazard", "v", limits).withColumnRenamed("exceeds", "exceeds_or")
-    b = X.either_hazard(long, ["zone"], "hazard", "v", limits, how="and").withColumnRenamed("exceeds", "exceeds_and")
-    return a.join(b, ["zone", "date"])
+    return X.either_hazard(long, ["zone"], "hazard", "v", limits, how="both")
 
 
 @query("x03_peak_ranges", PEAKS_SQL + """SELECT zone, date, event, peak_start, peak_no, in_range, triggered,
@@ -126,10 +124,7 @@ g AS (SELECT zone, count(DISTINCT CASE WHEN event = 1 AND x = 1 THEN no END) AS
 SELECT zone, variant, h AS hits, s - h AS false_alarms, m AS misses, {PERIOD_SQL} FROM (
   SELECT zone, 'per_period' AS variant, hp AS h, s, m FROM g UNION ALL SELECT zone, 'per_day', hd, s, m FROM g)""")
 def _(spark, sf):
-    p = predicted(spark, sf)
-    a = K.period_skill(p, ["zone"], "event", "pred").withColumn("variant", F.lit("per_period"))
-    b = K.period_skill(p, ["zone"], "event", "pred", hits="per_day").withColumn("variant", F.lit("per_day"))
-    return a.unionByName(b)
+    return K.period_skill(predicted(spark, sf), ["zone"], "event", "pred", hits="both")
 
 
 RATIO_SQL = """round(tp / nullif(tp + fn, 0), 6) AS pod, round(fp / nullif(tp + fp, 0), 6) AS far,
@@ -271,16 +266,16 @@ def _(spark, sf):
 WITH e AS (SELECT f.zone, date, CASE WHEN value > thr THEN 1 ELSE 0 END AS x FROM zone_filled f JOIN {Q90} q ON f.zone = q.zone),
 s AS (SELECT *, CASE WHEN x = 1 AND coalesce(lag(x) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st,
   CASE WHEN x = 1 AND lead(x) OVER w = 0 THEN 1 ELSE 0 END AS stop FROM e WINDOW w AS (PARTITION BY zone ORDER BY date)),
-d AS (SELECT *, coalesce(lag(stop, 5) OVER (PARTITION BY zone ORDER BY date), 0) AS late FROM s),
+d AS (SELECT *, coalesce(lag(stop, 50) OVER (PARTITION BY zone ORDER BY date), 0) AS late FROM s),
 c AS (SELECT *, CASE WHEN sum(st) OVER w > sum(late) OVER w THEN 1 ELSE 0 END AS inr FROM d WINDOW w AS (PARTITION BY zone ORDER BY date)),
 t AS (SELECT zone, date, inr, coalesce(lag(inr) OVER (PARTITION BY zone ORDER BY date), 0) AS was FROM c),
 h AS (SELECT zone, date, lead(date) OVER (PARTITION BY zone ORDER BY date) - date AS gap_days FROM t WHERE inr = 1 AND was = 0)
-SELECT zone, date, gap_days FROM h WHERE gap_days > 20""")
+SELECT zone, date, gap_days FROM h WHERE gap_days > 90""")
 def _(spark, sf):
     days = Q.with_levels(D.zone_filled(spark, sf), ["zone"], "value", [90])
     days = days.withColumn("x", X.exceedance(F.col("value"), F.col("levels")[0], ">"))
-    fired = X.peak_ranges(days, ["zone"], "x", 5).where("triggered = 1").select("zone", "date")
-    return T.cooldown(fired, ["zone"], 20, mode="until_next")
+    fired = X.peak_ranges(days, ["zone"], "x", 50).where("triggered = 1").select("zone", "date")
+    return T.cooldown(fired, ["zone"], 90, mode="until_next")
 
 
 @query("x14_drought_quantile", f"""
@@ -288,7 +283,7 @@ WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS dat
 m AS (SELECT z.zone, z.date, z.value, z.rain, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS event FROM zone_months z LEFT JOIN ev USING (zone, date)),
 l AS (SELECT zone, date, event, 'value' AS indicator, value AS v FROM m UNION ALL SELECT zone, date, event, 'rain', rain FROM m),
 t AS (SELECT *, round(quantile_cont(v, 0.1) OVER (PARTITION BY zone, indicator), 6) AS thr FROM l),
-n AS (SELECT *, max(event) OVER (PARTITION BY zone, indicator ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM t),
+n AS (SELECT *, max(event) OVER (PARTITION BY zone, indicator ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS near FROM t),
 a AS (SELECT *, CASE WHEN v < thr THEN 1 ELSE 0 END AS alarm FROM n WHERE near = 1),
 x AS (SELECT zone, indicator, event, CASE WHEN event = 1 THEN max(alarm) OVER w WHEN max(event) OVER w = 1 THEN 0 ELSE alarm END AS x
   FROM a WINDOW w AS (PARTITION BY zone, indicator ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
@@ -302,7 +297,7 @@ def _(spark, sf):
     by = ["zone", "indicator"]
     long = m.unpivot(["zone", "date", "event"], ["value", "rain"], "indicator", "v").where("v IS NOT NULL")
     long = Q.with_levels(long, by, "v", [10])
-    near = W.crop_around(long, by, "event", 3, 3)
+    near = W.crop_around(long, by, "event", 10, 10)
     near = near.withColumn("alarm", X.exceedance(F.col("v"), F.col("levels")[0], "<"))
     counts = K.confusion(W.extend_alarms(near, by, "alarm", "event", 2), by, "event", "alarm")
     country = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("zone"),
@@ -384,13 +379,13 @@ f AS (SELECT zone, date, v, CASE WHEN count(v) OVER w >= 5 AND sum(v) OVER w <=
   WINDOW w AS (PARTITION BY zone ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT zone, year(date) AS year, """ + ", ".join(
     f"CAST(coalesce(sum(CASE WHEN month(date) = {m} THEN dry END), 0) AS BIGINT) AS dry_{m}, "
-    f"coalesce(sum(CASE WHEN month(date) = {m} THEN v END), 0) AS rain_{m}" for m in (1, 4, 7, 10)) + " FROM f GROUP BY 1, 2")
+    f"coalesce(sum(CASE WHEN month(date) = {m} THEN v END), 0) AS rain_{m}" for m in range(1, 13)) + " FROM f GROUP BY 1, 2")
 def _(spark, sf):
     days = D.zone_dense(spark, sf).withColumn("v", F.coalesce("value", F.lit(0.0)))
     dry = W.dry_spells(days, ["zone"], "v", 5, 60.0)
     m = dry.select("zone", F.year("date").alias("year"), F.month("date").alias("month"), "dry", "v")
-    wide = m.groupBy("zone", "year").pivot("month", [1, 4, 7, 10]).agg(F.sum("dry").alias("dry"), F.sum("v").alias("rain"))
-    return wide.select("zone", "year", *[F.coalesce(f"{i}_{c}", F.lit(0)).alias(f"{c}_{i}") for i in (1, 4, 7, 10) for c in ("dry", "rain")])
+    wide = m.groupBy("zone", "year").pivot("month", list(range(1, 13))).agg(F.sum("dry").alias("dry"), F.sum("v").alias("rain"))
+    return wide.select("zone", "year", *[F.coalesce(f"{i}_{c}", F.lit(0)).alias(f"{c}_{i}") for i in range(1, 13) for c in ("dry", "rain")])
 
 
 @query("x18b_dry_month_classes", """
@@ -405,32 +400,37 @@ def _(spark, sf):
     return I.dry_month_classes(m, ["zone"], "dry")
 
 
-@query("x19_spi", """
-WITH a AS (SELECT zone, date, CASE WHEN count(value) OVER w >= 3 THEN sum(value) OVER w END AS acc FROM zone_months
-  WINDOW w AS (PARTITION BY zone ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-m AS (SELECT *, avg(acc) OVER g AS mean, avg(ln(acc)) OVER g AS lm FROM a WHERE acc IS NOT NULL WINDOW g AS (PARTITION BY zone, month(date))),
-s AS (SELECT *, (1 + sqrt(1 + 4 * (ln(mean) - lm) / 3)) / (4 * (ln(mean) - lm)) AS k FROM m),
-p AS (SELECT zone, date, acc, list_sum(list_transform(range(0, 1500), lambda n: exp(-(acc * k / mean) + (k + n) * ln(acc * k / mean) - lgamma(k + n + 1)))) AS p FROM s)
-SELECT zone, date, round(""" + ppf_sql("p") + ", 4) AS spi FROM p")
+SCALES = [1, 2, 3, 6, 12]
+#: Monthly sums over every scale, as one long table.
+ACCUMULATED_SQL = "a AS (" + " UNION ALL ".join(
+    f"SELECT zone, date, {n} AS scale, CASE WHEN count(value) OVER w{n} >= {n} THEN sum(value) OVER w{n} END AS acc FROM src "
+    f"WINDOW w{n} AS (PARTITION BY zone ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in SCALES) + ")"
+
+
+@query("x19_spi", "WITH src AS (SELECT zone, date, value FROM zone_months), " + ACCUMULATED_SQL + """,
+m AS (SELECT *, avg(acc) OVER g AS mean, avg(ln(acc)) OVER g AS lm FROM a WHERE acc IS NOT NULL WINDOW g AS (PARTITION BY zone, scale, month(date))),
+s AS (SELECT *, CASE WHEN ln(mean) - lm > 0 THEN (1 + sqrt(1 + 4 * (ln(mean) - lm) / 3)) / (4 * (ln(mean) - lm)) END AS k FROM m),
+p AS (SELECT zone, date, scale, acc, list_sum(list_transform(range(0, 1500), lambda n: exp(-(acc * k / mean) + (k + n) * ln(acc * k / mean) - lgamma(k + n + 1)))) AS p FROM s)
+SELECT zone, date, scale, round(""" + ppf_sql("p") + ", 4) AS spi FROM p")
 def _(spark, sf):
-    out = N.spi(D.zone_months(spark, sf), ["zone"], "value", 3)
-    return out.select("zone", "date", F.round("spi", 4).alias("spi"))
+    out = N.spi(D.zone_months(spark, sf), ["zone"], "value", SCALES)
+    return out.select("zone", "date", "scale", F.round("spi", 4).alias("spi"))
 
 
-@query("x19b_spei", """
-WITH a AS (SELECT zone, date, value - 1000 AS acc FROM zone_months),
-r AS (SELECT *, row_number() OVER (PARTITION BY zone, month(date) ORDER BY acc, date) AS r, count(*) OVER (PARTITION BY zone, month(date)) AS n FROM a),
+@query("x19b_spei", "WITH src AS (SELECT zone, date, value - 1000 AS value FROM zone_months), " + ACCUMULATED_SQL + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY zone, scale, month(date) ORDER BY acc, date) AS r, count(*) OVER (PARTITION BY zone, scale, month(date)) AS n
+  FROM a WHERE acc IS NOT NULL),
 w AS (SELECT *, avg(acc) OVER g AS w0, avg(CAST(n - r AS DOUBLE) / nullif(n - 1, 0) * acc) OVER g AS w1,
-  sum(CAST((n - r) * (n - r - 1) AS DOUBLE) / nullif((n - 1) * (n - 2), 0) * acc) OVER g / n AS w2 FROM r WINDOW g AS (PARTITION BY zone, month(date))),
+  sum(CAST((n - r) * (n - r - 1) AS DOUBLE) / nullif((n - 1) * (n - 2), 0) * acc) OVER g / n AS w2 FROM r WINDOW g AS (PARTITION BY zone, scale, month(date))),
 b AS (SELECT *, (2 * w1 - w0) / nullif(6 * w1 - w0 - 6 * w2, 0) AS b FROM w),
 g AS (SELECT *, CASE WHEN b > 1 THEN gamma(1 + 1 / b) * gamma(1 - 1 / b) END AS gg FROM b),
 o AS (SELECT *, (w0 - 2 * w1) * b / gg AS al, w0 - (w0 - 2 * w1) * b AS og FROM g),
-p AS (SELECT zone, date, CASE WHEN acc - og > 0 THEN 1 / (1 + pow(al / (acc - og), b)) WHEN acc - og <= 0 THEN 0.0 END AS p FROM o WHERE gg IS NOT NULL)
-SELECT zone, date, round(""" + ppf_sql("p") + ", 4) AS spei FROM p WHERE p > 0 AND p < 1")
+p AS (SELECT zone, date, scale, CASE WHEN acc - og > 0 THEN 1 / (1 + pow(al / (acc - og), b)) WHEN acc - og <= 0 THEN 0.0 END AS p FROM o WHERE gg IS NOT NULL)
+SELECT zone, date, scale, round(""" + ppf_sql("p") + ", 4) AS spei FROM p WHERE p > 0 AND p < 1")
 def _(spark, sf):
     m = D.zone_months(spark, sf).withColumn("balance", F.col("value") - 1000)
-    out = N.spei(m, ["zone"], "balance", 1).where("spei IS NOT NULL")
-    return out.select("zone", "date", F.round("spei", 4).alias("spei"))
+    out = N.spei(m, ["zone"], "balance", SCALES).where("spei IS NOT NULL")
+    return out.select("zone", "date", "scale", F.round("spei", 4).alias("spei"))
 
 
 STATION_BM_SQL = "WITH bm AS (SELECT station, year(date) AS y, max(value) AS mx FROM station_days GROUP BY 1, 2),"
@@ -465,26 +465,27 @@ def _(spark, sf):
 WITH s AS (SELECT 'sheet' AS data_source, location, y, m, d, people_dead, people_affected FROM (
   SELECT o_orderkey, 'Z' || (o_custkey % 25) AS location, year(o_orderdate) AS y, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE month(o_orderdate) END AS m,
   CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE day(o_orderdate) END AS d, CAST(o_orderkey % 7 AS DOUBLE) AS people_dead, o_totalprice AS people_affected
-  FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')),
+  FROM orders WHERE o_orderpriority <= '2-HIGH')),
 st AS (SELECT *, make_date(y, coalesce(m, 1), coalesce(CASE WHEN m IS NULL AND d > 28 THEN 28 ELSE d END, 1)) AS start_date, last_day(make_date(y, coalesce(m, 12), 1)) AS end_date FROM s)
 SELECT data_source, location, start_date + CAST(floor((end_date - start_date) / 2) AS INTEGER) AS event_date, start_date, end_date, people_dead, people_affected FROM st
 UNION ALL
 SELECT 'records', 'Z' || (o_custkey % 25), CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE),
   CAST(o_orderkey % 3 AS DOUBLE) + CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END, o_totalprice + 10.0
-FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'""")
+FROM orders WHERE o_orderpriority > '2-HIGH'""")
 def _(spark, sf):
-    o = D.table(spark, sf, "orders").where("o_orderstatus = 'F'")
+    # the two highest classes come as a sheet, all others as records
+    o = D.table(spark, sf, "orders")
     k, day = F.col("o_orderkey"), F.dayofmonth("o_orderdate")
     none = F.lit(None).cast("int")
     place = F.concat(F.lit("Z"), (F.col("o_custkey") % 25).cast("string"))
     m = F.when(k % 4 != 0, F.month("o_orderdate"))
     d = F.when(k % 2 != 0, F.when(m.isNull() & (day > 28), 28).otherwise(day))
-    sheet = o.where("o_orderpriority = '1-URGENT'").select(
+    sheet = o.where("o_orderpriority <= '2-HIGH'").select(
         F.lit("UGA").alias("iso"), F.lit("Flood").alias("disaster_type"), place.alias("location"),
         F.year("o_orderdate").alias("start_year"), m.alias("start_month"), d.alias("start_day"),
         none.alias("end_year"), none.alias("end_month"), none.alias("end_day"), (k % 7).alias("total_deaths"),
         none.alias("no_injured"), F.col("o_totalprice").alias("no_affected"))
-    records = o.where("o_orderpriority = '2-HIGH'").select(
+    records = o.where("o_orderpriority > '2-HIGH'").select(
         F.lit("inundacion").alias("event"), place.alias("place"), F.year("o_orderdate").alias("year"),
         F.month("o_orderdate").alias("month"), day.alias("day"), (k % 3).alias("dead"), F.when(k % 2 == 0, 1).alias("missing"),
         none.alias("injured"), F.col("o_totalprice").alias("affected"), F.lit(10).alias("evacuated"))
@@ -577,9 +578,7 @@ r AS (SELECT zone, event, rank() OVER (PARTITION BY zone ORDER BY value) + (coun
 a AS (SELECT zone, count(*) FILTER (event = 1) AS n_pos, count(*) FILTER (event = 0) AS n_neg, sum(r) FILTER (event = 1) AS rs FROM r GROUP BY zone)
 SELECT c.*, {CLASS_SQL}, round((rs - n_pos * (n_pos + 1) / 2.0) / (CAST(n_pos AS DOUBLE) * n_neg), 6) AS auc FROM c JOIN a USING (zone)""")
 def _(spark, sf):
-    p = predicted(spark, sf)
-    area = K.auc(K.roc_points(p, ["zone"], "event", "value", pieces=1), ["zone"]).select("zone", "auc")
-    return K.class_scores(K.confusion(p, ["zone"], "event", "pred")).join(area, "zone")
+    return K.class_scores(K.confusion_with_auc(predicted(spark, sf), ["zone"], "event", "pred", "value"))
 
 
 @query("x29_weighted_scores", f"""
@@ -739,10 +738,10 @@ def _(spark, sf):
 
 
 @query("x45_best_score_view", sweep_sql("year(date)", [50, 80, 90]) + """,
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone, percent ORDER BY far NULLS LAST, station) AS rn FROM k WHERE far <= 0.9) WHERE rn = 1)
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone, percent ORDER BY far NULLS LAST, station) AS rn FROM k) WHERE rn = 1)
 SELECT CAST(n_nationkey AS BIGINT) AS zone, n_name AS name, percent, station, pod, far, csi FROM b RIGHT JOIN nation ON b.zone = n_nationkey""")
 def _(spark, sf):
-    scores = maxima_sweep(spark, sf, F.year("date"), [50, 80, 90]).where("far <= 0.9")
+    scores = maxima_sweep(spark, sf, F.year("date"), [50, 80, 90])
     best = X.best_row(scores, ["zone", "percent"], F.col("far"), F.col("station"))
     shapes = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("zone"), F.col("n_name").alias("name"))
     return best.join(shapes, "zone", "right").select("zone", "name", "percent", "station", "pod", "far", "csi")

@@ -12,6 +12,8 @@ from ..session import cut_lineage
 from . import domain as D
 from .registry import query
 
+#: Inverse strengths of the L1 penalty that are tried, in steps of about three.
+STRENGTHS = [0.1, 0.3, 1.0, 3.0, 12.0, 30.0]
 FEATURES = ["value", "rain", "value_lag1", "rain_lag1", "month"]
 
 
@@ -34,7 +36,7 @@ def scores(pred, by=("split",)):
 def _(spark, sf):
     data = training(spark, sf)
     train, valid = L.year_window(data, "year", 1995, 1999), L.year_window(data, "year", 1999, 2000)
-    model, _c, _t = L.sparse_logistic(train, valid, FEATURES, "label", [3.0, 12.0])
+    model, _c, _t = L.sparse_logistic(train, valid, FEATURES, "label", STRENGTHS)
     test = L.predict(model, L.assemble(L.year_window(data, "year", 2000, 2002), FEATURES))
     return scores(test.withColumn("split", F.lit("test")))
 
@@ -43,14 +45,21 @@ def _(spark, sf):
 def _(spark, sf):
     data = training(spark, sf)
     model, _c, _t = L.sparse_logistic(L.year_window(data, "year", 1995, 1999), L.year_window(data, "year", 1999, 2002),
-                                      FEATURES, "label", [12.0])
+                                      FEATURES, "label", STRENGTHS)
     return L.coefficient_table(data, model, FEATURES, 0.0)
 
 
+@query("x31c_strength_path")
+def _(spark, sf):
+    data = training(spark, sf)
+    return L.sparse_logistic(L.year_window(data, "year", 1995, 1999), L.year_window(data, "year", 1999, 2000),
+                             FEATURES, "label", STRENGTHS)[2]
+
+
 @query("x33_boosted_trees")
 def _(spark, sf):
     data = training(spark, sf)
-    model = L.boosted_trees(data, FEATURES, "label", rounds=4, depth=3)
+    model = L.boosted_trees(data, FEATURES, "label", rounds=10, depth=3)
     return scores(L.predict(model, L.assemble(data, FEATURES)).withColumn("split", F.lit("train")))
 
 
@@ -59,7 +68,7 @@ def _(spark, sf):
     data = training(spark, sf)
     train = L.hash_folds(data, ["zone", "date"], 5, "part").where("part > 0")
     test = L.hash_folds(data, ["zone", "date"], 5, "part").where("part = 0")
-    model = L.tuned_trees(train, FEATURES, "label", ["zone", "date"], depths=(2, 3), rounds=3, folds=2)
+    model = L.tuned_trees(train, FEATURES, "label", ["zone", "date"], depths=(2, 4, 6), step_sizes=(0.3,), rounds=5, folds=5)
     return scores(L.predict(model, L.assemble(test, FEATURES)).withColumn("split", F.lit("test")))
 
 
@@ -77,9 +86,9 @@ def _(spark, sf):
 @query("x36_importances")
 def _(spark, sf):
     data = training(spark, sf)
-    return L.importance_table(data, L.boosted_trees(data, FEATURES, "label", rounds=3), FEATURES)
+    return L.importance_table(data, L.boosted_trees(data, FEATURES, "label", rounds=10), FEATURES)
 
 
 @query("x37_classifier_comparison")
 def _(spark, sf):
-    return L.compare_classifiers(training(spark, sf), FEATURES, "label", ["zone", "date"], folds=3)
+    return L.compare_classifiers(training(spark, sf), FEATURES, "label", ["zone", "date"], folds=5)

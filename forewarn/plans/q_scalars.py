@@ -81,10 +81,10 @@ def _(spark, sf):
 @query("f05_parse_dates", """
 SELECT report, date, CAST(date AS DATE) AS iso, CAST(date AS DATE) AS dmy,
   try_cast(year(date) || '-' || lpad(CAST(month(date) AS VARCHAR), 2, '0') || '-31' AS DATE) AS day31,
-  last_day(date) AS month_end FROM impact_reports""")
+  last_day(date) AS month_end FROM all_reports""")
 def _(spark, sf):
     fmts = ("yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy")
-    return D.events(spark, sf).select(
+    return D.reports(spark, sf).select(
         "report", "date", S.parse_date(F.date_format("date", "MMM d, yyyy"), *fmts).alias("iso"),
         S.parse_date(F.date_format("date", "dd/MM/yyyy"), *fmts).alias("dmy"),
         S.build_date(F.year("date"), F.month("date"), F.lit(31)).alias("day31"), F.last_day("date").alias("month_end"))
@@ -92,7 +92,7 @@ def _(spark, sf):
 
 @query("f06_event_interval", """
 WITH r AS (SELECT report, year(date) AS y, CASE WHEN report % 5 = 0 THEN NULL ELSE month(date) END AS m,
-  CASE WHEN report % 3 = 0 THEN NULL ELSE day(date) END AS d FROM impact_reports),
+  CASE WHEN report % 3 = 0 THEN NULL ELSE day(date) END AS d FROM all_reports),
 i AS (SELECT report, make_date(y, coalesce(m, 1), coalesce(CASE WHEN m IS NULL AND d > 28 THEN 28 ELSE d END, 1)) AS s,
   last_day(make_date(y, coalesce(m, 12), 1)) AS e FROM r)
 SELECT report, s AS start_date, e AS end_date, s + CAST(floor((e - s) / 2) AS INTEGER) AS mid_date FROM i""")
@@ -102,14 +102,14 @@ def _(spark, sf):
     d = F.when(F.col("report") % 3 != 0, F.dayofmonth("date"))
     d = F.when(m.isNull() & (d > 28), 28).otherwise(d)
     s, e, mid = S.event_interval(F.year("date"), m, d, none, none, none)
-    return D.events(spark, sf).select("report", s.alias("start_date"), e.alias("end_date"), mid.alias("mid_date"))
+    return D.reports(spark, sf).select("report", s.alias("start_date"), e.alias("end_date"), mid.alias("mid_date"))
 
 
 @query("f07_date_parts", """
 SELECT report, year(date) AS y, month(date) AS m, day(date) AS d, strftime(date, '%d/%m/%Y') AS text,
-  CAST(date + INTERVAL 1 MONTH AS DATE) AS next_month, date - DATE '1995-01-01' AS age_days FROM impact_reports""")
+  CAST(date + INTERVAL 1 MONTH AS DATE) AS next_month, date - DATE '1995-01-01' AS age_days FROM all_reports""")
 def _(spark, sf):
-    return D.events(spark, sf).select(
+    return D.reports(spark, sf).select(
         "report", F.year("date").alias("y"), F.month("date").alias("m"), F.dayofmonth("date").alias("d"),
         F.date_format("date", "dd/MM/yyyy").alias("text"), F.add_months("date", 1).alias("next_month"),
         F.datediff("date", F.lit("1995-01-01").cast("date")).alias("age_days"))

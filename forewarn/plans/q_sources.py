@@ -69,9 +69,9 @@ def _(spark, sf):
 
 @query("s06_xml_records", """
 SELECT o_orderkey AS serial, zone, year(date) AS fechano, month(date) AS fechames,
-       day(date) AS fechadia, severity AS afectados FROM impact_reports JOIN orders ON report = o_orderkey""")
+       day(date) AS fechadia, severity AS afectados FROM all_reports JOIN orders ON report = o_orderkey""")
 def _(spark, sf):
-    df = D.events(spark, sf).select(
+    df = D.reports(spark, sf).select(
         F.col("report").alias("serial"), "zone", F.year("date").alias("fechano"),
         F.month("date").alias("fechames"), F.dayofmonth("date").alias("fechadia"),
         F.col("severity").alias("afectados"))
@@ -103,9 +103,9 @@ def _(spark, sf):
 
 
 @query("s08_csv_append", """
-SELECT zone, date, severity FROM impact_reports UNION ALL SELECT zone, date, severity FROM impact_reports""")
+SELECT zone, date, severity FROM all_reports UNION ALL SELECT zone, date, severity FROM all_reports""")
 def _(spark, sf):
-    df = D.events(spark, sf).select("zone", "date", "severity")
+    df = D.reports(spark, sf).select("zone", "date", "severity")
     path = work_path(spark, "catalogue")
     writers.write_delimited(df, path, sep="\t", mode="append")
     writers.write_delimited(df, path, sep="\t", mode="append")
@@ -254,15 +254,17 @@ def _(spark, sf):
 @query("p13_number_and_spread", """
 WITH t AS (SELECT zone, station, row_number() OVER (PARTITION BY zone ORDER BY level DESC, station) AS rn
   FROM (SELECT CAST(s_nationkey AS BIGINT) AS zone, s_suppkey AS station, s_acctbal AS level FROM supplier))
-SELECT zone, """ + ", ".join(
-    f"coalesce(max(CASE WHEN rn = {i} THEN station END), -1) AS st{i}" for i in range(1, 5)) + """
-FROM t GROUP BY zone""")
+SELECT zone, count(*) AS n, max(CASE WHEN rn = 1 THEN station END) AS st1,
+  string_agg('st' || rn || '=' || station, ',' ORDER BY rn) AS stations FROM t GROUP BY zone""")
 def _(spark, sf):
-    # only the four largest stations get a column
     st = D.table(spark, sf, "supplier").select(
         F.col("s_nationkey").alias("zone"), F.col("s_suppkey").alias("station"), F.col("s_acctbal").alias("level"))
-    wide = R.to_wide(R.number_within(st, ["zone"], [F.desc("level"), "station"], "st", 4), ["zone"], "slot", ["st1", "st2", "st3", "st4"], F.max("station"))
-    return wide.select("zone", *[F.coalesce(f"st{i}", F.lit(-1)).alias(f"st{i}") for i in range(1, 5)])
+    numbered = R.number_within(st, ["zone"], [F.desc("level"), "station"], "st")
+    wide = R.spread_slots(numbered, ["zone"], "station")
+    number = F.transform(F.map_entries("slots"), lambda e: F.struct(
+        F.substring(e["key"], 3, 20).cast("int").alias("i"), e["value"].alias("v")))
+    return wide.select("zone", F.size("slots").alias("n"), F.col("slots")["st1"].alias("st1"), F.array_join(F.transform(
+        F.array_sort(number), lambda e: F.concat(F.lit("st"), e["i"], F.lit("="), e["v"])), ",").alias("stations"))
 
 
 SEASON = [(9, 0), (10, 0), (11, 0), (12, 0), (1, 1), (2, 1), (3, 1)]
@@ -278,9 +280,9 @@ def _(spark, sf):
 
 
 @query("p15_provenance", """
-SELECT zone, date, severity, 'orders' AS data_source, 2 AS quality FROM impact_reports""")
+SELECT zone, date, severity, 'orders' AS data_source, 2 AS quality FROM all_reports""")
 def _(spark, sf):
-    return D.events(spark, sf).select("zone", "date", "severity", F.lit("orders").alias("data_source"),
+    return D.reports(spark, sf).select("zone", "date", "severity", F.lit("orders").alias("data_source"),
                                       F.lit(2).alias("quality"))
 
 

@@ -22,11 +22,16 @@ CLOSED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 @query("t01_incremental_ingest", """
 SELECT event_id, user_id, CAST(ts AS DATE) AS day, value FROM events""")
 def _(spark, sf):
-    rows = stream(spark, sf).select("event_id", "user_id", F.to_date("ts").alias("day"), "value")
-    table = work_path(spark, "indicator")
-    # the same files arrive twice, under two progress logs: the table must not change
-    for _i in range(2):
-        jobs.ingest(rows, ["event_id"], ["day"], table=table)
+    table, progress, inbox = (work_path(spark, n) for n in ("indicator", "progress", "inbox"))
+    first = D.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # a first delivery with every third row on a wrong day, then a second with all rows: only its files are read
+    moved = first.where("event_id % 2 = 0").withColumn(
+        "ts", F.when(F.col("event_id") % 3 == 0, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts")))
+    for number, delivery in enumerate((moved, first)):
+        delivery.withColumn("delivery", F.lit(number)).write.mode("append").parquet(inbox)
+        rows = jobs.file_stream(spark, inbox, "event_id long, user_id long, ts timestamp, event_type string, value double, delivery int")
+        rows = rows.select("event_id", "user_id", F.to_date("ts").alias("day"), "value", "delivery")
+        jobs.ingest(rows, ["event_id"], ["day"], table=table, checkpoint=progress, version="delivery")
     return spark.read.parquet(table).select("event_id", "user_id", "day", "value")
 
 
@@ -69,7 +74,7 @@ def _(spark, sf):
 @query("t05_live_triggers", """
 WITH d AS (SELECT DISTINCT user_id AS station, CAST(ts AS DATE) AS date FROM events WHERE value >= 20)
 SELECT station, date FROM (SELECT *, date - lag(date) OVER (PARTITION BY station ORDER BY date) AS gap FROM d)
-WHERE gap IS NULL OR gap > 3""")
+WHERE (gap IS NULL OR gap > 3) AND date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def _(spark, sf):
     rows = stream(spark, sf).withColumn("over", (F.col("value") >= 20).cast("int"))
     out = jobs.live_triggers(rows, "user_id", "ts", "over", 3)

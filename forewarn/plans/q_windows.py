@@ -118,14 +118,13 @@ def _(spark, sf):
 
 @query("w10_cooldown", """
 WITH h AS (SELECT zone, date, value FROM zone_filled WHERE value >= 150)
-SELECT 'since_previous' AS mode, zone, date, gap_days FROM (SELECT *, coalesce(date - lag(date) OVER (PARTITION BY zone ORDER BY date), 9999) AS gap_days FROM h)
-WHERE gap_days > 14 UNION ALL
+SELECT 'since_previous' AS mode, zone, date, gap_days FROM (SELECT *, date - lag(date) OVER (PARTITION BY zone ORDER BY date) AS gap_days FROM h)
+WHERE gap_days IS NULL OR gap_days > 14 UNION ALL
 SELECT 'until_next', zone, date, gap_days FROM (SELECT *, lead(date) OVER (PARTITION BY zone ORDER BY date) - date AS gap_days FROM h)
 WHERE gap_days > 30""")
 def _(spark, sf):
     hot = D.zone_filled(spark, sf).where("value >= 150").select("zone", "date")
-    a = T.cooldown(hot, ["zone"], 14).withColumn("mode", F.lit("since_previous"))
-    return a.unionByName(T.cooldown(hot, ["zone"], 30, mode="until_next").withColumn("mode", F.lit("until_next")))
+    return T.cooldowns(hot, ["zone"], {"since_previous": 14, "until_next": 30})
 
 
 @query("w11_extend_alarms", """
@@ -139,14 +138,14 @@ def _(spark, sf):
 
 @query("w12_moving_years", """
 WITH y AS (SELECT zone, year(date) AS year, sum(value) AS value FROM zone_days GROUP BY 1, 2),
-m AS (SELECT *, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS mm FROM y
-  WINDOW w AS (PARTITION BY zone ORDER BY year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
+m AS (SELECT *, CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END AS mm FROM y
+  WINDOW w AS (PARTITION BY zone ORDER BY year RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT zone, year, round(mm, 6) AS moving_mean, round(value - mm, 6) AS deviation,
   round((value - mm - avg(value - mm) OVER g) / nullif(stddev_samp(value - mm) OVER g, 0), 6) AS deviation_z
 FROM m WINDOW g AS (PARTITION BY zone)""")
 def _(spark, sf):
     y = D.zone_days(spark, sf).groupBy("zone", F.year("date").alias("year")).agg(F.sum("value").alias("value"))
-    out = W.moving_years(y, ["zone"], "value", 3)
+    out = W.moving_years(y, ["zone"], "value", 5)
     return out.select("zone", "year", *[F.round(c, 6).alias(c) for c in ("moving_mean", "deviation", "deviation_z")])
 
 

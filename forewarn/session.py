@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +38,16 @@ def build_session(app: str = "forewarn", master: str | None = None,
     return builder.getOrCreate()
 
 
+#: Local folders of this program, and the lists of work tables that are open for removal.
+_OWN: list[tempfile.TemporaryDirectory] = []
+_OPEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (unit tests, a laptop) a local folder is made and set.
+    Only a local master may go without: a folder is made, set, and removed when the program ends. On a cluster each
+    executor would write its part to its own disk, so there a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -49,14 +57,40 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        own = tempfile.TemporaryDirectory(prefix="run-", ignore_cleanup_errors=True)
+        _OWN.append(own)
+        context.setCheckpointDir(own.name)
         current = context.getCheckpointDir()
     return current
 
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one written table below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one work table, wherever the shared folder is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[list[str]]:
+    """Work tables made inside are removed at the end: write or collect the result before."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -41,12 +41,16 @@ def available_now(stream: DataFrame, label: str, output: str = "append",
 
 
 def ingest(stream: DataFrame, keys: list[str], by: list[str], label: str = "ingest",
-           table: str | None = None, checkpoint: str | None = None) -> str:
-    """Idempotent keyed ingest: a batch replayed after a failure rewrites the same rows."""
+           table: str | None = None, checkpoint: str | None = None, version: str | None = None) -> str:
+    """Idempotent keyed ingest: a batch replayed after a failure rewrites the same rows.
+
+    ``checkpoint`` keeps the progress: a later call with it reads only files that came since. The latest ``version`` of
+    a key wins.
+    """
     table = table or work_path(stream.sparkSession, label)
 
     def each(batch: DataFrame, _id: int) -> None:
-        upsert(batch.dropDuplicates(keys), table, keys, by)
+        upsert(batch, table, keys, by, version)
 
     return available_now(stream, label, "append", each, checkpoint, table)
 
@@ -78,33 +82,40 @@ def live_triggers(stream: DataFrame, key: str, ts: str, exceeds: str, day_range:
                   late: str = "1 day") -> DataFrame:
     """Emit the days on which a new peak range opens, from the state of each station.
 
-    The state is the last exceedance day. A day opens a range when it exceeds and the previous
-    exceedance is more than ``day_range`` days back. Rows of a batch arrive in Arrow chunks and are
-    reduced to distinct days before they are ordered; a day already covered by the state is ignored.
+    A day opens a range when it exceeds and the previous exceedance is more than ``day_range`` days back. A day is
+    decided once the watermark has passed its end: until then it waits in the state, together with the last decided
+    exceedance, and an event-time timer wakes the station. Whatever comes at most ``late`` behind the newest row may
+    come in any order and in any batches; later rows are dropped by Spark. The state of a station is bounded by the
+    days within ``late``.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    day_ms = 86_400_000
 
     def step(group, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        days: set[int] = set()
-        for pdf in chunks:
-            days.update(int(d) for d in pdf.loc[pdf["exceeds"] == 1, "day"])
+        last, waiting = state.get if state.exists else (None, "")
+        days = {int(d) for d in waiting.split(",") if d}
+        if not state.hasTimedOut:
+            for pdf in chunks:
+                days.update(int(d) for d in pdf.loc[pdf["exceeds"] == 1, "day"])
+        now = state.getCurrentWatermarkMs()
         fired = []
         for d in sorted(days):
-            if last is not None and d <= last:
-                continue
+            if (d + 1) * day_ms > now:
+                break
+            days.discard(d)
             if last is None or d - last > day_range:
                 fired.append(d)
-            last = d
-        if last is not None:
-            state.update((last,))
+            last = d if last is None else max(last, d)
+        state.update((last, ",".join(map(str, sorted(days)))))
+        if days:
+            state.setTimeoutTimestamp((min(days) + 1) * day_ms)
         yield pd.DataFrame({"station": [int(group[0])] * len(fired), "day": fired})
 
     rows = stream.withWatermark(ts, late).select(
-        F.col(key).cast("bigint").alias("station"),
+        F.col(key).cast("bigint").alias("station"), F.col(ts).alias("_ts"),
         F.unix_date(F.to_date(ts)).cast("bigint").alias("day"), F.col(exceeds).alias("exceeds"))
     fired = rows.groupBy("station").applyInPandasWithState(
-        step, "station bigint, day bigint", "last_day bigint", "append", GroupStateTimeout.NoTimeout)
+        step, "station bigint, day bigint", "last_day bigint, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
     return fired.select("station", F.date_from_unix_date(F.col("day").cast("int")).alias("date"))
 
 

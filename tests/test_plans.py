@@ -45,3 +45,9 @@ def test_scans_are_pruned_and_filters_pushed(spark, sf):
 
 def test_hazard_scan_is_read_once(spark, sf):
     assert plan(D.zone_flagged(spark, sf)).count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["x02_either_hazard", "x07_period_skill", "x28_classification_metrics", "w10_cooldown"])
+def test_one_pass_over_the_hazard(spark, sf, name):
+    text = plan(QUERIES[name].run(spark, sf))
+    assert len(re.findall(r"FileScan parquet [^\n]*lineitem.parquet", text)) == 1

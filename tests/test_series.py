@@ -143,3 +143,15 @@ def test_in_range_is_a_recent_exceedance(spark, flags, day_range):
     got = pull(X.peak_ranges(x, ["k"], "x", day_range), "in_range")
     s = pd.Series(flags).rolling(day_range, min_periods=1).max().astype(int).tolist()
     assert got == s
+
+
+def test_more_thresholds_than_bits(spark):
+    values = [float((i * 37) % 101) for i in range(120)]
+    df = series(spark, values).withColumn("event", (F.dayofyear("date") % 11 == 0).cast("int"))
+    percents = list(range(1, 71))
+    levels = df.withColumn("levels", F.array(*[F.lit(float(p)) for p in percents]))
+    whole = {r["percent"]: tuple(r) for r in X.trigger_table(levels, ["k"], "value", "event", "levels", percents, 5).collect()}
+    some = df.withColumn("levels", F.array(*[F.lit(float(p)) for p in (3, 40, 69)]))
+    for r in X.trigger_table(some, ["k"], "value", "event", "levels", [3, 40, 69], 5).collect():
+        assert whole[r["percent"]] == tuple(r)
+    assert sorted(whole) == percents

@@ -166,7 +166,7 @@ def test_spi_is_standardised(spark):
     rng = np.random.default_rng(1)
     rows = [(1, dt.date(1950 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(rng.gamma(3.0, 20.0, 720))]
     df = spark.createDataFrame(rows, "k int, date date, v double")
-    for out in (N.spi(df, ["k"], "v", 1).select(F.col("spi").alias("x")), N.spei(df, ["k"], "v", 1).select(F.col("spei").alias("x"))):
+    for out in (N.spi(df, ["k"], "v", [1]).select(F.col("spi").alias("x")), N.spei(df, ["k"], "v", [1]).select(F.col("spei").alias("x"))):
         r = out.agg(F.avg("x").alias("m"), F.stddev("x").alias("s")).first()
         assert abs(r["m"]) < 0.05 and abs(r["s"] - 1) < 0.08
 
@@ -209,3 +209,23 @@ def test_models_learn_a_separable_label(spark):
     assert imp["a"] > imp["b"] and sum(imp.values()) == pytest.approx(1.0)
     cautious = L.predict(L.loss_tree(train, ["a", "b"], "label", 8.0), L.assemble(valid, ["a", "b"]))
     assert K.confusion(cautious, [], "label", "predicted").first()["fn"] <= 2
+
+
+def test_gamma_cdf_on_both_sides_of_its_mean():
+    import math
+
+    from forewarn.functions.fits import gamma_cdf
+    a = np.array([1.0, 1.0, 3.0, 3.0, 200.0, 200.0, 2.0])
+    x = np.array([0.5, 40.0, 1.0, 9.0, 150.0, 260.0, -1.0])
+    got = gamma_cdf(a, x, np.array([math.lgamma(v + 1) for v in a]))
+    exact = lambda k, v: 1 - math.exp(-v) * sum(math.exp(n * math.log(v) - math.lgamma(n + 1)) for n in range(int(k)))
+    assert np.allclose(got, [exact(k, v) if v > 0 else 0.0 for k, v in zip(a, x)], atol=1e-12)
+
+
+def test_log_gamma(spark):
+    import math
+
+    from forewarn.functions.scalar import log_gamma
+    x = [0.01, 0.5, 1.0, 2.0, 3.7, 50.0, 1e4]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(log_gamma(F.col("x"))).collect()]
+    assert np.allclose(got, [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)

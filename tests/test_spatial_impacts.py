@@ -147,3 +147,114 @@ def test_upsert_is_idempotent(spark):
     for part in (a, b, b):
         writers.upsert(part, path, ["k"], ["p"])
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 9.0), (3, 3.0)]
+
+
+def test_cells_meet_small_and_thin_zones(spark):
+    """A zone inside a cell and a sliver across one, neither of which holds a centre or a corner."""
+    shapes = {"inside": [(0.51, 0.51), (0.53, 0.51), (0.53, 0.53), (0.51, 0.51)],
+              "sliver": [(-1.0, 1.565), (3.0, 1.566), (3.0, 1.567), (-1.0, 1.565)],
+              "around": [(0.0, 2.0), (1.0, 2.0), (1.0, 3.0), (0.0, 3.0), (0.0, 2.0)], "far": [(9.0, 9.0), (9.1, 9.0), (9.0, 9.1), (9.0, 9.0)]}
+    zones = spark.createDataFrame([(n, [dict(x=a, y=b) for a, b in r]) for n, r in shapes.items()],
+                                  "zone string, ring array<struct<x:double,y:double>>")
+    cells = spark.createDataFrame([(1, 0.55, 0.55), (2, 0.45, 1.55), (3, 0.55, 2.55), (4, 0.95, 1.45)], "id int, x double, y double")
+    got = {(r["id"], r["zone"]) for r in G.cells_touching_zones(cells, zones, "zone", "x", "y").collect()}
+    assert got == {(1, "inside"), (2, "sliver"), (3, "around")}
+
+
+def test_numbering_keeps_all_rows(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(9)] + [(2, 7, 1.0)], "zone int, station int, level double")
+    wide = R.spread_slots(R.number_within(df, ["zone"], [F.desc("level")], "st"), ["zone"], "station")
+    slots = {r["zone"]: r["slots"] for r in wide.collect()}
+    assert slots == {1: {f"st{i + 1}": 8 - i for i in range(9)}, 2: {"st1": 7}}
+
+
+def test_upsert_moves_keys_and_keeps_the_latest(spark):
+    path = work_path(spark, "moves")
+    schema = "id int, day string, v double, n int"
+    writers.upsert(spark.createDataFrame([(1, "a", 1.0, 0), (2, "a", 2.0, 0), (3, "b", 3.0, 0)], schema), path, ["id"], ["day"], "n")
+    moved = spark.createDataFrame([(1, "c", 9.0, 1), (3, "a", 5.0, 2), (3, "c", 4.0, 1), (2, "a", 0.0, -1)], schema)
+    for _ in range(2):  # a replay changes nothing
+        writers.upsert(moved, path, ["id"], ["day"], "n")
+        got = sorted((r["id"], r["day"], r["v"]) for r in spark.read.parquet(path).collect())
+        assert got == [(1, "c", 9.0), (2, "a", 2.0), (3, "a", 5.0)]
+
+
+def test_upsert_into_a_broken_table_fails(spark):
+    path = work_path(spark, "broken")
+    spark.createDataFrame([("no table",)], "value string").write.text(path)
+    with pytest.raises(Exception):
+        writers.upsert(spark.createDataFrame([(1, "a")], "id int, day string"), path, ["id"], ["day"])
+    assert spark.read.text(path).count() == 1
+
+
+def test_ingest_resumes_and_live_triggers_ignore_order(spark):
+    from forewarn.streaming import jobs
+    base = dt.datetime(2024, 1, 1)
+    days = [0, 1, 5, 6, 11, 20, 21, 30, 40]
+    rows = [(1, base + dt.timedelta(days=d), 1) for d in days] + [(2, base + dt.timedelta(days=d), d % 2) for d in range(41)]
+    halves = [rows[::2], rows[1::2]]
+    found = []
+    for number, (order, files) in enumerate([((0, 1), 1), ((1, 0), 1), ((0, 1), 9)]):
+        inbox = work_path(spark, "inbox")
+        for i in order:
+            spark.createDataFrame(halves[i], "key long, ts timestamp, over int").coalesce(1).write.mode("append").parquet(inbox)
+        stream = jobs.file_stream(spark, inbox, "key long, ts timestamp, over int", files_per_batch=files)
+        out = jobs.live_triggers(stream, "key", "ts", "over", 3, late="100 days")
+        # a last row far ahead lets the watermark pass
+        spark.createDataFrame([(3, base + dt.timedelta(days=200), 0)], "key long, ts timestamp, over int").coalesce(1).write.mode("append").parquet(inbox)
+        t = spark.read.parquet(jobs.available_now(out, f"live{number}"))
+        found.append(sorted((r["station"], (r["date"] - base.date()).days) for r in t.collect()))
+    assert found[0] == found[1] == found[2] == [(1, 0), (1, 5), (1, 11), (1, 20), (1, 30), (1, 40), (2, 1)]
+
+
+def test_upstream_has_no_round_limit(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 12)], "basin long, down long")
+    start = spark.createDataFrame([(0,)], "basin long")
+    assert {r["basin"]: r["steps"] for r in G.upstream(edges, start, "basin", "down").collect()} == {i: i for i in range(13)}
+
+
+def test_work_tables_are_removed(spark):
+    from forewarn.session import workspace
+    with workspace(spark) as made:
+        path = work_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert made == [path] and writers.exists(spark, path)
+    assert not writers.exists(spark, path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from forewarn import session
+
+    class Context:
+        master = "spark://host"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake())
+
+
+def test_zones_with_holes_and_parts(spark):
+    square = lambda x, y, s: [dict(x=a, y=b) for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+    zones = spark.createDataFrame([("z", [square(0.0, 0.0, 4.0), square(1.0, 1.0, 2.0), square(1.5, 1.5, 1.0), square(9.0, 9.0, 1.0)])],
+                                  "zone string, ring array<array<struct<x:double,y:double>>>")
+    df = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.2, 1.2), (3, 2.0, 2.0), (4, 9.5, 9.5), (5, 6.0, 6.0)], "id int, x double, y double")
+    assert {r["id"] for r in G.points_in_zones(df, zones, "zone", "x", "y").collect()} == {1, 3, 4}
+    assert {r["id"] for r in G.cells_touching_zones(df, zones, "zone", "x", "y", half=0.25).collect()} == {1, 2, 3, 4}
+
+
+def test_nearest_stations_across_the_date_line_and_at_the_pole(spark):
+    stations = spark.createDataFrame([(1, -179.9, 0.0), (2, 178.0, 0.0), (3, 10.0, 89.9), (4, -179.95, 50.0)], "station int, x double, y double")
+    zones = spark.createDataFrame([(1, 179.9, 0.0), (2, -170.0, 89.8), (3, -179.95, 50.1)], "zone int, zx double, zy double")
+    got = {(r["zone"], r["rank"]): r["station"] for r in
+           G.nearest_stations(zones, stations, "zone", "station", "zx", "zy", "x", "y", 2, 60.0).collect()}
+    assert got == {(1, 1): 1, (2, 1): 3, (3, 1): 4}
