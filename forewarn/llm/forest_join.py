@@ -157,6 +157,8 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for g in grouped(batches, 4):
+            if g.num_rows < 2:
+                continue
             node = g.column("node").to_numpy()
             own, x, y = g.column("own").to_numpy(), g.column("x")[0].as_py(), g.column("y")[0].as_py()
             m = np.frombuffer(b"".join(g.column("bits").to_pylist()), np.uint8).reshape(len(node), -1)
