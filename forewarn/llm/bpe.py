@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Encoded words that a task keeps between batches; the dictionary starts anew beyond it.
-KEPT_WORDS = 400_000
+#: Encoded words and stretches that a task keeps between batches; beyond it the older half goes.
+KEPT_WORDS, KEPT_STRETCHES = 600_000, 250_000
+#: Words whose merges are replayed together: their symbols stay in the processor's cache.
+REPLAYED = 16_384
+#: Text that is encoded at a time, in bytes: what a task holds of its share of the corpus.
+AT_ONCE = 2 << 20
+#: Stretches of a text. They end before a single space between two other characters, where the pattern of byte-level
+#: BPE always begins a new match, so each can be split on its own.
+STRETCH = re.compile(r"(?:\A\s*| )?\S+(?:(?:[^\S ]\s*| \s+)\S+)*(?:\s+\Z)?|\s+")
+
+
+def younger(known: dict, most: int) -> dict:
+    """The dictionary, or its younger half once it is full."""
+    return known if len(known) <= most else dict(islice(known.items(), len(known) // 2, None))
 
 
 class Vocabulary:
@@ -37,11 +49,14 @@ class Vocabulary:
         if self.ranks is None:
             pairs = (line.split() for line in self.lines.splitlines() if line.strip())
             self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-            self.bytes_of = {r: t for t, r in self.ranks.items()}
+            self.bytes_of: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+            for t, r in self.ranks.items():
+                self.bytes_of[r] = t
             self.split = regex.compile(self.pattern).findall
             self.first = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-            self.pairs: dict[tuple[int, int], int] = {}
+            self.pairs: dict[int, int] = {}
             self.words: dict[str, bytes] = {}
+            self.stretches: dict[str, bytes] = {}
             starts = np.full(65536, -1, np.int64)
             for a in range(256):
                 for b in range(256):
@@ -52,60 +67,57 @@ class Vocabulary:
     def __getstate__(self):
         return {"lines": self.lines, "pattern": self.pattern, "ranks": None}
 
-    def rank_of(self, a: int, b: int) -> int:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return got
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. All words lie in one row of symbols; ``at`` is the inverted index from a pair, named by
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word. All words lie in one row of symbols; ``at`` is the inverted index from a pair, named by
         the rank of its merge, to the places of its left symbol. The lowest rank is merged at all its places, left
         to right, and only the two neighbours of a place are looked up again. A merge that opens a lower rank puts
         the rest of its places back, so each word goes through the same merges as it would alone."""
         flat = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        n = len(flat)
         tok = self.first[flat].tolist()
-        n = len(tok)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         for e in ends.tolist():
             if e:
                 nxt[e - 1] = -1
                 if e < n:
                     prv[e] = -1
-        at: dict[int, list[int]] = {}
+        pair = np.full(n, -1, np.int64)
         if n > 1:
-            pair = self.starts[flat[:-1].astype(np.int64) << 8 | flat[1:]]
-            last = ends[(ends > 0) & (ends < n)] - 1
-            pair[last] = -1
-            places = np.flatnonzero(pair >= 0)
-            places = places[np.argsort(pair[places], kind="stable")]
-            found, begin = np.unique(pair[places], return_index=True)
-            at = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places, begin[1:]))}
+            pair[:-1] = self.starts[flat[:-1].astype(np.int64) << 8 | flat[1:]]
+            pair[ends[ends > 0] - 1] = -1
+        places = np.flatnonzero(pair >= 0)
+        places = places[np.argsort(pair[places], kind="stable")]
+        found, begin = np.unique(pair[places], return_index=True)
+        at: dict[int, list[int]] = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places, begin[1:]))} if len(found) else {}
+        rank = pair.tolist()  # of the pair that starts at a place now
         heap = list(at)
         heapify(heap)
-        rank_of = self.rank_of
+        pairs, ranks, bytes_of = self.pairs, self.ranks, self.bytes_of
+        if len(pairs) > KEPT_WORDS:
+            pairs.clear()
         while heap:
             r = heappop(heap)
-            places = at.pop(r, None)
-            if places is None:
+            todo = at.pop(r, None)
+            if todo is None:
                 continue
-            places.sort()
-            for k, i in enumerate(places):
-                j = nxt[i]
-                if tok[i] < 0 or j < 0 or rank_of(tok[i], tok[j]) != r:
+            todo.sort()
+            for k, i in enumerate(todo):
+                if rank[i] != r:
                     continue
-                tok[i], tok[j] = r, -1
-                right = nxt[i] = nxt[j]
-                left = prv[i]
-                lower = False
+                j = nxt[i]
+                tok[i], tok[j], rank[j] = r, -1, -1
+                right, left, lower = nxt[j], prv[i], False
+                nxt[i] = right
+                rank[i] = -1
                 if right >= 0:
                     prv[right] = i
-                    q = rank_of(r, tok[right])
+                    b = tok[right]
+                    q = pairs.get(r << 32 | b)
+                    if q is None:
+                        q = pairs[r << 32 | b] = ranks.get(bytes_of[r] + bytes_of[b], -1)
                     if q >= 0:
+                        rank[i] = q
                         lower = q < r
                         if q in at:
                             at[q].append(i)
@@ -113,7 +125,11 @@ class Vocabulary:
                             at[q] = [i]
                             heappush(heap, q)
                 if left >= 0:
-                    q = rank_of(tok[left], r)
+                    a = tok[left]
+                    q = pairs.get(a << 32 | r)
+                    if q is None:
+                        q = pairs[a << 32 | r] = ranks.get(bytes_of[a] + bytes_of[r], -1)
+                    rank[left] = q
                     if q >= 0:
                         lower = lower or q < r
                         if q in at:
@@ -121,26 +137,33 @@ class Vocabulary:
                         else:
                             at[q] = [left]
                             heappush(heap, q)
-                if lower and k + 1 < len(places):
-                    at[r] = places[k + 1:]
+                if lower and k + 1 < len(todo):
+                    at[r] = todo[k + 1:]
                     heappush(heap, r)
                     break
-        out, begin = [], 0
-        for e in ends.tolist():
-            out.append([t for t in tok[begin:e] if t >= 0])
-            begin = e
-        return out
+        left_over = np.array(tok, np.int64)
+        stays = left_over >= 0
+        packed = left_over[stays].astype("<u4").tobytes()
+        stops = (np.concatenate([[0], np.cumsum(stays)])[ends] * 4).tolist()
+        return [packed[x:y] for x, y in zip([0, *stops], stops)]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words, split = self.words, self.split
-        if len(words) > KEPT_WORDS:
-            words.clear()
-        cut = [split(t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(words))
-        raw = [w.encode() for w in new]
-        words.update(zip(new, (np.array(i, "<u4").tobytes() for i in self.replay(raw))))
-        return [b"".join(map(words.__getitem__, c)) for c in cut]
+        cut = [STRETCH.findall(t) if t else [] for t in texts]
+        known = self.stretches = younger(self.stretches, KEPT_STRETCHES)
+        new = list(set().union(*cut).difference(known))
+        parts = [self.split(s) for s in new]
+        self.learn(set().union(*parts))
+        word = self.words.__getitem__
+        known.update(zip(new, (b"".join(map(word, p)) for p in parts)))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+    def learn(self, words: set[str]) -> None:
+        known = self.words = younger(self.words, KEPT_WORDS)
+        new = list(words.difference(known))
+        for a in range(0, len(new), REPLAYED):
+            some = new[a:a + REPLAYED]
+            known.update(zip(some, self.replay([w.encode() for w in some])))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -157,57 +180,65 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text_col`` as ``ids_col`` (an array; a column of that name is replaced).
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", packed: bool = False) -> DataFrame:
+    """``docs`` with the token ids of ``text_col`` as ``ids_col`` (a column of that name is replaced): an array, or
+    with ``packed`` the ids as little-endian 32-bit numbers in one binary value.
 
     Each match of the pattern is encoded separately, as a text without special tokens. Words do not depend on each
-    other, so the merges are replayed over the words that a task meets, once for each distinct word of about 8 MB of
+    other, so the merges are replayed over the words that a task meets, once for each distinct word of about 2 MB of
     text, and no word is shuffled. A null or empty text has no ids; texts are whole whatever their length; repeated
     rows repeat their ids; ids are those of the rank file, which must hold all single bytes.
     """
     kept = [f for f in docs.schema.fields if f.name != ids_col]
-    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([*kept, T.StructField(ids_col, kind, False)])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names = [f.name for f in kept]
 
     def run(batches):
         v = shared.value.load()
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, AT_ONCE):
                 got = v.encode(b.column(text_col).to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                if packed:
+                    ids = pa.array(got, pa.binary())
+                else:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in got)])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], [*names, ids_col])
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``rows`` with the bytes of ``ids_col`` as ``out_col``; null ids give no bytes, an unknown id fails."""
+    """``rows`` with the bytes of ``ids_col``, an array or packed, as ``out_col``; null ids give no bytes, an unknown
+    id fails."""
     kept = [f for f in rows.schema.fields if f.name != out_col]
     schema = T.StructType([*kept, T.StructField(out_col, T.BinaryType(), False)])
+    packed = isinstance(rows.schema[ids_col].dataType, T.BinaryType)
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     names = [f.name for f in kept]
 
+    def numbers(ids) -> list[int]:
+        if not ids.is_valid:
+            return []
+        return (np.frombuffer(ids.as_py(), "<i4") if packed else ids.values.to_numpy()).tolist()
+
     def run(batches):
         v = shared.value.load()
-        for b in batches:
-            out = []
-            for ids in b.column(ids_col):
-                out.append(v.decode(ids.values.to_numpy().tolist()) if ids.is_valid else b"")
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.binary())], [*names, out_col])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
+                out = pa.array([v.decode(numbers(ids)) for ids in b.column(ids_col)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), out], [*names, out_col])
 
     return rows.mapInArrow(run, schema)
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Number of ids, and hexadecimal SHA-256 of the ids as little-endian 32-bit numbers and of the decoded bytes."""
-    @F.pandas_udf("string")
-    def sha(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest())
-
-    return rows.select(id_col, F.size(ids_col).cast("long").alias("n_tokens"), sha(ids_col).alias("ids_sha256"),
-                       F.sha2(decoded_col, 256).alias("decoded_sha256"))
+    """Number of ids, and hexadecimal SHA-256 of the packed ids and of the decoded bytes."""
+    return rows.select(id_col, (F.octet_length(ids_col) / 4).cast("long").alias("n_tokens"),
+                       F.sha2(ids_col, 256).alias("ids_sha256"), F.sha2(decoded_col, 256).alias("decoded_sha256"))
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> Vocabulary:
