@@ -37,9 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their digest, and that of the text decoded from them."""
+    """Token ids of each document as 32-bit numbers, their digest, and that of the text decoded from them."""
     vocabulary = bpe.public_vocabulary()
-    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary, packed=True).select("doc_id", "ids")
     return bpe.digests(bpe.decode(ids, vocabulary))
 
 
