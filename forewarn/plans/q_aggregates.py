@@ -351,8 +351,8 @@ l AS (UNPIVOT r ON """ + ", ".join(f"d{n}" for n in DURATIONS) + """ INTO NAME d
 m AS (SELECT event_type, CAST(substr(d, 2) AS BIGINT) AS duration, day, round(max(v), 6) AS mx FROM l GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY event_type, duration ORDER BY mx) AS r, count(*) OVER (PARTITION BY event_type, duration) AS n FROM m),
 b AS (SELECT event_type, duration, avg(mx) AS b0, sum((r - 1) / (n - 1) * mx) / count(*) AS b1 FROM k WHERE n >= 2 GROUP BY 1, 2)
-SELECT event_type, duration, period, round((b0 - (2 * b1 - b0) / ln(2) * 0.5772156649015329
-  - (2 * b1 - b0) / ln(2) * ln(-ln(1 - 1.0 / period))) / duration, 4) AS intensity
+SELECT event_type, duration, period, round(round(b0 - (2 * b1 - b0) / ln(2) * 0.5772156649015329
+  - (2 * b1 - b0) / ln(2) * ln(-ln(1 - 1.0 / period)), 6) / duration, 2) AS intensity
 FROM b, (VALUES (2), (5), (10), (20), (50), (100)) p(period)""")
 def _(spark, sf):
     from ..operators.windows import along
@@ -366,7 +366,7 @@ def _(spark, sf):
     long = wide.unpivot(["event_type", "day"], list(sums), "d", "mx")
     long = long.withColumn("duration", F.substring("d", 2, 5).cast("int"))
     lv = Q.gumbel_levels(long, ["event_type", "duration"], "mx", [2, 5, 10, 20, 50, 100])
-    return lv.select("event_type", "duration", "period", F.round(F.col("level") / F.col("duration"), 4).alias("intensity"))
+    return lv.select("event_type", "duration", "period", F.round(F.col("level") / F.col("duration"), 2).alias("intensity"))
 
 
 @query("a30_yearly_labels", """
