@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forewarn.session import work_path
+from forewarn.session import remove, work_path
 
 #: Separators of words: everything but letters and digits.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -25,11 +25,16 @@ def digest(text: Column) -> Column:
     return F.xxhash64(whole(text))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: later steps survive the loss of any executor."""
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, and its path: later steps survive the loss of any executor."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As ``written_at``, without the path."""
+    return written_at(df, label)[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,11 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: every node points its larger neighbours, then its smaller ones, to the
     smallest neighbour, until no edge moves. Rows stay at most the number of edges, a star's centre is found by a
-    combinable minimum, and each round is a table in the shared folder.
+    combinable minimum, and each round is a table in the shared folder that replaces the one before.
     Returns ``node`` and ``component``; a node without edges is not in the result.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                  .where("a <> b").distinct(), "edges")
+    now, path = written_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                           .where("a <> b").distinct(), "edges")
     state = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a"))).toDF("a", "b")
@@ -51,9 +56,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        after = written(small, "edges")
+        after, new_path = written_at(small, "edges")
+        remove(edges.sparkSession, path)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             return after.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")) \
                 .union(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state, now = seen, after
+        state, now, path = seen, after, new_path
