@@ -34,7 +34,7 @@ def main() -> None:
     registry = load()
     names = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf}/lineitem.parquet").count()  # start the JVM outside the timings
-    registry["a01_station_totals" if "a01_station_totals" in registry else names[0]].run(spark, sf).count()
+    registry[names[0]].run(spark, sf).write.format("noop").mode("overwrite").save()  # and compile what all queries share
     times = {}
     for name in names:
         runs = []
