@@ -25,9 +25,11 @@ def balance_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame
     return df.join(sizes, label)
 
 
-def hash_folds(df: DataFrame, keys: list[str], folds: int, out: str = "fold") -> DataFrame:
-    """Reproducible fold number from the row keys, independent of partitioning."""
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(folds))
+def hash_folds(df: DataFrame, keys: list[str], folds: int, out: str = "fold", salt: int | None = None) -> DataFrame:
+    """Reproducible fold number from the row keys, independent of partitioning; another ``salt`` gives folds that have
+    nothing to do with a split made before."""
+    head = [] if salt is None else [F.lit(salt)]
+    h = F.pmod(F.xxhash64(*head, *[F.col(k) for k in keys]), F.lit(folds))
     return df.withColumn(out, h.cast("int"))
 
 
@@ -90,7 +92,7 @@ def tuned_trees(train: DataFrame, cols: list[str], label: str, keys: list[str],
                 depths=(2, 3), step_sizes=(0.1,), least_rows=(3,), gains=(0.0,), rounds: int = 5,
                 folds: int = 3):
     """Boosted trees tuned on true, held-out folds by the recall of the events."""
-    data = hash_folds(balance_weights(assemble(train, cols), label), keys, folds)
+    data = hash_folds(balance_weights(assemble(train, cols), label), keys, folds, salt=1)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds,
                         seed=11)
     grid = (ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(step_sizes))
