@@ -22,7 +22,7 @@ PIECE, STRETCH = 16, 32
 #: Smoothing: pseudo-counts of each piece, and probability of a letter that is no piece.
 PSEUDO, STRANGE = 0.05, 1e-7
 UNKNOWN = "und"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         m = shared.value.load()
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, 2 << 20):
                 langs, scores = m.predict(b.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(langs, pa.string()),
                                                   pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
