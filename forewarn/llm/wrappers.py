@@ -26,6 +26,9 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
                         "masthead comment comments respond replies discussion disqus share sharing social related recommended "
                         "newsletter subscribe subscription signup login search widget skip toolbar pagination pager".split())
+#: Tags of a head's own elements (any other ends it), and the tenths of the text that are most of it.
+HEAD = frozenset("head title base link meta script style noscript template".split())
+MOST = 8
 #: A host's pages are dealt to so many slices, each with a wrapper of its own, before the slices' wrappers are merged.
 SLICES = 32
 #: Rules of hosts that may be broadcast; beyond it pages meet them in a join on host and a salt.
@@ -72,20 +75,29 @@ def aside(key: str) -> bool:
 def tree(source: str, texts: bool = False):
     """The page as nested ``[key, children]``; texts are strings (left out unless ``texts``: only their length then).
 
-    Tags close what they must; a tag that the end of the page cuts off is dropped, and so is an end without a start.
+    Tags close what they must, and text or an element that is none of a head's own closes the head; a tag that the end
+    of the page cuts off is dropped, and so is an end without a start.
     """
     root: list = ["", []]
     stack = [root]
+
+    def body(tag: str) -> None:
+        if stack[-1][0].split(".")[0] == "head" and tag not in HEAD:
+            del stack[-1]
+
     for m in TOKEN.finditer(source):
         tag = m["tag"]
         if tag is None:
             raw = m["raw"]
             if raw is not None:
+                body(raw.lower())
                 stack[-1][1].append([raw.lower(), []])
                 continue
             s = m[0]
             if s[0] != "<" or s == "<":
-                stack[-1][1].append(s if texts else len(s))
+                if not s.isspace():
+                    body("")
+                stack[-1][1].append(s if texts else len(s.strip()))
             continue
         tag = tag.lower()
         if m["end"]:
@@ -94,6 +106,7 @@ def tree(source: str, texts: bool = False):
                     del stack[i:]
                     break
             continue
+        body(tag)
         if tag in CLOSES or tag not in INLINE and tag not in VOID:
             shut = CLOSES.get(tag, {"p"})
             for i in range(len(stack) - 1, 0, -1):
@@ -158,40 +171,85 @@ def align(a: Node, b: Node) -> Node:
     return out
 
 
-def weight(node: Node) -> int:
-    return 0 if aside(node.key) else node.chars + sum(map(weight, node.kids))
-
-
-def regions(root: Node) -> list[str]:
-    """Paths of the places that hold the article: the outermost ``article`` places, else ``main``, else the deepest
-    place that holds most of the text outside of menus and the like."""
-    found: list[str] = []
+def weight(node: Node, path: str = "", opened: frozenset | set = frozenset()) -> int:
+    """Characters outside of asides, but for those ``opened``."""
+    if aside(node.key) and path not in opened:
+        return 0
+    return node.chars + sum(weight(k, f"{path}/{k.key}", opened) for k in node.kids)
+
+
+def opened_in(node: Node, path: str, opened: set[str]) -> int:
+    """Characters of a place outside of the asides in it. A form, or what is an aside by its words only, is none if it
+    holds most of the place's text: its path is added to ``opened``, and its own text counts."""
+    own = node.chars
+    odd: dict[str, list] = {}
+
+    def walk(n: Node, at: str) -> None:
+        nonlocal own
+        for k in n.kids:
+            here = f"{at}/{k.key}"
+            if not aside(k.key):
+                own += k.chars
+                walk(k, here)
+            elif k.key.split(".")[0] not in ASIDE - {"form"}:
+                inner: set[str] = set()
+                chars = opened_in(k, here, inner)
+                held = odd.setdefault(here, [0, set()])
+                held[0] += chars
+                held[1] |= inner
+
+    walk(node, path)
+    if odd:
+        here, (chars, inner) = max(odd.items(), key=lambda x: (x[1][0], x[0]))
+        if chars and chars * 10 >= (own + chars) * MOST:
+            opened |= {here} | inner
+            own += chars
+    return own
+
+
+def regions(root: Node) -> tuple[list[str], list[str]]:
+    """Paths of the places that hold the article, and of the places that look like asides but are none: the outermost
+    ``article`` places, else ``main``, else the deepest place that holds most of the text outside of menus and the like.
+
+    Places under an aside count where no other has text, unless most of the text is outside of all asides (teasers in
+    a sidebar). An aside that holds the chosen places is none, nor one that holds most of their text (``opened_in``).
+    """
+    plain = weight(root)
 
-    def seek(node: Node, path: str, tag: str) -> None:
+    def seek(node: Node, path: str, tag: str, above: frozenset, found: dict) -> dict:
         for k in node.kids:
-            if aside(k.key):
-                continue
             at = f"{path}/{k.key}"
-            if k.key.split(".")[0] == tag or tag == "main" and "main" in k.key.split(".")[1:]:
-                found.append(at)
+            name, *words = k.key.split(".")
+            if name == tag or tag == "main" and "main" in words and not aside(k.key):
+                found.setdefault((at, above), []).append(k)
             else:
-                seek(k, at, tag)
+                seek(k, at, tag, above | {at} if aside(k.key) else above, found)
+        return found
 
     for tag in ("article", "main"):
-        seek(root, "", tag)
-        if found:
-            return sorted(set(found))
+        found = seek(root, "", tag, frozenset(), {})
+        for under in (False, True):
+            opened: set[str] = set()
+            places = [(at, above, nodes) for (at, above), nodes in found.items() if bool(above) == under]
+            chars = sum(opened_in(n, at, opened) for at, _, nodes in places for n in nodes)
+            if chars and (not under or plain * 10 < (chars + plain) * MOST):
+                return sorted({at for at, _, _ in places}), sorted(opened.union(*(above for _, above, _ in places)))
+    opened = set()
+    opened_in(root, "", opened)
     node, path = root, ""
     while True:
-        total = weight(node)
-        heavy = [k for k in node.kids if weight(k) * 10 >= total * 8 and total and k.key.split(".")[0] not in INLINE | {"p", "li"}]
+        total = weight(node, path, opened)
+        # an aside is gone into only if next to nothing is beside it: long comments do not take the article's place
+        heavy = [k for k in node.kids if total and k.key.split(".")[0] not in INLINE | {"p", "li"}
+                 and weight(k, f"{path}/{k.key}", opened) * 20 >= total * (19 if aside(k.key) else 2 * MOST)]
         if not heavy:
-            return [path]
+            return [path], sorted(opened)
         node, path = heavy[0], f"{path}/{heavy[0].key}"
 
 
-def text_of(root, paths: set[str]) -> str:
-    """Blocks of the regions in page order, references decoded, white space as one space."""
+def text_of(root, paths: set[str], opened: set[str]) -> str:
+    """Blocks of the regions in page order without asides other than ``opened``, references decoded, white space as one
+    space."""
     pieces: list[str] = []
 
     def walk(node, path: str, inside: bool) -> None:
@@ -201,9 +259,9 @@ def text_of(root, paths: set[str]) -> str:
                     pieces.append(k)
                 continue
             key = k[0]
-            if aside(key):
-                continue
             at = f"{path}/{key}"
+            if aside(key) and at not in opened:
+                continue
             tag = key.split(".")[0]
             block = tag not in INLINE
             if block:
@@ -221,7 +279,8 @@ def host_of(url) -> F.Column:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``wrapper`` (JSON of the nested places) and ``regions`` (paths of the article), one row a host.
+    """``host``, ``wrapper`` (JSON of the nested places), ``regions`` (paths of the article) and ``opened`` (paths that
+    are no asides though they look so), one row a host.
 
     Every page is folded in: each task folds the pages of a host that it meets, these wrappers are folded within
     ``SLICES`` slices of the host, and the slices' wrappers at last, so a host of any size is aligned in parts of
@@ -262,11 +321,13 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     slices_ = folded(ones, F.pmod(F.xxhash64("wrapper"), F.lit(SLICES)).cast("int"))
     hosts = folded(slices_, F.lit(0))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def where(w):
-        return w.map(lambda x: regions(Node.unpack(json.loads(x))))
+    def where(batches):
+        for b in batches:
+            both = [regions(Node.unpack(json.loads(x))) for x in b.column("wrapper").to_pylist()]
+            paths = [pa.array([x[i] for x in both], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("wrapper"), *paths], ["host", "wrapper", "regions", "opened"])
 
-    return hosts.withColumn("regions", where("wrapper"))
+    return hosts.mapInArrow(where, "host string, wrapper string, regions array<string>, opened array<string>")
 
 
 def extract(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
@@ -275,7 +336,7 @@ def extract(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col:
     regions is read by its own wrapper. A null page has an empty text."""
     columns = [c for c in pages.columns if c != out_col]
     host = host_of(F.col(url_col))
-    rules = written(rules.select(F.col("host").alias("_host"), F.col("regions").alias("_regions")), "rules")
+    rules = written(rules.select(F.col("host").alias("_host"), F.col("regions").alias("_regions"), F.col("opened").alias("_opened")), "rules")
     rows = pages.select(*columns, host.alias("_key"))
     if rules.count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(rules), rows["_key"] == rules["_host"], "left")
@@ -289,15 +350,15 @@ def extract(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_col:
         for whole in batches:
             for b in slices(whole, html_col):
                 texts = []
-                for source, paths in zip(b.column(html_col).to_pylist(), b.column("_regions").to_pylist()):
+                for source, *rule in zip(*(b.column(c).to_pylist() for c in (html_col, "_regions", "_opened"))):
                     root = tree(source or "", True)
-                    text = text_of(root, set(paths or ()))
+                    text = text_of(root, *(set(x or ()) for x in rule))
                     if not text and source:
-                        text = text_of(root, set(regions(wrapper_of(tree(source)))))
+                        text = text_of(root, *map(set, regions(wrapper_of(tree(source)))))
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, out_col])
 
-    return joined.select(*columns, "_regions").mapInArrow(run, schema)
+    return joined.select(*columns, "_regions", "_opened").mapInArrow(run, schema)
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:

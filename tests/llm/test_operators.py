@@ -337,6 +337,32 @@ def test_wrapper_finds_optional_and_repeated_places():
     assert (h1.key, h1.optional) == ("h1", True) and (p.key, p.repeated, p.optional) == ("p", True, False) and (hr.key, hr.optional) == ("hr", True)
 
 
+def test_page_wrapper_with_an_aside_word_keeps_its_article(spark):
+    head, nav, end = "<html><head><title>T</title></head><body>", "<nav>Home</nav>", "<footer>x</footer></body></html>"
+    told, talk = "<p>Told %d at some length</p>", '<div class="comments"><p>a reader</p></div><form><p>send</p></form>'
+    bodies = {"article": f"<div id=page class='site right-sidebar'>{nav}<article>{told}{talk}</article>{talk}</div>",
+              "class": f"{nav}<div class='content no-comments'>{told}<div class=sidebar>side</div></div>",
+              "section": f"{nav}<section class='search-rescue'><div>{told}</div></section>",
+              "inside": f"{nav}<article><h1></h1><div class='content no-comments'>{told}</div></article>",
+              "form": f"<form id=main-form>{nav}<div>{told}</div><input><select><option>no</select></form>",
+              "main": f"<form>{nav}<div class=main>{told}</div></form>",
+              "teaser": f"<div>{told}<p>{'more of the text ' * 9}</p></div><div class=sidebar><article>teaser</article></div>"}
+    rows = [(f"{host}{i}", f"http://{host}.org/{i}", head + body % i + end) for host, body in bodies.items() for i in (1, 2)]
+    rows += [(f"head{i}", f"http://head.org/{i}", f"<html><head><meta charset=u><title>T</title>{body}{nav}<article>{told % i}</article>{end}")
+             for i, body in ((1, "<body>"), (2, ""))]
+    out = {r["id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "id string, url string, html string")).collect()}
+    more = " " + ("more of the text " * 9).strip()
+    assert out == {f"{host}{i}": f"Told {i} at some length" + (more if host == "teaser" else "") for host in [*bodies, "head"] for i in (1, 2)}
+
+
+def test_long_comments_do_not_take_the_articles_place(spark):
+    talk = f"<div class=comments><p>{'a reader says ' * 200}</p></div>"
+    rows = [(i, f"http://h{i}.org/", f"<html><body>{body}{talk}</body></html>") for i, body in
+            enumerate(("<article><p>Told</p></article>", "<main><p>Told</p></main>"))]
+    out = {r["id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "id long, url string, html string")).collect()}
+    assert out == {0: "Told", 1: "Told"}
+
+
 def test_pages_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "BROADCAST_HOSTS", 0)
     test_main_text(spark)
