@@ -107,10 +107,17 @@ def lists(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def answers(qi, ci, whole, open_, k) -> pa.RecordBatch:
+    """For each query the k best of its open candidates; an id with several vectors takes one place."""
     q, v, s = [], [], []
+    repeated = len(np.unique(ci)) < len(ci)
     for i in range(len(qi)):
         hit = np.flatnonzero(open_[i])
-        scores, ids = best(whole[i, hit], ci[hit], k)
+        scores, ids = whole[i, hit], ci[hit]
+        if repeated:
+            order = np.lexsort((-scores, ids))
+            ids, first = np.unique(ids[order], return_index=True)
+            scores = scores[order][first]
+        scores, ids = best(scores, ids, k)
         q.append(np.full(len(ids), qi[i]))
         v.append(ids)
         s.append(scores)

@@ -99,6 +99,13 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_of_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 1.0, 1.0, 1.0])] + [(1, [9.0 + i] * 4) for i in range(6)] + [(i, [float(i)] * 4) for i in range(2, 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(v, v.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(0, r + 1, i, 4 * 256 * 256 * x) for r, (i, x) in enumerate([(1, 14), (7, 7), (6, 6), (5, 5), (4, 4)])]
+
+
 # bytes --------------------------------------------------------------------------------------------------------------
 
 def bytes_by_hand(rows, length=suffix_dedup.LENGTH):
