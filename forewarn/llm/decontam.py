@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,9 @@ from .common import NOT_WORD, digest, whole
 #: Offsets of the tokens that a seed reads; it ignores the others. Any 11 tokens with two substitutions, and any 8
 #: with one, still hold a seed of one of the two masks (tested).
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
-#: An overlap is a run of so many aligned tokens, of which at least this share is equal.
-OVERLAP, SHARE = 13, 0.8
+#: An overlap is a run of so many aligned tokens, of which at least this share is equal. A shorter item must be held as
+#: a whole, with no more substitutions than the masks are proven for: one, or two from 11 tokens on; below ``LEAST`` not even one.
+OVERLAP, SHARE, LEAST = 13, 0.8, 8
 #: Seeds of the test side that may be broadcast (about 100 bytes each); beyond it the seeds are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
 
@@ -50,12 +49,13 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
 
     Tokens are runs of letters and digits in lower case. Every position of every text is hashed under each mask and
     joined with the hashed test items; around a hit the item is laid on the document without gaps, and the overlap
-    counts if some run of ``OVERLAP`` aligned tokens has at least ``SHARE`` of them equal. A chain of hits on one
-    alignment is verified at its first hit only. Items of fewer than ``OVERLAP`` tokens are no evidence and take no
-    part, as do null or empty texts and items; repeated rows give their overlaps once.
+    counts if some run of ``OVERLAP`` aligned tokens has at least ``SHARE`` of them equal. An item of ``LEAST`` to
+    ``OVERLAP`` - 1 tokens counts if the run of its length does, with at most one substitution below 11 tokens. A chain
+    of hits on one alignment is verified at its first hit only. Items of fewer than ``LEAST`` tokens are no evidence and
+    take no part, as do null or empty texts and items; repeated rows give their overlaps once.
     """
     items = (bench.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("words"))
-             .where(F.size("words") >= OVERLAP).distinct())
+             .where(F.size("words") >= LEAST).distinct())
     span = F.when(F.col("mask") == 0, MASKS[0][-1])
     for m in range(1, len(MASKS)):
         span = span.when(F.col("mask") == m, MASKS[m][-1])
@@ -73,18 +73,19 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     shift = F.col("pos") - F.col("ipos")
     first = F.greatest(F.lit(0), -shift)
     length = F.least(F.size("words"), F.size("doc_words") - shift) - first
+    run = F.least(F.lit(OVERLAP), F.size("words"))
     # one row for an alignment before any lambda: up to here the plan stays in generated code, row by row
-    laid = hits.where(length >= OVERLAP).select(
-        "id", "digest", "item", shift.alias("shift"), F.slice("words", first + 1, length).alias("i"),
+    laid = hits.where(length >= run).select(
+        "id", "digest", "item", shift.alias("shift"), run.alias("run"), F.slice("words", first + 1, length).alias("i"),
         F.slice("doc_words", first + shift + 1, length).alias("d")).dropDuplicates(["id", "digest", "item", "shift"])
     same = F.zip_with("i", "d", lambda a, b: F.when(a == b, 1).otherwise(0))
-    need = ceil(SHARE * OVERLAP)
+    need = F.greatest(F.ceil(SHARE * F.col("run")), F.col("run") - F.when(F.col("run") < 11, 1).otherwise(2))
     state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    marked = laid.select("id", "digest", "item", "shift", same.alias("same"))
+    marked = laid.select("id", "digest", "item", "shift", "run", same.alias("same"))
     place = F.sequence(F.lit(0), F.size("same") - 1)
 
     def step(acc, i):
-        now = acc["now"] + F.get("same", i) - F.coalesce(F.get("same", i - OVERLAP), F.lit(0))
+        now = acc["now"] + F.get("same", i) - F.coalesce(F.get("same", i - F.col("run")), F.lit(0))
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
     return (marked.where(F.aggregate(place, state, step)["most"] >= need)

@@ -79,6 +79,21 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     test_decontamination(spark)
 
 
+def test_decontamination_by_short_items(spark):
+    word = [f"w{i}" for i in range(40)]
+    items = {n: [f"{n}{w}" for w in word[:n]] for n in range(7, 14)}
+
+    def held(n, *bad):
+        return "at the start " + " ".join("zz" if i in bad else w for i, w in enumerate(items[n])) + " and on"
+
+    rows = [(100 * n + k, held(n, *range(1, 2 * k, 2))) for n in items for k in range(4)]
+    rows += [(100 * n + 9, " ".join(items[n][:-1])) for n in items if n < 13]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = sorted((r["id"], r["item"], r["n_equal"]) for r in decontam.overlaps(texts(spark, rows), bench).collect())
+    allowed = {8: 1, 9: 1, 10: 1, 11: 2, 12: 2, 13: 2}
+    assert found == [(100 * n + k, n, n - k) for n, most in allowed.items() for k in range(most + 1)]
+
+
 # top-k --------------------------------------------------------------------------------------------------------------
 
 def test_top_k(spark, monkeypatch):
