@@ -84,7 +84,7 @@ def cuts(dim: int) -> list[slice]:
 
 def lists(pairs: DataFrame, k: int) -> DataFrame:
     """First phase: in each block and for each slice of the components the k highest partial scores; the vectors that
-    they name get their whole scores, and each block lists its k best."""
+    they name keep their whole scores (which are added up for all), and each block lists its k best."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -127,8 +127,8 @@ def answers(qi, ci, whole, open_, k) -> pa.RecordBatch:
 
 def resolved(pairs: DataFrame, k: int) -> DataFrame:
     """Second and third phase: a vector whose whole score reaches the cutoff has a partial score of at least cutoff /
-    slices in some slice. Each block collects the vectors that pass this uniform threshold in one slice or more, adds
-    up their remaining slices exactly, and gives the k best that reach the cutoff."""
+    slices in some slice. All slices of all pairs are computed and added up, so this uniform threshold saves no product;
+    each block gives the k best of those that reach the cutoff."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
