@@ -237,7 +237,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     all that the forest brings into one group of candidates).
 
     Documents with equal sets are one node with a number of copies, found by a combinable minimum. The forest keeps
-    only labels that several nodes share; labels are shortened to the depth where the target recall is met. Buckets
+    only labels that several nodes share. It is banding of a fixed depth: ``depth_for`` takes it from constants, not from
+    the data, and no prefixes are matched. Buckets
     yield spanning edges, not pairs; the groups that these form are compared exactly, all members with all, in blocks,
     and only counts and spanning edges leave a task. A text without words is linked with nothing; a shorter text than
     a shingle is one shingle; rows with one id and different texts are one document; null ids form no link and stay
