@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, forest_join, langid, line_dedup, suffix_dedup, topk, warc, wrappers
+from . import bpe, chat, decontam, filter_audit, forest_join, langid, line_dedup, suffix_dedup, topk, warc, wrappers
 from .common import table
 from forewarn.session import work_path
 
@@ -145,3 +145,38 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     out = wrappers.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_filter_interaction_audit", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+told AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN told ON d.doc_id = told.doc_id),
+orders(filter_order) AS (
+  SELECT '' UNION ALL
+  SELECT filter_order || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(x) WHERE NOT contains(filter_order, x)),
+steps AS (
+  SELECT filter_order, s::INT AS step, substr(filter_order, s, 1) AS own, substr(filter_order, 1, s - 1) AS before
+  FROM orders, range(1, 6) r(s) WHERE length(filter_order) = 5),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails),
+seen AS (
+  SELECT *, contains(fails, own) AS bad, translate(fails, before, '') = fails AS reached FROM counts, steps),
+summed AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (WHERE reached AND NOT bad), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE reached AND bad), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE NOT reached AND bad), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE reached AND bad), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE reached AND bad), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flags(table(spark, sf, "documents"), table(spark, sf, "labels")))
