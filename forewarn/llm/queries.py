@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, filter_audit, forest_join, langid, line_dedup, suffix_dedup, topk, warc, wrappers
+from . import bpe, chat, decontam, filter_audit, forest_join, langid, line_dedup, suffix_dedup, topk, turn_trie, warc, word_bpe, wrappers
 from .common import table
 from forewarn.session import work_path
 
@@ -180,3 +180,43 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed""")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.audit(filter_audit.flags(table(spark, sf, "documents"), table(spark, sf, "labels")))
+
+
+@query("op12_conversation_prefix_trie", r"""
+WITH t AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars,
+         substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS d,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT conv_id, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: xor(b >> 1, (b & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM t),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.pos, d, chars FROM ids i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 100 AND t.pos <= h
+  UNION ALL SELECT i.conv_id, 1, t.pos, d, chars FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.pos > h),
+seqs AS (
+  SELECT i.conv_id, coalesce(list(d ORDER BY part, pos) FILTER (WHERE d IS NOT NULL), []) AS ds,
+         coalesce(list(chars ORDER BY part, pos) FILTER (WHERE d IS NOT NULL), []) AS cs
+  FROM ids i LEFT JOIN rebuilt r ON i.conv_id = r.conv_id GROUP BY i.conv_id),
+prefixes AS (SELECT conv_id, ds, cs, unnest(range(0, len(ds) + 1)) AS depth FROM seqs),
+nodes AS (
+  SELECT ds[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(coalesce(cs[depth], 0)) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ds) = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY ds[1:depth], depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.path = k.path),
+ways AS (SELECT path, chars, n_convs, n_children, unnest(range(0, depth + 1)) AS up FROM known),
+below AS (
+  SELECT path[1:up] AS path, (count(*) FILTER (WHERE n_children = 0))::BIGINT AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM ways GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM known n JOIN below b ON n.path = b.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_trie.trie(turn_trie.rebuilt(turn_trie.sequences(table(spark, sf, "conversations"))))
+
+
+@query("op13_bpe")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.digests(word_bpe.encode(docs, word_bpe.public_vocabulary(), packed=True, decoded_col="decoded"))
