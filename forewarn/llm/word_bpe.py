@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ RUN = re.compile(r"[^ \n\t\r]+")
 #: Letters that every Unicode version composes, lowers and classes alike.
 COMMON = re.compile(r"[!-~\xA1-\u017F]*")
 END = "</w>"
+#: Entries of a part of the distinct-word table: a word counts once for each batch that has it.
+PART_WORDS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -185,15 +188,47 @@ def coded(docs: DataFrame, vocabulary, row: T.StructType, text_col: str) -> Data
     return spark.table(name)
 
 
-def words_table(entries: DataFrame, vocabulary) -> DataFrame:
-    """Each distinct ``word`` of ``entries`` once, with its ids."""
+def shares(words: list[str], count: int) -> dict[int, list[str]]:
+    """Words by the part of the distinct-word table that holds them, each part's in order."""
+    out: dict[int, list[str]] = {}
+    for w in words:
+        out.setdefault(crc32(w.encode()) % count, []).append(w)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def dealt(table: DataFrame, parts: int) -> DataFrame:
+    """A row for each batch and part of the distinct-word table: the batch's words there, in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary.value.load().encode
         for b in batches:
-            ids = [np.array(encode(w), "<u4").tobytes() for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+            for home, words in zip(b.column("batch").to_pylist(), b.column("words").to_pylist()):
+                cut = shares(words, parts)
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(cut), pa.int32()), pa.array([home] * len(cut), pa.int64()),
+                                                      pa.array(list(cut.values()), pa.list_(pa.string()))], ["part", "home", "words"])
 
-    return entries.select("word").distinct().mapInArrow(run, "word string, ids binary")
+    return table.where("words IS NOT NULL").select("batch", "words").mapInArrow(run, "part int, home long, words array<string>")
+
+
+def encoded_parts(entries: DataFrame, vocabulary) -> DataFrame:
+    """The distinct words of each part, which no other part has, encoded once; each batch gets the ids of its words back, and how
+    many each has."""
+    def run(table: pa.Table) -> pa.Table:
+        encode = vocabulary.value.load().encode
+        lists = table.column("words").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        coded = lists.flatten().dictionary_encode()
+        known = [encode(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        known = [np.array(x, "<u4").tobytes() for x in known]
+        at, ends = coded.indices.to_numpy(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+        ids, lengths = [], []
+        for x, y in zip(ends, ends[1:]):
+            ids.append(packed_numbers(np.frombuffer(b"".join(map(known.__getitem__, at[x:y].tolist())), "<u4"))[0].tobytes())
+            lengths.append(packed_numbers(sizes[at[x:y]])[0].tobytes())
+        return pa.Table.from_arrays([table.column("home"), table.column("part"), pa.array(ids, pa.binary()), pa.array(lengths, pa.binary())],
+                                    ["home", "part", "ids", "sizes"])
+
+    return entries.groupBy("part").applyInArrow(run, "home long, part int, ids binary, sizes binary")
 
 
 def texts_of(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
@@ -211,9 +246,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     little-endian 32-bit numbers in one binary value. With ``decoded_col`` also the text that ``decode`` gives for them.
 
     Words are split where the documents are read; a document then is the numbers of its words within a batch of about
-    12 MB of text. The batches' distinct words are dealt by word, encoded once in the whole corpus, and their ids dealt
-    back to their batches, where positions are looked up. No position and no text is shuffled: the numbers lie in a table
-    bucketed by batch. A word that all batches hold is one row a batch, so no word is hot.
+    12 MB of text. The batches' distinct words are dealt to the parts of a table of all distinct words, where each is encoded once
+    in the whole corpus, and their ids go back to their batches, where positions are looked up. No position and no text is shuffled:
+    the numbers lie in a table bucketed by batch. A word that all batches hold is one entry a batch, so no word is hot, and
+    the table has as many parts as keep one at about ``PART_WORDS`` entries.
 
     A null or empty text has no ids; texts are whole whatever their length; repeated rows repeat their ids; columns named
     like ``ids_col`` or ``decoded_col`` are replaced; an empty table gives none. No special tokens are added, but those in
@@ -228,17 +264,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     table = coded(docs, shared, row, text_col)
-    entries = table.where("words IS NOT NULL").select(F.col("batch").alias("home"), F.posexplode("words").alias("number", "word"))
-    found = entries.join(words_table(entries, shared).hint("merge"), "word").select("home", "number", "ids")
+    total = table.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
+    found = encoded_parts(dealt(table, parts), shared)
     names = [f.name for f in out]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        known = right.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
-        docs = left.combine_chunks()
-        numbers = docs.column("numbers").to_pylist()
-        got = [b"".join(map(known.__getitem__, unpacked_numbers(x).tolist())) for x in numbers]
-        rows = docs.column("row").combine_chunks() if docs.num_rows else docs.column("row")
+        words = next((w for w in left.column("words").to_pylist() if w is not None), [])
+        cut, ids_of = shares(words, parts), {}
+        for part, ids, sizes in zip(*(right.column(c).to_pylist() for c in ("part", "ids", "sizes"))):
+            raw = unpacked_numbers(ids).astype("<u4").tobytes()
+            ends = np.cumsum(unpacked_numbers(sizes) * 4).tolist()
+            ids_of.update(zip(cut[part], (raw[x:y] for x, y in zip([0, *ends], ends))))
+        known = [ids_of[w] for w in words]
+        docs = left.filter(pc.is_valid(left.column("numbers"))).combine_chunks()
+        got = [b"".join(map(known.__getitem__, unpacked_numbers(x).tolist())) for x in docs.column("numbers").to_pylist()]
+        rows = docs.column("row").combine_chunks()
         rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
         ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in got)]), pa.int32())
         lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(got), "<i4")))
@@ -247,8 +288,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
             made.append(texts_of(lists, pa.array(shared.value.load().pieces, pa.string())))
         return pa.Table.from_arrays([*rows.flatten(), *made], names)
 
-    numbers = table.where("numbers IS NOT NULL").select("batch", "row", "numbers")
-    return numbers.groupBy("batch").cogroup(found.groupBy("home")).applyInArrow(run, T.StructType(out))
+    return table.groupBy("batch").cogroup(found.groupBy("home")).applyInArrow(run, T.StructType(out))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
