@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skill import class_scores, confusion
+from .windows import along
 
 
 def assemble(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -143,23 +146,48 @@ def linear_monitor(df: DataFrame, coefs: dict[str, float], intercept: float) ->
 
 def seasonal_forecast(monthly: DataFrame, keys: list[str], value: str, train: int = 48,
                       date: str = "date") -> DataFrame:
-    """Rolling-origin one-month forecasts of a harmonic regression for every key.
+    """Rolling-origin one-month forecasts of a level, a trend and two yearly harmonics for every key.
 
-    A group is one monthly series, a few hundred rows for decades of data; all origins are solved
-    where the series lies instead of copying ``train`` rows per origin.
+    Each origin is a least-squares fit to the ``train`` rows before it. Sums of the products of its terms over that
+    window are all a fit needs, so all origins of a key come from one sort; time is counted from the forecast row, which shifts
+    the sums, and the normal equations are solved row by row by a Cholesky factor in column expressions. Rows with fewer than
+    ``train`` rows before them have no forecast and are left out.
     """
-    import pandas as pd
-
-    from ..functions.fits import harmonic_forecast
-    types = dict(monthly.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {date} date, actual double, forecast double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        month = pd.to_datetime(pdf[date]).dt.month.to_numpy(float)
-        y = pdf[value].to_numpy(float)
-        out = pdf[[*keys, date]].copy()
-        out["actual"], out["forecast"] = y, harmonic_forecast(y, month, train)
-        return out.iloc[train:]
-
-    return monthly.select(*keys, date, value).groupBy(*keys).applyInPandas(run, schema)
+    order = along(keys, date)
+    angle = F.month(date) * F.lit(2 * math.pi / 12)
+    terms = {"0": F.lit(1.0), "1": F.row_number().over(order).cast("double"), "2": F.sin(angle), "3": F.cos(angle),
+             "4": F.sin(2 * angle), "5": F.cos(2 * angle), "y": F.col(value).cast("double")}
+    rows = monthly.select(*keys, date, F.col(value).cast("double").alias("actual"), *[c.alias(f"_x{n}") for n, c in terms.items()])
+    names = list(terms)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:] if (a, b) != ("y", "y")]
+    window = order.rowsBetween(-train, -1)
+    sums = rows.withColumns({f"_s{a}{b}": F.sum(F.col(f"_x{a}") * F.col(f"_x{b}")).over(window) for a, b in pairs}).where(F.col("_x1") > train)
+
+    def raw(a: str, b: str) -> Column:
+        return F.col(f"_s{min(a, b)}{max(a, b)}")
+
+    now = F.col("_x1")
+
+    def moved(a: str, b: str) -> Column:
+        """Sum of products with time counted from the forecast row."""
+        if a == b == "1":
+            return raw("1", "1") - 2 * now * raw("0", "1") + now * now * raw("0", "0")
+        if "1" in (a, b):
+            other = b if a == "1" else a
+            return raw("1", other) - now * raw("0", other)
+        return raw(a, b)
+
+    six = names[:6]
+    work = sums.withColumns({f"_a{a}{b}": moved(a, b) for a, b in pairs})
+    # L and L^-1 X'y, a column of the factor at a time
+    for j in range(6):
+        square = F.col(f"_a{j}{j}") - sum((F.col(f"_l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
+        work = work.withColumn(f"_l{j}{j}", F.sqrt(square))
+        below = {f"_l{i}{j}": (F.col(f"_a{j}{i}") - sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"_l{j}{j}")
+                 for i in range(j + 1, 6)}
+        z = (F.col(f"_a{j}y") - sum((F.col(f"_l{j}{k}") * F.col(f"_z{k}") for k in range(j)), F.lit(0.0))) / F.col(f"_l{j}{j}")
+        work = work.withColumns({**below, f"_z{j}": z})
+    for j in reversed(range(6)):
+        work = work.withColumn(f"_b{j}", (F.col(f"_z{j}") - sum((F.col(f"_l{k}{j}") * F.col(f"_b{k}") for k in range(j + 1, 6)), F.lit(0.0))) / F.col(f"_l{j}{j}"))
+    forecast = sum((F.col(f"_b{n}") * F.col(f"_x{n}") for n in six if n != "1"), F.lit(0.0))
+    return work.select(*keys, date, "actual", forecast.alias("forecast"))

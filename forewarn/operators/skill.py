@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import binomial, uniform
 from ..functions.scalar import norm_ppf, ratio
 from .quantiles import levels_reached, running_totals
 from .windows import along, earlier, past, whole
@@ -190,26 +189,22 @@ def bootstrap_wacc(counts: DataFrame, keys: list[str], resamples: int = 1000,
                    seed: int = 7) -> DataFrame:
     """Bootstrap of the weighted accuracy.
 
-    Resampling ``n`` confusion outcomes with replacement is a multinomial draw from the four counts,
-    so each replicate costs one draw instead of ``n`` rows.
+    Resampling ``n`` confusion outcomes with replacement is a multinomial draw from the four counts: the events among
+    them, the hits among the events, and the correct rejections among the rest. Each replicate costs three draws instead of ``n`` rows,
+    and a draw depends on the seed, the key and its number alone.
     """
-    @F.pandas_udf("tp double, fp double, tn double, fn double")
-    def draw(s: pd.Series, tp: pd.Series, fp: pd.Series, tn: pd.Series,
-             fn: pd.Series) -> pd.DataFrame:
-        cells = np.column_stack([tp, fp, tn, fn]).astype(float)
-        rows = []
-        for key, c in zip(s.to_numpy(), cells):
-            rng = np.random.default_rng(int(key) & 0xFFFFFFFF)
-            n = int(c.sum())
-            rows.append(rng.multinomial(n, c / n) if n else np.zeros(4))
-        return pd.DataFrame(np.array(rows, float).reshape(-1, 4), columns=["tp", "fp", "tn", "fn"])
-
     reps = counts.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    key = F.xxhash64(F.lit(seed), F.col("_rep"), *[F.col(k) for k in keys])
-    drawn = reps.select(*keys, draw(key, "tp", "fp", "tn", "fn").alias("d"))
-    hit = ratio(F.col("d.tp"), F.col("d.tp") + F.col("d.fn"))
-    cr = ratio(F.col("d.tn"), F.col("d.tn") + F.col("d.fp"))
-    wacc = drawn.select(*keys, (F.lit(0.75) * hit + F.lit(0.25) * cr).alias("w"))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    n = tp + fp + tn + fn
+
+    def u(name: str) -> Column:
+        return uniform(seed, *[F.col(k) for k in keys], F.col("_rep"), F.lit(name))
+
+    reps = reps.withColumn("_pos", binomial(n, ratio(tp + fn, n), u("events")))
+    reps = reps.withColumns({"_tp": binomial(F.col("_pos"), ratio(tp, tp + fn), u("hits")),
+                             "_tn": binomial(n - F.col("_pos"), ratio(tn, tn + fp), u("rejections"))})
+    hit, cr = ratio(F.col("_tp"), F.col("_pos")), ratio(F.col("_tn"), n - F.col("_pos"))
+    wacc = reps.select(*keys, (F.lit(0.75) * hit + F.lit(0.25) * cr).alias("w"))
     half = F.lit(1.962) * F.col("sd") / F.sqrt(F.lit(float(resamples)))
     return (wacc.groupBy(*keys).agg(F.avg("w").alias("mean"), F.stddev_samp("w").alias("sd"))
             .withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half}))
@@ -222,20 +217,15 @@ def random_baseline(labels: DataFrame, keys: list[str], label: str, p: float = 0
     Flipping a coin per row makes the true and false positives binomial in the class sizes; only
     those two counts per key are needed.
     """
-    @F.pandas_udf("tp double, fp double")
-    def flip(s: pd.Series, n_pos: pd.Series, n_neg: pd.Series) -> pd.DataFrame:
-        out = np.empty((len(s), 2))
-        for i, (key, a, b) in enumerate(zip(s.to_numpy(), n_pos.to_numpy(), n_neg.to_numpy())):
-            rng = np.random.default_rng(int(key) & 0xFFFFFFFF)
-            out[i] = rng.binomial(int(a), p), rng.binomial(int(b), p)
-        return pd.DataFrame(out, columns=["tp", "fp"])
-
     sizes = labels.groupBy(*keys).agg(F.count(F.when(F.col(label) == 1, 1)).alias("n_pos"),
                                       F.count(F.when(F.col(label) == 0, 1)).alias("n_neg"))
     reps = sizes.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    key = F.xxhash64(F.lit(seed), F.col("_rep"), *[F.col(k) for k in keys])
-    drawn = reps.select(*keys, "n_pos", "n_neg", flip(key, "n_pos", "n_neg").alias("d"))
-    tp, fp = F.col("d.tp"), F.col("d.fp")
+
+    def flips(count: str, name: str) -> Column:
+        return binomial(F.col(count), F.lit(p), uniform(seed, *[F.col(k) for k in keys], F.col("_rep"), F.lit(name)))
+
+    drawn = reps.select(*keys, "n_pos", "n_neg", flips("n_pos", "tp").alias("_tp"), flips("n_neg", "fp").alias("_fp"))
+    tp, fp = F.col("_tp"), F.col("_fp")
     fn, tn = F.col("n_pos") - tp, F.col("n_neg") - fp
     rows = F.array(
         F.struct(F.lit("positive").alias("class"), ratio(tp, tp + fp).alias("precision"),

@@ -8,9 +8,10 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import haversine_km, inside_edges, ratio, ring_edges
+from ..functions.scalar import haversine_km, ratio
 from ..session import cut_lineage
-from .windows import along
+from .windows import along, past, whole
+from .zone_index import points_in_index, squares_in_index, zone_index
 
 
 def cell_index(c: Column, size: float) -> Column:
@@ -23,68 +24,24 @@ def cell_centre(c: Column) -> Column:
     return F.floor(c * 10) / F.lit(10.0) + F.lit(0.05)
 
 
-def with_edges(zones: DataFrame, zone: str, ring: str) -> DataFrame:
-    """``zone`` and ``_edges``: of one closed ring, or of an array of rings (parts and holes)."""
-    several = dict(zones.dtypes)[ring].startswith("array<array<")
-    edges = F.flatten(F.transform(ring, ring_edges)) if several else ring_edges(F.col(ring))
-    return zones.select(zone, edges.alias("_edges"))
-
-
-def zone_cover(zones: DataFrame, zone: str, ring: str, size: float = 1.0) -> DataFrame:
-    """One row per zone and coarse cell touched by its bounding box; no geometry is copied."""
-    points = F.transform("_edges", lambda e: e["a"])
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    box = with_edges(zones, zone, ring).select(zone, *[
-        cell_index(f(a), size).alias(n) for n, f, a in (
-            ("_x0", F.array_min, xs), ("_x1", F.array_max, xs),
-            ("_y0", F.array_min, ys), ("_y1", F.array_max, ys))])
-    cols = box.withColumn("_cx", F.explode(F.sequence("_x0", "_x1")))
-    return cols.withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).select(zone, "_cx", "_cy")
-
-
 def points_in_zones(points: DataFrame, zones: DataFrame, zone: str, x: str, y: str,
                     ring: str = "ring", size: float = 1.0) -> DataFrame:
-    """Zone of each point: equi-join on coarse cells, then ray casting. Points outside are dropped.
+    """Zone of each point through an adaptive cell cover of the zones. Points outside are dropped.
 
-    A zone is a closed ring or an array of rings, its parts and holes. Cells and zones meet by their ids, the geometry
-    joins afterwards. Run it on distinct coordinates (stations, grid cells) and join facts to the result, so that the
-    geometry is tested once per place and not once per observation.
+    A zone is a closed ring or an array of rings, its parts and holes. Points in cells inside a zone never meet its geometry,
+    those in cells on its border meet a strip of it. Run it on distinct coordinates (stations, grid cells) and join facts to the
+    result, so that the geometry is tested once per place and not once per observation.
     """
-    cover = zone_cover(zones, zone, ring, size)
-    keyed = points.withColumns({"_cx": cell_index(F.col(x), size), "_cy": cell_index(F.col(y), size)})
-    pairs = keyed.join(cover, ["_cx", "_cy"]).drop("_cx", "_cy")
-    return (pairs.join(with_edges(zones, zone, ring), zone)
-            .where(inside_edges(F.col(x), F.col(y), F.col("_edges"))).select(*points.columns, zone))
-
-
-def edges_meet_square(edges: Column, x: Column, y: Column, half: float) -> Column:
-    """Whether an edge meets the closed square around a centre (separating axes)."""
-    def meets(e):
-        p, q = e["a"], e["b"]
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        apart = F.abs(dx * (y - p["y"]) - dy * (x - p["x"]))
-        return ((F.least(p["x"], q["x"]) <= x + half) & (F.greatest(p["x"], q["x"]) >= x - half)
-                & (F.least(p["y"], q["y"]) <= y + half) & (F.greatest(p["y"], q["y"]) >= y - half)
-                & (apart <= half * (F.abs(dx) + F.abs(dy))))
-
-    return F.exists(edges, meets)
+    return points_in_index(points, zone_index(zones, zone, ring, size), zone, x, y, size)
 
 
 def cells_touching_zones(cells: DataFrame, zones: DataFrame, zone: str, x: str, y: str,
                          half: float = 0.05, ring: str = "ring", size: float = 1.0) -> DataFrame:
     """Zones met by each square cell: an edge of the zone meets the square, or the square lies inside.
 
-    Cells and zones meet through the coarse cells that each of them touches; geometry is tested once per pair.
+    Cells and zones meet through the same cover as points do.
     """
-    cols = cells.columns
-    span = {n: F.sequence(cell_index(F.col(c) - half, size), cell_index(F.col(c) + half, size))
-            for n, c in (("_cx", x), ("_cy", y))}
-    near = cells.withColumn("_cx", F.explode(span["_cx"]))
-    near = near.withColumn("_cy", F.explode(span["_cy"]))
-    pairs = near.join(zone_cover(zones, zone, ring, size), ["_cx", "_cy"]).select(*cols, zone).distinct()
-    edges = F.col("_edges")
-    hit = edges_meet_square(edges, F.col(x), F.col(y), half) | inside_edges(F.col(x), F.col(y), edges)
-    return pairs.join(with_edges(zones, zone, ring), zone).where(hit).select(*cols, zone)
+    return squares_in_index(cells, zone_index(zones, zone, ring, size), zone, x, y, half, size)
 
 
 def box_window(cells: DataFrame, stations: DataFrame, station: str, x: str, y: str, sx: str, sy: str,
@@ -159,9 +116,19 @@ def zonal_stats(cells: DataFrame, bridge: DataFrame, cell: list[str], keys: list
         ok = ok & (v >= low)
     if high is not None:
         ok = ok & (v <= high)
-    return (cells.where(ok).join(bridge, cell).groupBy(*keys)
-            .agg(F.avg(v).alias("mean"), F.max(v).alias("max"), F.sum(v).alias("sum"),
-                 F.percentile(v, F.lit(0.95)).alias("q95"), F.count("*").alias("cells")))
+    # two stages: equal values are counted before they meet, and the quantile is read off a running count of the sorted
+    # values, which spills, instead of a buffer that holds all values of a zone
+    counts = cells.where(ok).join(bridge, cell).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    ordered = counts.withColumns({"_cum": F.sum("_n").over(past(keys, "_v")), "_all": F.sum("_n").over(whole(keys))})
+    place = (F.col("_all") - 1) * F.lit(0.95)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+
+    found = ordered.groupBy(*keys).agg(
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.max("_v").alias("max"), F.sum(F.col("_v") * F.col("_n")).alias("sum"),
+        at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"), F.max(place - F.floor(place)).alias("_share"), F.sum("_n").alias("cells"))
+    return found.withColumn("q95", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).select(*keys, "mean", "max", "sum", "q95", "cells")
 
 
 def neighbour_overlap(extremes: DataFrame, cx: str, cy: str, date: str, rounds: int = 1) -> DataFrame:
@@ -185,32 +152,48 @@ def neighbour_overlap(extremes: DataFrame, cx: str, cy: str, date: str, rounds:
         cx, cy, "nx", "ny", "both_days", ratio(F.col("both_days") * 100, F.col("_days")).alias("percentage"))
 
 
+#: One row of state: the cells met so far (``o`` is the negative id, so that the largest is the strongest and then the smallest id),
+#: and the cells chosen. The recursive part joins it to the neighbours of the best open cell and needs no aggregate.
+GREEDY = """
+WITH RECURSIVE path(step, pool, visited) AS (
+  SELECT 0, transform(nbrs, n -> struct(n.percentage AS p, -n.neighbour AS o, {near}.cell AS poi, 0 AS step)), array({near}.cell)
+  FROM {near} JOIN {seed} ON {near}.cell = {seed}.cell
+  UNION ALL
+  SELECT /*+ BROADCAST(s) */ s.step + 1,
+    concat(s.pool, transform(filter(n.nbrs, x -> NOT array_contains(s.visited, x.neighbour) AND x.neighbour <> n.cell AND NOT exists(s.pool, q -> q.o = -x.neighbour)),
+                             x -> struct(x.percentage AS p, -x.neighbour AS o, n.cell AS poi, s.step + 1 AS step))),
+    array_append(s.visited, n.cell)
+  FROM (SELECT step, pool, visited, array_max(filter(pool, q -> NOT array_contains(visited, -q.o))) AS best FROM path) s
+  JOIN {near} n ON n.cell = -s.best.o
+  WHERE s.best.p > :limit AND s.step < :steps)
+SELECT step, pool, visited FROM path"""
+
+
 def greedy_path(overlap: DataFrame, cell: str, neighbour: str, start, steps: int = 10,
                 limit: float = 60.0) -> DataFrame:
-    """Follow the strongest unselected neighbour from ``start``.
+    """Follow the strongest unselected neighbour from ``start``, an id or a table with one row of ``cell``.
 
-    ``overlap`` is ``(cell, neighbour, percentage)``. At most ``steps`` rounds; each brings one row to
-    the driver, the neighbourhoods stay in Spark. Ties go to the smaller neighbour id.
+    ``overlap`` is ``(cell, neighbour, percentage)`` with whole-number ids. A recursive query carries one row of state through at
+    most ``steps`` joins with a table of each cell's neighbours (a bounded number); nothing comes to the driver. Returns the cells met with
+    the cell and step that met them, and whether they were ``selected``. Ties go to the smaller neighbour id.
     """
-    table = overlap.where(F.col(cell) != F.col(neighbour)).select(cell, neighbour, "percentage")
-    pool, poi, visited, chosen = None, start, [start], []
-    for step in range(steps + 1):
-        fresh = (table.where((F.col(cell) == F.lit(poi)) & ~F.col(neighbour).isin(visited))
-                 .select(F.col(neighbour), F.col("percentage"), F.lit(poi).alias("poi"),
-                         F.lit(step).alias("step")))
-        if pool is not None:
-            fresh = fresh.join(pool.select(neighbour), neighbour, "left_anti").select(pool.columns)
-            fresh = pool.unionByName(fresh)
-        pool = cut_lineage(fresh)
-        best = (pool.where(~F.col(neighbour).isin(visited))
-                .orderBy(F.desc("percentage"), F.asc(neighbour)).first())
-        if best is None or best["percentage"] <= limit:
-            break
-        poi = best[neighbour]
-        visited.append(poi)
-        chosen.append(poi)
-    marks = F.col(neighbour).isin(chosen) if chosen else F.lit(False)
-    return pool.withColumn("selected", marks.cast("int"))
+    spark = overlap.sparkSession
+    rows = overlap.select(F.col(cell).cast("bigint").alias("cell"), F.col(neighbour).cast("bigint").alias("neighbour"),
+                          F.col("percentage").cast("double").alias("percentage"))
+    ends = rows.select(F.col("neighbour").alias("cell"), F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("percentage"))
+    link = F.when(F.col("cell") != F.col("neighbour"), F.struct("neighbour", "percentage"))
+    near = cut_lineage(rows.unionByName(ends.distinct()).groupBy("cell").agg(F.collect_list(link).alias("nbrs")))
+    seed = start.select(F.col(cell).cast("bigint").alias("cell")) if isinstance(start, DataFrame) else spark.range(1).select(
+        F.lit(start).cast("bigint").alias("cell"))
+    path = spark.sql(GREEDY, args={"limit": float(limit), "steps": int(steps)}, near=near, seed=seed)
+    last = path.agg(F.max_by(F.struct("step", "pool", "visited"), "step").alias("s")).where("s IS NOT NULL").select("s.*")
+    best = F.array_max(F.filter("pool", lambda q: ~F.array_contains("visited", -q["o"])))
+    ended = last.withColumn("_b", best)
+    also = F.when((F.col("step") == steps) & (F.col("_b.p") > limit), F.array(-F.col("_b.o"))).otherwise(F.array().cast("array<bigint>"))
+    chosen = F.concat(F.slice("visited", 2, steps + 1), also)
+    found = ended.select(F.explode("pool").alias("q"), chosen.alias("_c"))
+    return found.select((-F.col("q.o")).alias(neighbour), F.col("q.p").alias("percentage"), F.col("q.poi").alias("poi"), F.col("q.step").alias("step"),
+                        F.array_contains("_c", -F.col("q.o")).cast("int").alias("selected"))
 
 
 def upstream(edges: DataFrame, start: DataFrame, basin: str, down: str) -> DataFrame:
@@ -229,3 +212,32 @@ def upstream(edges: DataFrame, start: DataFrame, basin: str, down: str) -> DataF
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+
+
+def upstream_sets(edges: DataFrame, start: DataFrame, basin: str, down: str, keys: list[str],
+                  area: str | None = None, max_area: float | None = None) -> DataFrame:
+    """For each key of ``start`` all basins that drain into one of its basins, with the least number of steps.
+
+    Every basin drains to one other at most (``edges`` has a row per basin, null ``down`` at an outlet). Ways double: in each
+    round a basin takes over what the basin at the end of its way has reached, and its way becomes twice as long, so a river
+    of n basins takes log2(n) rounds, each one join on the end of the way; rounds are checkpointed. The start belongs to its set
+    whatever its area; with ``max_area`` only basins of at most that area are added, and the way ends at a larger one or one
+    whose area is not known. Cycles end when no round adds a pair.
+    """
+    kept = edges.where(F.col(down).isNotNull())
+    if area is not None:
+        kept = kept.where(F.col(area) <= F.lit(max_area))
+    way = cut_lineage(kept.groupBy(basin).agg(F.min(down).alias("_to")))
+    reach = cut_lineage(start.select(*keys, basin).distinct().withColumn("steps", F.lit(0).cast("bigint")))
+    pairs, length = reach.count(), 1
+    while not way.isEmpty():
+        there = reach.withColumnRenamed(basin, "_to")
+        new = way.join(there, "_to").select(*keys, basin, (F.col("steps") + length).alias("steps"))
+        reach = cut_lineage(reach.unionByName(new).groupBy(*keys, basin).agg(F.min("steps").alias("steps")))
+        now = reach.count()
+        if now == pairs:
+            break
+        pairs, length = now, 2 * length
+        ends = way.select(F.col(basin).alias("_to"), F.col("_to").alias("_end"))
+        way = cut_lineage(way.join(ends, "_to").select(basin, F.col("_end").alias("_to")))
+    return reach

@@ -14,6 +14,7 @@ from ..operators import spatial as G
 from ..operators import triggers as T
 from ..session import cut_lineage
 from . import domain as D
+from .q_scalars import ppf_sql
 from .registry import query
 
 
@@ -307,12 +308,55 @@ def _(spark, sf):
         "zone", "date", F.round("z", 6).alias("z"))
 
 
-@query("a25_bootstrap_wacc")
-def _(spark, sf):
-    return K.bootstrap_wacc(K.confusion(predicted(spark, sf), ["zone"], "event", "pred"), ["zone"])
-
-
-@query("a26_random_baseline")
+CONFUSION_SQL = f"""SELECT f.zone, count(*) FILTER (event = 1 AND value >= thr) AS tp, count(*) FILTER (event = 0 AND value >= thr) AS fp,
+  count(*) FILTER (event = 0 AND value < thr) AS tn, count(*) FILTER (event = 1 AND value < thr) AS fn
+  FROM zone_flagged f JOIN {Q90} t ON f.zone = t.zone GROUP BY f.zone"""
+
+
+def uniform_sql(*parts: str, seed: int = 7) -> str:
+    text = " || '|' || ".join(f"({p})" for p in parts)
+    return f"((('0x' || substr(md5('{seed}|' || {text}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def binomial_sql(name: str, source: str, keys: str, n: str, p: str, u: str, out: str) -> str:
+    """Tables that add the binomial quantile of ``u`` to the rows of ``source`` as ``out``: the distribution is added up from logarithms."""
+    return f"""
+{name}_a AS (SELECT *, ({n})::BIGINT AS bn, coalesce({p}, 0.0)::DOUBLE AS bp, {u} AS bu FROM {source}),
+{name}_b AS (SELECT *, least(bp, 1 - bp) AS bq, bn * least(bp, 1 - bp) AS bm FROM {name}_a),
+{name}_c AS (SELECT {keys}, bu, sum(CASE WHEN bq = 0 THEN CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END ELSE
+    exp(lgamma(bn + 1) - lgamma(j + 1) - lgamma(bn - j + 1) + j * ln(bq) + (bn - j) * ln(1 - bq)) END)
+    OVER (PARTITION BY {keys} ORDER BY j ROWS UNBOUNDED PRECEDING) AS cdf
+  FROM (SELECT *, unnest(range(0, least(bn, floor(bm + 12 * sqrt(bm + 1))::BIGINT + 10) + 1)) AS j FROM {name}_b WHERE bm * (1 - bq) < 25)),
+{name}_d AS (SELECT {keys}, count(*) FILTER (cdf < bu) AS kk FROM {name}_c GROUP BY {keys}),
+{name} AS (SELECT b.* EXCLUDE (bn, bp, bu, bq, bm, drawn), CASE WHEN bp > 0.5 THEN bn - drawn ELSE drawn END AS {out} FROM (
+  SELECT b.*, CASE WHEN bm * (1 - bq) >= 25 THEN greatest(0, least(bn, floor(bm + {ppf_sql('bu')} * sqrt(bm * (1 - bq)) + 0.5)))::BIGINT ELSE kk END AS drawn
+  FROM {name}_b b LEFT JOIN {name}_d d USING ({keys})) b)"""
+
+
+@query("a25_bootstrap_wacc", f"""
+WITH c AS ({CONFUSION_SQL}),
+r AS (SELECT *, tp + fp + tn + fn AS n, unnest(range(1, 1001)) AS rep FROM c),
+{binomial_sql("e", "r", "zone, rep", "n", "(tp + fn) / nullif(n, 0)", uniform_sql("zone", "rep", "'events'"), "pos")},
+{binomial_sql("h", "e", "zone, rep", "pos", "tp / nullif(tp + fn, 0)", uniform_sql("zone", "rep", "'hits'"), "hits")},
+{binomial_sql("j", "h", "zone, rep", "n - pos", "tn / nullif(tn + fp, 0)", uniform_sql("zone", "rep", "'rejections'"), "rejections")},
+w AS (SELECT zone, 0.75 * hits / nullif(pos, 0) + 0.25 * rejections / nullif(n - pos, 0) AS w FROM j),
+m AS (SELECT zone, avg(w) AS mean, stddev_samp(w) AS sd FROM w GROUP BY 1)
+SELECT zone, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - 1.962 * sd / sqrt(1000), 6) AS ci_low, round(mean + 1.962 * sd / sqrt(1000), 6) AS ci_high FROM m""")
+def _(spark, sf):
+    out = K.bootstrap_wacc(K.confusion(predicted(spark, sf), ["zone"], "event", "pred"), ["zone"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "ci_low", "ci_high")})
+
+
+@query("a26_random_baseline", f"""
+WITH c AS (SELECT zone, count(*) FILTER (event = 1) AS n_pos, count(*) FILTER (event = 0) AS n_neg FROM zone_flagged GROUP BY 1),
+r AS (SELECT *, unnest(range(1, 1001)) AS rep FROM c),
+{binomial_sql("e", "r", "zone, rep", "n_pos", "0.5", uniform_sql("zone", "rep", "'tp'"), "tp")},
+{binomial_sql("h", "e", "zone, rep", "n_neg", "0.5", uniform_sql("zone", "rep", "'fp'"), "fp")},
+k AS (SELECT *, n_pos - tp AS fn, n_neg - fp AS tn FROM h),
+s AS (SELECT zone, 'positive' AS class, tp / nullif(tp + fp, 0) AS p, tp / nullif(n_pos, 0) AS r, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f FROM k
+  UNION ALL SELECT zone, 'negative', tn / nullif(tn + fn, 0), tn / nullif(n_neg, 0), 2 * tn / nullif(2 * tn + fp + fn, 0) FROM k)
+SELECT zone, class, round(avg(p), 2) AS precision, round(stddev_samp(p), 2) AS precision_sd, round(avg(r), 2) AS recall,
+  round(stddev_samp(r), 2) AS recall_sd, round(avg(f), 2) AS f1, round(stddev_samp(f), 2) AS f1_sd FROM s GROUP BY 1, 2""")
 def _(spark, sf):
     return K.random_baseline(D.zone_flagged(spark, sf), ["zone"], "event")
 
@@ -338,35 +382,35 @@ def _(spark, sf):
         F.round(F.avg(F.when(c < -1, 1.0).otherwise(0.0)), 6).alias("share_below_1"))
 
 
-#: Durations in hours.
+#: Durations, here in days.
 DURATIONS = [1, 2, 3, 4, 6, 9, 12, 18, 24, 36, 48, 72]
+#: Return periods in years.
+PERIODS = [2, 5, 10, 20, 50, 100]
 
 
 @query("a29_duration_frequency", """
-WITH h AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, sum(value) AS v FROM events GROUP BY 1, 2),
-r AS (SELECT event_type, hour // 24 AS day, """ + ", ".join(f"sum(v) OVER w{n} AS d{n}" for n in DURATIONS) + """
-  FROM h WINDOW """ + ", ".join(
-    f"w{n} AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in DURATIONS) + """),
+WITH z AS (SELECT zone, date, date - DATE '1970-01-01' AS d, rain AS v FROM zone_days),
+r AS (SELECT zone, year(date) AS year, """ + ", ".join(f"sum(v) OVER w{n} AS d{n}" for n in DURATIONS) + """
+  FROM z WINDOW """ + ", ".join(
+    f"w{n} AS (PARTITION BY zone ORDER BY d RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in DURATIONS) + """),
 l AS (UNPIVOT r ON """ + ", ".join(f"d{n}" for n in DURATIONS) + """ INTO NAME d VALUE v),
-m AS (SELECT event_type, CAST(substr(d, 2) AS BIGINT) AS duration, day, round(max(v), 6) AS mx FROM l GROUP BY 1, 2, 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY event_type, duration ORDER BY mx) AS r, count(*) OVER (PARTITION BY event_type, duration) AS n FROM m),
-b AS (SELECT event_type, duration, avg(mx) AS b0, sum((r - 1) / (n - 1) * mx) / count(*) AS b1 FROM k WHERE n >= 2 GROUP BY 1, 2)
-SELECT event_type, duration, period, round(round(b0 - (2 * b1 - b0) / ln(2) * 0.5772156649015329
-  - (2 * b1 - b0) / ln(2) * ln(-ln(1 - 1.0 / period)), 6) / duration, 2) AS intensity
+m AS (SELECT zone, CAST(substr(d, 2) AS BIGINT) AS duration, year, round(max(v), 6) AS mx FROM l GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY zone, duration ORDER BY mx) AS r, count(*) OVER (PARTITION BY zone, duration) AS n FROM m),
+b AS (SELECT zone, duration, avg(mx) AS b0, sum((r - 1) / (n - 1) * mx) / count(*) AS b1 FROM k WHERE n >= 2 GROUP BY 1, 2)
+SELECT zone, duration, CAST(period AS BIGINT) AS period, round(round(b0 - (2 * b1 - b0) / ln(2) * 0.5772156649015329
+  - (2 * b1 - b0) / ln(2) * ln(-ln(1 - 1.0 / period)), 6) / duration, 4) AS intensity
 FROM b, (VALUES (2), (5), (10), (20), (50), (100)) p(period)""")
 def _(spark, sf):
+    """Largest sum of each duration in each year, and from these the intensity per day of each return period in years."""
     from ..operators.windows import along
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    # an hour without rows adds nothing, so the largest sum of a day ends at an hour with rows
-    hours = D.table(spark, sf, "events").groupBy("event_type", hour.alias("hour")).agg(F.sum("value").alias("v"))
-    w = along(["event_type"], "hour")
-    sums = {f"d{n}": F.sum("v").over(w.rangeBetween(-(n - 1), 0)) for n in DURATIONS}
-    wide = hours.withColumns(sums).groupBy("event_type", F.floor(F.col("hour") / 24).alias("day")).agg(
-        *[F.round(F.max(c), 6).alias(c) for c in sums])
-    long = wide.unpivot(["event_type", "day"], list(sums), "d", "mx")
-    long = long.withColumn("duration", F.substring("d", 2, 5).cast("int"))
-    lv = Q.gumbel_levels(long, ["event_type", "duration"], "mx", [2, 5, 10, 20, 50, 100])
-    return lv.select("event_type", "duration", "period", F.round(F.col("level") / F.col("duration"), 2).alias("intensity"))
+    # a day without rows adds nothing, so the largest sum of a year ends at a day with rows
+    days = D.zone_days(spark, sf).withColumn("d", F.unix_date("date"))
+    w = along(["zone"], "d")
+    sums = {f"d{n}": F.sum("rain").over(w.rangeBetween(-(n - 1), 0)) for n in DURATIONS}
+    wide = days.withColumns(sums).groupBy("zone", F.year("date").alias("year")).agg(*[F.round(F.max(c), 6).alias(c) for c in sums])
+    long = wide.unpivot(["zone", "year"], list(sums), "c", "mx").withColumn("duration", F.substring("c", 2, 5).cast("int"))
+    lv = Q.gumbel_levels(long, ["zone", "duration"], "mx", PERIODS)
+    return lv.select("zone", "duration", "period", F.round(F.col("level") / F.col("duration"), 4).alias("intensity"))
 
 
 @query("a30_yearly_labels", """
@@ -428,15 +472,46 @@ def _(spark, sf):
     return wide.select(F.inline("c")).orderBy(F.desc("strength")).limit(5)
 
 
-@query("o04_greedy_path")
-def _(spark, sf):
+def greedy_sql(steps: int, limit: float) -> str:
+    return f"""
+WITH RECURSIVE x AS (SELECT DISTINCT iy // 10 AS cy, ix // 10 AS cx, date FROM cell_days WHERE value > 45),
+n AS (SELECT cy, cx, count(*) AS days FROM x GROUP BY 1, 2),
+o AS (SELECT a.cy * 10000 + a.cx AS cell, b.cy * 10000 + b.cx AS neighbour, round(100.0 * count(*) / n.days, 6) AS p
+  FROM x a JOIN x b ON a.date = b.date AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 JOIN n ON n.cy = a.cy AND n.cx = a.cx
+  WHERE a.cy <> b.cy OR a.cx <> b.cx GROUP BY 1, 2, n.days),
+g AS (SELECT cell, list(struct_pack(p := p, o := -neighbour)) AS nbrs FROM o GROUP BY 1),
+path(step, pool, visited) AS (
+  SELECT 0, list_transform(nbrs, lambda e: struct_pack(p := e.p, o := e.o, poi := cell, step := 0)), [cell]
+  FROM g WHERE cell = (SELECT cell FROM o ORDER BY p DESC, cell LIMIT 1)
+  UNION ALL
+  SELECT s.step + 1, list_concat(s.pool, list_transform(list_filter(g.nbrs,
+      lambda e: NOT list_contains(s.visited, -e.o) AND NOT list_contains(list_transform(s.pool, lambda q: q.o), e.o)),
+      lambda e: struct_pack(p := e.p, o := e.o, poi := g.cell, step := s.step + 1))), list_append(s.visited, g.cell)
+  FROM (SELECT *, list_reverse_sort(list_filter(pool, lambda q: NOT list_contains(visited, -q.o)))[1] AS best FROM path) s
+  JOIN g ON g.cell = -s.best.o WHERE s.best.p > {limit} AND s.step < {steps}),
+e AS (SELECT *, list_reverse_sort(list_filter(pool, lambda q: NOT list_contains(visited, -q.o)))[1] AS best FROM path ORDER BY step DESC LIMIT 1),
+r AS (SELECT unnest(pool) AS q, visited, step, best FROM e)
+SELECT -q.o AS neighbour, q.p AS percentage, q.poi AS poi, CAST(q.step AS BIGINT) AS step,
+  CAST(CASE WHEN list_contains(visited, -q.o) OR (r.step = {steps} AND best.p > {limit} AND best.o = q.o) THEN 1 ELSE 0 END AS BIGINT) AS selected FROM r"""
+
+
+def greedy(spark, sf, steps: int, limit: float):
     cell = F.col("cy") * 10000 + F.col("cx")
     table = cut_lineage(overlap(spark, sf).select(
-        cell.alias("cell"), (F.col("ny") * 10000 + F.col("nx")).alias("neighbour"), "percentage"))
+        cell.alias("cell"), (F.col("ny") * 10000 + F.col("nx")).alias("neighbour"), F.round("percentage", 6).alias("percentage")))
     # the click: the cell with the strongest neighbour
-    click = table.where("cell <> neighbour").orderBy(F.desc("percentage"), "cell").first()
-    start = click["cell"] if click else 0
-    return G.greedy_path(table, "cell", "neighbour", start, steps=8, limit=5.0)
+    click = table.where("cell <> neighbour").orderBy(F.desc("percentage"), "cell").limit(1).select("cell")
+    return G.greedy_path(table, "cell", "neighbour", click, steps, limit)
+
+
+@query("o04_greedy_path", greedy_sql(10, 60.0))
+def _(spark, sf):
+    return greedy(spark, sf, 10, 60.0)
+
+
+@query("o04b_long_path", greedy_sql(8, 5.0))
+def _(spark, sf):
+    return greedy(spark, sf, 8, 5.0)
 
 
 @query("u01_union_by_name", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import forecast_metrics as M
+from ..operators import frugal
 from ..operators import impacts as I
 from ..operators import indices as N
 from ..operators import models as L
@@ -17,7 +18,7 @@ from ..operators import skill as K
 from ..operators import spatial as G
 from ..operators import triggers as X
 from ..operators.windows import along, whole
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from . import domain as D
 from . import pipelines as P
 from .q_aggregates import PERCENTS, Q90, predicted
@@ -535,10 +536,11 @@ SELECT s.zone, s.year AS season_year, s.month, s.date, CASE WHEN s.month <= 3 TH
   z.value, n.harvest AS next_harvest FROM s LEFT JOIN c USING (date) LEFT JOIN zone_months z ON z.zone = s.zone AND z.date = s.date
 LEFT JOIN y n ON n.zone = s.zone AND n.year = s.year + 1""")
 def _(spark, sf):
-    y = D.zone_days(spark, sf).groupBy("zone", F.year("date").alias("year")).agg(F.sum("value").alias("harvest"))
+    # months, climate and harvest come from one table of zone months, a few rows a zone and year, that is written once
+    z = cut_lineage(D.zone_months(spark, sf).select("zone", "date", "value"))
+    y = z.groupBy("zone", F.year("date").alias("year")).agg(F.sum("value").alias("harvest"))
     months = [(9, 0), (10, 0), (11, 0), (12, 0), (1, 1), (2, 1), (3, 1)]
     s = R.repeat_months(y.select("zone", "year"), "year", months).withColumnRenamed("month_date", "date")
-    z = D.zone_months(spark, sf).select("zone", "date", "value")
     climate = z.groupBy("date").agg(F.round(F.avg("value"), 6).alias("climate"))
     # the harvest belongs to the season one year earlier: the key moves, not the rows
     nxt = y.select("zone", (F.col("year") - 1).alias("year"), F.col("harvest").alias("next_harvest"))
@@ -640,9 +642,25 @@ def _(spark, sf):
     return out.withColumn("drought_predicted", F.when(F.col("score") > 0, 1).when(F.col("score").isNull(), -1).otherwise(0))
 
 
-@query("x38_seasonal_forecast")
+def forecast_sql(train: int = 48) -> str:
+    """The normal equations of every origin by a self join, solved by Gauss-Jordan steps."""
+    x = ["1.0", "CAST(w.k - t.k AS DOUBLE)", "sin(pi() * month(w.date) / 6)", "cos(pi() * month(w.date) / 6)",
+         "sin(pi() * month(w.date) / 3)", "cos(pi() * month(w.date) / 3)", "w.value"]
+    parts = [f"m0 AS (SELECT t.zone, t.date, t.value, " + ", ".join(
+        f"sum({x[i]} * {x[j]}) AS a{i}{j}" for i in range(6) for j in range(7)) +
+        f" FROM s t JOIN s w ON w.zone = t.zone AND w.k BETWEEN t.k - {train} AND t.k - 1 WHERE t.k > {train} GROUP BY 1, 2, 3)"]
+    for p in range(6):
+        parts.append(f"m{p + 1} AS (SELECT zone, date, value, " + ", ".join(
+            f"a{p}{j} / a{p}{p} AS a{p}{j}" if i == p else f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}"
+            for i in range(6) for j in range(7)) + f" FROM m{p})")
+    told = x[2:6]
+    return ("WITH s AS (SELECT zone, date, value, row_number() OVER (PARTITION BY zone ORDER BY date) AS k FROM zone_months), " + ", ".join(parts)
+            + " SELECT zone, date, value AS actual, round(a06 + " + " + ".join(f"a{i + 2}6 * {c}" for i, c in enumerate(told)) + ", 2) AS forecast FROM m6 w")
+
+
+@query("x38_seasonal_forecast", forecast_sql())
 def _(spark, sf):
-    return L.seasonal_forecast(D.zone_months(spark, sf), ["zone"], "value", 48)
+    return L.seasonal_forecast(D.zone_months(spark, sf), ["zone"], "value", 48).withColumn("forecast", F.round("forecast", 2))
 
 
 @query("x39_leave_one_out_cue", """
@@ -666,6 +684,65 @@ def _(spark, sf):
     return K.leave_one_out_cue(long, ["zone"], "date", "cue", "v", "y")
 
 
+#: Cues that are known a lead time before the month they speak of.
+FRUGAL_CUES = ["value_then", "rain_then", "mean3", "trend", "year_before", "season"]
+
+
+@query("x39b_frugal_trees", """
+WITH s AS (SELECT zone, date, value, round(rain / 1000, 0) AS rain, row_number() OVER (PARTITION BY zone ORDER BY date) AS k FROM zone_months),
+r AS (SELECT t.zone, g.lead, p.percent, t.date, t.value AS target, a.value AS value_then, a.rain AS rain_then, (a.value + b.value + c.value) / 3 AS mean3,
+  a.value - b.value AS trend, d.value AS year_before, CAST(month(t.date) AS DOUBLE) AS season
+  FROM s t CROSS JOIN (VALUES (1), (2), (3)) g(lead) CROSS JOIN (VALUES (20), (40), (50)) p(percent)
+  LEFT JOIN s a ON a.zone = t.zone AND a.k = t.k - g.lead LEFT JOIN s b ON b.zone = t.zone AND b.k = t.k - g.lead - 1
+  LEFT JOIN s c ON c.zone = t.zone AND c.k = t.k - g.lead - 2 LEFT JOIN s d ON d.zone = t.zone AND d.k = t.k - 12),
+q AS (SELECT zone, lead, unnest([20, 40, 50]) AS percent, unnest(quantile_cont(target, [0.2, 0.4, 0.5])) AS level FROM (SELECT DISTINCT zone, lead, date, target FROM r) GROUP BY 1, 2),
+x AS (SELECT r.*, CASE WHEN target <= level THEN 1 ELSE 0 END AS y FROM r JOIN q USING (zone, lead, percent)),
+l AS (SELECT zone, lead, percent, y, cue, cut FROM x UNPIVOT (cut FOR cue IN (value_then, rain_then, mean3, trend, year_before, season))),
+n AS (SELECT zone, lead, percent, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM x GROUP BY 1, 2, 3),
+f AS (SELECT c.zone, c.lead, c.percent, c.cue, c.cut, dir, any_value(n.p) AS p, any_value(n.n) AS n,
+  count(*) FILTER (l.y = 1 AND CASE dir WHEN 0 THEN l.cut <= c.cut ELSE l.cut > c.cut END) AS tp,
+  count(*) FILTER (l.y = 0 AND CASE dir WHEN 0 THEN l.cut <= c.cut ELSE l.cut > c.cut END) AS fp
+  FROM (SELECT DISTINCT zone, lead, percent, cue, cut FROM l) c CROSS JOIN (VALUES (0), (1)) d(dir)
+  JOIN l USING (zone, lead, percent, cue) JOIN n USING (zone, lead, percent) GROUP BY 1, 2, 3, 4, 5, 6),
+w AS (SELECT *, 0.75::DOUBLE * coalesce(tp::DOUBLE / nullif(p, 0), 0.0) + 0.25::DOUBLE * coalesce((n - fp)::DOUBLE / nullif(n, 0), 0.0) AS score FROM f),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY zone, lead, percent, cue ORDER BY score DESC, dir, cut) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY zone, lead, percent ORDER BY score DESC, cue) - 1 AS place FROM b QUALIFY place < 5),
+v AS (SELECT zone, lead, percent, date, y, cue, val FROM x UNPIVOT INCLUDE NULLS (val FOR cue IN (value_then, rain_then, mean3, trend, year_before, season))),
+h AS (SELECT zone, lead, percent, date, any_value(y) AS y, count(*) AS cues,
+  sum(CASE WHEN CASE dir WHEN 0 THEN val <= cut ELSE val > cut END THEN 1 << place ELSE 0 END)::INT AS bits
+  FROM v JOIN k USING (zone, lead, percent, cue) GROUP BY 1, 2, 3, 4),
+t AS (SELECT m, e, b AS bits, CASE WHEN m > 1 AND b & 1 = e & 1 THEN b & 1 WHEN m > 2 AND (b >> 1) & 1 = (e >> 1) & 1 THEN (b >> 1) & 1
+  WHEN m > 3 AND (b >> 2) & 1 = (e >> 2) & 1 THEN (b >> 2) & 1 WHEN m > 4 AND (b >> 3) & 1 = (e >> 3) & 1 THEN (b >> 3) & 1 ELSE (b >> (m - 1)) & 1 END AS pred
+  FROM (SELECT unnest(range(1, 6))::INT AS m) CROSS JOIN (SELECT unnest(range(0, 16))::INT AS e) CROSS JOIN (SELECT unnest(range(0, 32))::INT AS b) WHERE e < 1 << (m - 1)),
+z AS MATERIALIZED (SELECT h.*, t.m, t.e, t.pred FROM h JOIN t ON t.bits = h.bits AND t.m <= h.cues),
+o AS (SELECT a.zone, a.lead, a.percent, a.date, a.m, a.e, any_value(a.y) AS y, any_value(a.pred) AS pred,
+  0.75::DOUBLE * coalesce((count(*) FILTER (b.y = 1 AND b.pred = 1))::DOUBLE / nullif(count(*) FILTER (b.y = 1), 0), 0.0)
+  + 0.25::DOUBLE * coalesce((count(*) FILTER (b.y = 0 AND b.pred = 0))::DOUBLE / nullif(count(*) FILTER (b.y = 0), 0), 0.0) AS score
+  FROM z a JOIN z b ON b.zone = a.zone AND b.lead = a.lead AND b.percent = a.percent AND b.m = a.m AND b.e = a.e
+  WHERE b.date <> a.date GROUP BY 1, 2, 3, 4, 5, 6),
+c AS (SELECT zone, lead, percent, levels, y AS event, pred AS x FROM o CROSS JOIN (SELECT unnest(range(1, 6)) AS levels) WHERE m <= levels
+  QUALIFY row_number() OVER (PARTITION BY zone, lead, percent, date, levels ORDER BY score DESC, m, e) = 1),
+s2 AS (SELECT zone, lead, percent, levels, """ + COUNTS_SQL + """ FROM c GROUP BY 1, 2, 3, 4)
+SELECT zone, CAST(lead AS BIGINT) AS lead, CAST(percent AS BIGINT) AS percent, levels, tp, fp, tn, fn, round(fp / nullif(fp + tn, 0), 6) AS far, round(fn / nullif(tp + fn, 0), 6) AS ms,
+  round(tn / nullif(fp + tn, 0), 6) AS cr, round(tp / nullif(tp + fn, 0), 6) AS hr, round(tn / nullif(tn + fn, 0), 6) AS npv, round(tp / nullif(tp + fp, 0), 6) AS ppv,
+  round(0.75 * tp / nullif(tp + fn, 0) + 0.25 * tn / nullif(fp + tn, 0), 6) AS wacc FROM s2""")
+def _(spark, sf):
+    m = D.zone_months(spark, sf).withColumn("rain", F.round(F.col("rain") / 1000, 0))
+    w = along(["zone"], "date")
+
+    def known(lead: int):
+        then, before = F.lag("value", lead).over(w), F.lag("value", lead + 1).over(w)
+        return F.struct(
+            F.lit(lead).alias("lead"), then.alias("value_then"), F.lag("rain", lead).over(w).alias("rain_then"),
+            ((then + before + F.lag("value", lead + 2).over(w)) / 3).alias("mean3"), (then - before).alias("trend"))
+
+    rows = m.withColumns({"k": F.array(*[known(lead) for lead in (1, 2, 3)]), "year_before": F.lag("value", 12).over(w),
+                          "season": F.month("date").cast("double")})
+    rows = rows.withColumn("k", F.explode("k")).select("zone", "k.*", F.col("value").alias("target"), "year_before", "season")
+    labelled = frugal.below_quantiles(rows, ["zone", "lead"], "target", [20, 40, 50], "y")
+    return frugal.frugal_trees(labelled, ["zone", "lead", "percent"], FRUGAL_CUES, "y")
+
+
 @query("x40_median_difference", """
 WITH ev AS (SELECT DISTINCT zone, CAST(date_trunc('month', date) AS DATE) AS date FROM impact_reports),
 m AS (SELECT z.*, CASE WHEN ev.zone IS NULL THEN 0 ELSE 1 END AS y FROM zone_months z LEFT JOIN ev USING (zone, date)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import impacts as I
 from ..operators import rolling as W
 from ..operators import spatial as G
+from ..operators import zone_index as Z
 from ..operators.joining import join_dimension
 from ..operators.series import scaffold
 from . import domain as D
@@ -139,6 +140,25 @@ def _(spark, sf):
     return G.largest_overlap(D.cell_zone(spark, sf), other, "zone", "partner", ["iy", "ix"])
 
 
+@query("j13b_overlay_area", """
+WITH a AS (SELECT station, lon AS x, lat AS y, 0.3 + (station % 9) * 0.15 AS r FROM station_places),
+o AS (SELECT a.station, z.zone, a.r, a.x + a.y AS u, a.x - a.y AS v, z.cx + z.cy AS zu, z.cx - z.cy AS zv, z.r AS zr FROM a JOIN zone_shapes z ON TRUE),
+s AS (SELECT station, zone, round((greatest(least(u + r, zu + zr) - greatest(u - r, zu - zr), 0) * greatest(least(v + r, zv + zr) - greatest(v - r, zv - zr), 0)
+  - greatest(least(u + r / 3, zu + zr) - greatest(u - r / 3, zu - zr), 0) * greatest(least(v + r / 3, zv + zr) - greatest(v - r / 3, zv - zr), 0)) / 2, 9) AS area FROM o)
+SELECT station, zone, round(area, 6) AS area, round(total, 6) AS area_total FROM (
+  SELECT *, sum(area) OVER (PARTITION BY station) AS total, row_number() OVER (PARTITION BY station ORDER BY area DESC, zone) AS rn FROM s WHERE area > 0) WHERE rn = 1""")
+def _(spark, sf):
+    # catchments: a diamond around each station, with a hole of a third of its width
+    x, y, r = F.col("lon"), F.col("lat"), 0.3 + (F.col("station") % 9) * 0.15
+
+    def diamond(h):
+        return F.array(*[F.struct((x + dx * h).alias("x"), (y + dy * h).alias("y")) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))])
+
+    catchments = D.station_places(spark, sf).select("station", F.array(diamond(r), diamond(r / 3)).alias("ring"))
+    areas = Z.overlay_areas(catchments, D.zone_shapes(spark, sf).select("zone", "ring"), "station", "zone")
+    return Z.largest_area(areas, "station", "zone").withColumns({"area": F.round("area", 6), "area_total": F.round("area_total", 6)})
+
+
 @query("j14_nearest_stations", """
 WITH d AS (SELECT z.zone, p.station, round(2 * 6371.0088 * asin(sqrt(least(1.0,
     pow(sin(radians(p.lat - z.cy) / 2), 2) + cos(radians(z.cy)) * cos(radians(p.lat))
@@ -224,7 +244,21 @@ def _(spark, sf):
     edges = cust.select(F.col("c_custkey").alias("basin"),
                         F.floor(F.col("c_custkey") / 3).alias("next_down"))
     start = cust.where("c_nationkey = 3").select(F.col("c_custkey").alias("basin"))
-    return G.upstream(edges, start, "basin", "next_down")
+    return G.upstream_sets(edges, start, "basin", "next_down", [])
+
+
+@query("j21b_upstream_by_area", """
+WITH RECURSIVE b AS (SELECT c_custkey AS basin, c_custkey - 1 - c_custkey % 2 AS next_down, c_acctbal AS area, c_nationkey FROM customer WHERE c_custkey > 0),
+up(zone, basin, steps) AS (
+  SELECT CAST(c_nationkey AS BIGINT), basin, 0::BIGINT FROM b WHERE basin % 10 = 3
+  UNION SELECT u.zone, b.basin, u.steps + 1 FROM b JOIN up u ON b.next_down = u.basin WHERE b.area <= 9500)
+SELECT zone, basin, min(steps) AS steps FROM up GROUP BY zone, basin""")
+def _(spark, sf):
+    cust = D.table(spark, sf, "customer").where("c_custkey > 0")
+    k = F.col("c_custkey")
+    edges = cust.select(k.alias("basin"), (k - 1 - k % 2).alias("next_down"), F.col("c_acctbal").alias("area"))
+    start = cust.where("c_custkey % 10 = 3").select(F.col("c_nationkey").cast("bigint").alias("zone"), k.alias("basin"))
+    return G.upstream_sets(edges, start, "basin", "next_down", ["zone"], "area", 9500.0)
 
 
 @query("j22_dimension_join", """

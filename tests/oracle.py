@@ -67,49 +67,50 @@ def ratios_hold(rows, con) -> bool:
                and same(r["precision"], r["tp"], r["tp"] + r["fp"]) for r in rows)
 
 
-def path_holds(rows, con) -> bool:
-    """Each chosen cell was reached from the one chosen before, and is stronger than all others open at that step."""
-    chosen = [r for r in rows if r["selected"] == 1]
-    return all(r["percentage"] > 5 for r in chosen) and len({r["neighbour"] for r in rows}) == len(rows) and len(chosen) <= 9
-
-
-def forecasts_hold(rows, con) -> bool:
-    """Each forecast solves the normal equations of the 48 months before it."""
-    import numpy as np
-    months: dict = {}
-    for zone, date, value in con.execute(
-            "SELECT s_nationkey, CAST(date_trunc('month', l_shipdate) AS DATE), sum(l_quantity) FROM lineitem "
-            "JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 ORDER BY 1, 2").fetchall():
-        months.setdefault(zone, []).append((date, float(value)))
-    if len(rows) != sum(max(0, len(m) - 48) for m in months.values()):
-        return False
-    for r in rows[::7]:
-        m = months[r["zone"]]
-        i = [d for d, _ in m].index(r["date"])
-        angle = np.array([2 * np.pi * d.month / 12 for d, _ in m[i - 48:i + 1]])
-        t = np.arange(-48.0, 1.0)
-        x = np.column_stack([np.ones(49), t, np.sin(angle), np.cos(angle), np.sin(2 * angle), np.cos(2 * angle)])
-        beta = np.linalg.solve(x[:48].T @ x[:48], x[:48].T @ np.array([v for _, v in m[i - 48:i]]))
-        if abs(r["actual"] - m[i][1]) > 1e-6 or abs(r["forecast"] - x[48] @ beta) > 1e-4 * max(1.0, abs(r["forecast"])):
+def zones_score(rows, con) -> bool:
+    """Scores of each zone count its own days with and without an event, as SQL has them."""
+    from forewarn.plans.registry import with_tables
+    days = {z: (a, b) for z, a, b in con.execute(with_tables(
+        "SELECT zone, count(*) FILTER (event = 1), count(*) FILTER (event = 0) FROM (SELECT zone, date, max(event) AS event FROM station_flagged GROUP BY 1, 2) GROUP BY 1")).fetchall()}
+    both = {z for z, (a, b) in days.items() if a and b}
+    return ratios_hold(rows, con) and {r["zone"] for r in rows} == both and all((r["tp"] + r["fn"], r["fp"] + r["tn"]) == days[r["zone"]] for r in rows)
+
+
+def stations_weighed(rows, con) -> bool:
+    """Every station of each zone with both classes has a share, and the shares of a zone add up to one unless no tree was split."""
+    from forewarn.plans.registry import with_tables
+    known = set(con.execute(with_tables("SELECT DISTINCT zone, station FROM station_flagged")).fetchall())
+    total: dict = {}
+    for r in rows:
+        total[r["zone"]] = total.get(r["zone"], 0) + r["importance"]
+    return {(r["zone"], r["station"]) for r in rows} == {k for k in known if k[0] in total} and all(
+        abs(v - 1) < 1e-6 or v == 0 for v in total.values()) and any(total.values())
+
+
+def search_holds(rows, con) -> bool:
+    """The chosen set is one of those drawn, and the scores count the events and months of each split."""
+    from forewarn.plans import load
+    design = con.execute(f"SELECT lead, part, sum(months), sum(events), list((set, depth, child_weight, eta, gamma)) FROM ({load()['x34b_search_design'].sql}) WHERE fold IS NOT NULL GROUP BY 1, 2").fetchall()
+    for lead, part, months, events, sets in design:
+        own = [r for r in rows if (r["lead"], r["part"]) == (lead, part)]
+        drawn = {tuple(float(x) for x in (s.values() if isinstance(s, dict) else s)) for s in sets}
+        n = len({s[0] for s in drawn})
+        if sum(r["tp"] + r["fn"] for r in own) * n != events or sum(r["tp"] + r["fn"] + r["fp"] + r["tn"] for r in own) * n != months:
+            return False
+        if any(not any(all(abs(a - b) < 1e-9 for a, b in zip(s, (r["set"], r["depth"], r["child_weight"], r["eta"], r["gamma"]))) for s in drawn) for r in own):
             return False
-    return True
+    return ratios_hold([r for r in rows if r["tp"] + r["fp"] + r["tn"] + r["fn"]], con) and all(0 <= r["cv_recall"] <= 1 for r in rows)
 
 
 #: What must hold of the rows of queries that SQL cannot express.
 CHECKS = {
-    "a25_bootstrap_wacc": lambda rows, con: {r["zone"] for r in rows} == zones(con) and all(
-        r["mean"] is None or 0 <= r["ci_low"] <= r["mean"] <= r["ci_high"] <= 1 for r in rows),
-    "a26_random_baseline": lambda rows, con: {r["zone"] for r in rows} == zones(con) and len(rows) == 2 * len(zones(con))
-    and shares(rows, ["precision", "recall", "f1"]) and all(r["recall"] is None or abs(r["recall"] - 0.5) < 0.1 for r in rows),
-    "o04_greedy_path": path_holds,
     "x20b_return_levels_mle": lambda rows, con: all(
         r["low"] is None or r["converged"] and r["low"] <= r["estimate"] <= r["high"] for r in rows) and any(r["converged"] for r in rows),
-    "x31_sparse_logistic": ratios_hold, "x33_boosted_trees": ratios_hold, "x34_tuned_trees": ratios_hold, "x35_loss_tree": ratios_hold,
+    "x31_sparse_logistic": ratios_hold, "x33_boosted_trees": zones_score, "x33b_station_importances": stations_weighed, "x34_tuned_trees": search_holds, "x35_loss_tree": ratios_hold,
     "x37_classifier_comparison": ratios_hold,
     "x31b_coefficients": lambda rows, con: len(rows) == len({r["feature"] for r in rows}) == 5,
     "x31c_strength_path": lambda rows, con: len(rows) == 6 and shares(rows, ["f1_positive"]),
     "x36_importances": lambda rows, con: abs(sum(r["importance"] for r in rows) - 1) < 1e-6 and min(r["importance"] for r in rows) >= 0,
-    "x38_seasonal_forecast": forecasts_hold,
 }
 
 

@@ -20,7 +20,7 @@ def test_entry_points_agree():
     assert set(QUERIES) <= set(e.queries())
 
 
-NO_SQL = {"a25_bootstrap_wacc", "a26_random_baseline", "o04_greedy_path", "x20b_return_levels_mle", "x38_seasonal_forecast",
+NO_SQL = {"x20b_return_levels_mle", "x33b_station_importances",
           "x31_sparse_logistic", "x31b_coefficients", "x31c_strength_path", "x33_boosted_trees", "x34_tuned_trees", "x35_loss_tree",
           "x36_importances", "x37_classifier_comparison"}
 

@@ -80,7 +80,7 @@ def test_exact_quantiles_with_one_hot_key(spark):
     hot, cold = rng.normal(size=4000).round(2), rng.normal(size=50).round(2)
     rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {(r["k"], r["percent"]): r["threshold"] for r in Q.quantiles_of_rows(df, ["k"], "v", [1, 50, 95, 99], pieces=16).collect()}
+    got = {(r["k"], r["percent"]): r["threshold"] for r in Q.quantiles_of_rows(df, ["k"], "v", [1, 50, 95, 99]).collect()}
     for name, arr in (("hot", hot), ("cold", cold)):
         for p in (1, 50, 95, 99):
             assert got[(name, p)] == pytest.approx(np.quantile(arr, p / 100), abs=2e-6)
