@@ -85,7 +85,7 @@ def sorted_rows(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
     Rows are padded with 0 to a matrix of ``WIDTH`` columns and sorted; only rows that go on are padded and sorted again, within
     the rows that were equal so far, so a long row does not widen the others."""
     n = len(sizes)
-    order, common, group = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    order, common, group = np.argsort(sizes > 0, kind="stable"), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for base in range(0, int(sizes.max(initial=0)), WIDTH):
         pos = np.flatnonzero(sizes[order] > base)
         rows = order[pos]
@@ -95,7 +95,7 @@ def sorted_rows(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
             if not len(longer):
                 break
             wide[longer, k] = codes[starts[rows[longer]] + base + k]
-        by = np.lexsort((*wide.T[::-1], group[pos]))
+        by = np.lexsort((sizes[rows] > base + WIDTH, *wide.T[::-1], group[pos]))  # one that ends here before those that go on
         wide, order[pos] = wide[by], rows[by]
         changed = np.logical_or.accumulate(wide[1:] != wide[:-1], axis=1)
         same = (group[pos[1:]] == group[pos[:-1]])

@@ -282,7 +282,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
         rows = docs.column("row").combine_chunks()
         rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
         ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in got)]), pa.int32())
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(got), "<i4")))
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(got), "<i4")),
+                                         type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
         made = [pa.array(got, pa.binary()) if packed else lists]
         if decoded_col:
             made.append(texts_of(lists, pa.array(shared.value.load().pieces, pa.string())))
