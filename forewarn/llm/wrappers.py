@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,10 @@ ASIDE = frozenset("nav footer aside form button select input dialog head menu ob
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
                         "notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
                         "masthead comment comments respond replies discussion disqus share sharing social related recommended "
-                        "newsletter subscribe subscription signup login search widget skip toolbar pagination pager".split())
+                        "newsletter subscribe subscription signup login search widget skip toolbar pagination pager "
+                        "werbung anzeige anzeigen kommentar kommentare hinweis fusszeile seitenleiste publicite annonce annonces commentaire "
+                        "commentaires publicidad anuncio anuncios comentario comentarios pubblicita commenti propaganda".split())
+IN_ARTICLE = re.compile(r"/(?:article|main)(?:[./]|$)")
 #: Tags of a head's own elements (any other ends it), and the tenths of the text that are most of it.
 HEAD = frozenset("head title base link meta script style noscript template".split())
 MOST = 8
@@ -33,9 +38,18 @@ MOST = 8
 SLICES = 32
 #: Rules of hosts that may be broadcast; beyond it pages meet them in a join on host and a salt.
 BROADCAST_HOSTS, SALTS = 20_000, 64
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<a>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-                   r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-                   r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z|[^<]+|<", re.S | re.I)
+_HEAD = (r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<a>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+         r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>")
+_TAIL = r")(?:>|(?P<cut>\Z))|<[!?/][^>]*(?:>|\Z)|[^<]+|<"
+#: Tokens of a page, each read once: a quote holds up to its partner, one without a partner is a letter. Should quotes run on to the end
+#: of the page, the rest is read without regard to them.
+TOKEN = re.compile(_HEAD + r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|\"(?![^\"]*\")|'(?![^']*'))*+" + _TAIL, re.S | re.I)
+PLAIN = re.compile(_HEAD + r"[^>]*+" + _TAIL, re.S | re.I)
+#: Levels of a page that are kept as such; what lies deeper follows in page order as places of the last level, so nothing is lost and
+#: no walk goes deeper.
+DEPTH = 150
+#: Children that two places may have for an exact alignment; longer lists are matched by the keys that are unique in both.
+EXACT = 250_000
 NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that an opening tag closes, up to the nearest of the elements that bound them.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -67,58 +81,98 @@ def key_of(tag: str, attrs: str) -> str:
     return ".".join([tag, *words])
 
 
-def aside(key: str) -> bool:
+def aside(key: str, path: str = "") -> bool:
+    """Whether a place is none of the article's; a header is one only where no article or main place is above it."""
     tag, *words = key.split(".")
+    if tag == "header" and not IN_ARTICLE.search(path):
+        return True
     return tag in ASIDE or tag not in ("html", "body", "article", "main") and not ASIDE_WORDS.isdisjoint(words)
 
 
+def tokens(source: str):
+    """Matches of the page's tokens, in time proportional to its length."""
+    pattern, at, end = TOKEN, 0, len(source)
+    while at < end:
+        m = pattern.match(source, at)
+        if m["cut"] is not None and pattern is TOKEN:
+            pattern = PLAIN
+            continue
+        yield m
+        at = m.end()
+
+
 def tree(source: str, texts: bool = False):
     """The page as nested ``[key, children]``; texts are strings (left out unless ``texts``: only their length then).
 
     Tags close what they must, and text or an element that is none of a head's own closes the head; a tag that the end
-    of the page cuts off is dropped, and so is an end without a start.
+    of the page cuts off is dropped, and so is an end without a start. Beyond ``DEPTH`` levels elements are put beside each
+    other; one inside an aside there keeps the aside's key.
     """
-    root: list = ["", []]
+    root: list = ["", [], ""]
     stack = [root]
+    opened: Counter = Counter()
 
-    def body(tag: str) -> None:
-        if stack[-1][0].split(".")[0] == "head" and tag not in HEAD:
-            del stack[-1]
+    def close(i: int) -> None:
+        opened.subtract(n[2] for n in stack[i:])
+        del stack[i:]
 
-    for m in TOKEN.finditer(source):
+    def body(tag: str) -> None:
+        if stack[-1][2] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+
+    def add(child) -> None:
+        """Put a text or an element where the page has it."""
+        if len(stack) <= DEPTH + 1:
+            stack[-1][1].append(child)
+            return
+        siblings, now = stack[DEPTH][1], stack[-1]
+        if isinstance(child, list):
+            if (mark := now[3]) is not None:
+                child[0], child[3] = mark, mark
+            siblings.append(child)
+            return
+        if siblings[-1] is not now:  # text behind an inner element: the outer one goes on
+            now = stack[-1] = [now[0], [], now[2], now[3]]
+            siblings.append(now)
+        now[1].append(child)
+
+    for m in tokens(source):
         tag = m["tag"]
         if tag is None:
             raw = m["raw"]
             if raw is not None:
                 body(raw.lower())
-                stack[-1][1].append([raw.lower(), []])
+                add([raw.lower(), [], raw.lower(), None])
                 continue
             s = m[0]
             if s[0] != "<" or s == "<":
                 if not s.isspace():
                     body("")
-                stack[-1][1].append(s if texts else len(s.strip()))
+                add(s if texts else len(s.strip()))
+            continue
+        if m["cut"] is not None:
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][2] == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][2] == tag))
             continue
         body(tag)
         if tag in CLOSES or tag not in INLINE and tag not in VOID:
             shut = CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][2] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][2] in BOUNDS:
-                    break
-        node = [key_of(tag, m["attrs"]), [], tag]
-        stack[-1][1].append(node)
+            if any(opened[t] > 0 for t in shut):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][2] in shut:
+                        close(i)
+                        break
+                    if stack[i][2] in BOUNDS:
+                        break
+        key = key_of(tag, m["attrs"])
+        node = [key, [], tag, key if len(stack) > DEPTH and aside(key) else None]
+        add(node)
         if tag not in VOID and not m["attrs"].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -138,6 +192,42 @@ def wrapper_of(node) -> Node:
     return out
 
 
+def matched(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """Places of two lists with equal keys, in order: as many as possible, or for long lists the longest rising run of the keys
+    that occur once in both, in n log n steps."""
+    if len(x) * len(y) <= EXACT:
+        most = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                most[i][j] = most[i + 1][j + 1] + 1 if x[i].key == y[j].key else max(most[i + 1][j], most[i][j + 1])
+        i = j = 0
+        found = []
+        while i < len(x) and j < len(y):
+            if x[i].key == y[j].key:
+                found.append((i, j))
+                i, j = i + 1, j + 1
+            elif most[i + 1][j] >= most[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return found
+    once_x, once_y = Counter(k.key for k in x), Counter(k.key for k in y)
+    at = {k.key: j for j, k in enumerate(y) if once_y[k.key] == 1}
+    pairs = [(i, at[k.key]) for i, k in enumerate(x) if once_x[k.key] == 1 and k.key in at]
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        place = bisect_left(tails, j)
+        tails[place:place + 1], ends[place:place + 1] = [j], [n]
+        before[n] = ends[place - 1] if place else -1
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 def align(a: Node, b: Node) -> Node:
     """Merges two places with one key. Children are matched in order, as many as possible; a mismatch becomes an
     optional place, or a repetition where it stands beside a place of the same key; texts become slots."""
@@ -146,34 +236,27 @@ def align(a: Node, b: Node) -> Node:
     if [k.key for k in x] == [k.key for k in y]:
         out.kids = [align(p, q) for p, q in zip(x, y)]
         return out
-    most = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            most[i][j] = most[i + 1][j + 1] + 1 if x[i].key == y[j].key else max(most[i + 1][j], most[i][j + 1])
+    pairs = matched(x, y)
     i = j = 0
     kids: list[Node] = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].key == y[j].key:
-            kids.append(align(x[i], y[j]))
-            i, j = i + 1, j + 1
-            continue
-        if j == len(y) or i < len(x) and most[i + 1][j] >= most[i][j + 1]:
-            odd, i = x[i], i + 1
-        else:
-            odd, j = y[j], j + 1
-        if kids and kids[-1].key == odd.key:
-            kids[-1] = align(kids[-1], odd)
-            kids[-1].repeated = True
-        else:
-            odd.optional = True
-            kids.append(odd)
+    for p, q in [*pairs, (len(x), len(y))]:
+        for odd in x[i:p] + y[j:q]:
+            if kids and kids[-1].key == odd.key:
+                kids[-1] = align(kids[-1], odd)
+                kids[-1].repeated = True
+            else:
+                odd.optional = True
+                kids.append(odd)
+        if p < len(x):
+            kids.append(align(x[p], y[q]))
+        i, j = p + 1, q + 1
     out.kids = kids
     return out
 
 
 def weight(node: Node, path: str = "", opened: frozenset | set = frozenset()) -> int:
     """Characters outside of asides, but for those ``opened``."""
-    if aside(node.key) and path not in opened:
+    if aside(node.key, path) and path not in opened:
         return 0
     return node.chars + sum(weight(k, f"{path}/{k.key}", opened) for k in node.kids)
 
@@ -188,10 +271,10 @@ def opened_in(node: Node, path: str, opened: set[str]) -> int:
         nonlocal own
         for k in n.kids:
             here = f"{at}/{k.key}"
-            if not aside(k.key):
+            if not aside(k.key, here):
                 own += k.chars
                 walk(k, here)
-            elif k.key.split(".")[0] not in ASIDE - {"form"}:
+            elif k.key.split(".")[0] not in (ASIDE | {"header"}) - {"form"}:
                 inner: set[str] = set()
                 chars = opened_in(k, here, inner)
                 held = odd.setdefault(here, [0, set()])
@@ -220,10 +303,10 @@ def regions(root: Node) -> tuple[list[str], list[str]]:
         for k in node.kids:
             at = f"{path}/{k.key}"
             name, *words = k.key.split(".")
-            if name == tag or tag == "main" and "main" in words and not aside(k.key):
+            if name == tag or tag == "main" and "main" in words and not aside(k.key, at):
                 found.setdefault((at, above), []).append(k)
             else:
-                seek(k, at, tag, above | {at} if aside(k.key) else above, found)
+                seek(k, at, tag, above | {at} if aside(k.key, at) else above, found)
         return found
 
     for tag in ("article", "main"):
@@ -241,7 +324,7 @@ def regions(root: Node) -> tuple[list[str], list[str]]:
         total = weight(node, path, opened)
         # an aside is gone into only if next to nothing is beside it: long comments do not take the article's place
         heavy = [k for k in node.kids if total and k.key.split(".")[0] not in INLINE | {"p", "li"}
-                 and weight(k, f"{path}/{k.key}", opened) * 20 >= total * (19 if aside(k.key) else 2 * MOST)]
+                 and weight(k, f"{path}/{k.key}", opened) * 20 >= total * (19 if aside(k.key, f"{path}/{k.key}") else 2 * MOST)]
         if not heavy:
             return [path], sorted(opened)
         node, path = heavy[0], f"{path}/{heavy[0].key}"
@@ -260,7 +343,7 @@ def text_of(root, paths: set[str], opened: set[str]) -> str:
                 continue
             key = k[0]
             at = f"{path}/{key}"
-            if aside(key) and at not in opened:
+            if aside(key, at) and at not in opened:
                 continue
             tag = key.split(".")[0]
             block = tag not in INLINE

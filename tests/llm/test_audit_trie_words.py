@@ -212,3 +212,49 @@ def test_registered_word_bpe(spark, sf, library):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+# pages that break parsers ------------------------------------------------------------------------------------------------
+
+def main_texts(spark, pages):
+    from forewarn.llm import wrappers
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.main_text(df).orderBy("page_id").collect()]
+
+
+def test_deep_and_unclosed_pages(spark):
+    from forewarn.llm import wrappers
+    told = "Told one after the other."
+    pages = [f"<html><body><article>{'<b>' * 100_000}{told} End.", f"<body><article>{'<div>' * 100_000}{told}{'</div>' * 50_000} End.</article>",
+             f"<article><p>{told}</p>{'</i>' * 100_000}{'<p>' * 20_000} End.", f"<article>{'<div>' * 400}A <nav>menu <ul><li>item</ul></nav>B <i>C</i> D</article>"]
+    got = main_texts(spark, [("http://a/1", p) for p in pages] + [(f"http://{i}/1", p) for i, p in enumerate(pages)])
+    want = [f"{told} End."] * 3 + ["A B C D"]
+    assert got == want + want
+    deepest, todo = 0, [(wrappers.tree(pages[0]), 0)]
+    while todo:
+        node, depth = todo.pop()
+        deepest = max(deepest, depth)
+        todo += [(k, depth + 1) for k in node[1] if isinstance(k, list)]
+    assert deepest <= wrappers.DEPTH + 1
+
+
+def test_cut_off_tags_take_linear_time(spark):
+    import time
+    attrs = " ".join(f"a{i}=\"v{i}\" b{i}='w{i}'" for i in range(10_000))
+    odd = [f"<article>Text one. <a {attrs}", f"<article>Text one.<a {attrs} c=\"", "<article>Text one." + "<a \">\" " * 40_000, "<article>Text one." + "<a '" * 40_000,
+           "<article>Text one.<p title=\"a>b\"></p> it's <b class=x'>so</b>"]
+    start = time.time()
+    got = main_texts(spark, [(f"http://{i}/", p) for i, p in enumerate(odd)])
+    assert time.time() - start < 60 and all(t.startswith("Text one.") for t in got) and got[4] == "Text one. it's so"
+
+
+def test_many_classes_and_headers(spark):
+    import time
+    pages = ["<article>" + "".join(f"<div class='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{x}'>t{i} </div>" for i in range(2500)) + "</article>" for x in "xyz"]
+    start = time.time()
+    got = main_texts(spark, [("http://h/", p) for p in pages])
+    assert got[0] == " ".join(f"t{i}" for i in range(2500)) and time.time() - start < 60
+    pages = [f"<body><header>Site title</header><p>Told {w} in a long enough sentence for a page.</p><section class=kommentare>Nie wieder!</section>"
+             f"<div class=werbung>Kaufen</div></body>" for w in ("one", "two")] + ["<article><header><h1>Title</h1></header><p>Body</p></article>"]
+    assert main_texts(spark, [(f"http://{'k' if i < 2 else 'l'}/", p) for i, p in enumerate(pages)]) == [
+        "Told one in a long enough sentence for a page.", "Told two in a long enough sentence for a page.", "Title Body"]
