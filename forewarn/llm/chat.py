@@ -34,9 +34,11 @@ def reply_paths(messages: DataFrame, tree: str = "tree", node: str = "node", par
     Self-joins double the step to an ancestor each round: after the round for 2^k every leaf has met all ancestors
     within 2^(k+1) - 1 steps, each once, so a path of n messages needs log2(n) rounds. ``best`` keeps so many paths of
     a tree (a top-k report; None: all). A message whose parent is null or missing is a root; null scores count as 0;
-    a (tree, node) pair must be unique; messages on a cycle have no root and are in no path.
+    a (tree, node) pair must be unique; messages on a cycle have no root and are in no path. Messages without a tree
+    are one tree, whose id stays null.
     """
-    m = written(messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"),
+    # a struct of a null is no null: it meets its like in every join
+    m = written(messages.select(F.struct(F.col(tree).alias("id")).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"),
                                 F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score")), "messages")
     known = m.select("tree", F.col("node").alias("up"))
     step = m.select("tree", "node", F.col("parent").alias("up")).join(known, ["tree", "up"]).select("tree", "node", "up")
@@ -61,7 +63,7 @@ def reply_paths(messages: DataFrame, tree: str = "tree", node: str = "node", par
     if best is not None:
         paths = paths.where(F.col("rank") <= best)
     return met.join(paths.select("tree", "leaf", "rank", "length"), ["tree", "leaf"]).select(
-        "tree", "leaf", "rank", (F.col("length") - F.col("above")).alias("depth"), "node")
+        F.col("tree.id").alias("tree"), "leaf", "rank", (F.col("length") - F.col("above")).alias("depth"), "node")
 
 
 def format_turns(turns: DataFrame, keys: list[str], order: list[str], role: str = "role", text: str = "text") -> DataFrame:
@@ -112,13 +114,14 @@ def format_trees(messages: DataFrame, tree: str = "tree", node: str = "node", pa
     """Each chosen path of each tree as one conversation: ``tree``, ``leaf``, ``rank``, ``formatted``, ``mask``. See
     ``reply_paths`` and ``format_turns``."""
     paths = reply_paths(messages, tree, node, parent, score, best)
-    said = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(role).alias("role"), F.col(text).alias("text"))
-    return format_turns(paths.join(said, ["tree", "node"]), ["tree", "leaf", "rank"], ["depth"])
+    said = messages.select(F.col(tree).alias("_tree"), F.col(node).alias("_node"), F.col(role).alias("role"), F.col(text).alias("text"))
+    met = paths.join(said, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")))
+    return format_turns(met, ["tree", "leaf", "rank"], ["depth"])
 
 
 def threads(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations by turn as reply trees without branches: each turn answers the one before. Turns with one number
-    stand by role and text; null numbers come first."""
+    stand by role and text; null numbers come first; turns without a conversation make one, whose id stays null."""
     order = Window.partitionBy(conv).orderBy(F.asc_nulls_first(turn), F.asc_nulls_first(role), F.asc_nulls_first(text))
     return turns.select(F.col(conv).alias("tree"), F.row_number().over(order).alias("node"), F.col(role).alias("role"),
                         F.col(text).alias("text")).withColumn("parent", F.col("node") - 1).withColumn("score", F.lit(0.0))
