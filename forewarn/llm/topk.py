@@ -13,8 +13,10 @@ from .common import written
 BLOCK, SLICES = 2048, 4
 #: Whole numbers up to this size are exact in a double.
 EXACT = 2 ** 53
-#: Cutoff of a query with fewer than k gathered scores.
-NO_CUTOFF = -(2 ** 62)
+#: Cutoff of a query with fewer than k gathered scores: no score is lower.
+NO_CUTOFF = -(2 ** 63)
+#: Components of the pairs that are resolved at a time.
+RESOLVED = 1 << 22
 
 
 def numbers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -62,7 +64,25 @@ def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if most < EXACT:
         return (q.astype(float) @ c.T.astype(float)).astype(np.int64)
-    return q @ c.T
+    return q @ c.T  # within 64 bits, see fits
+
+
+def fits(q: np.ndarray, c: np.ndarray, own: np.ndarray) -> None:
+    """Fail where the score of a pair, or a sum on the way to it, might leave 64 bits; nothing that counts wraps."""
+    x, y = (np.sqrt((v.astype(float) ** 2).sum(axis=1)) for v in (q, c))
+    if x.max(initial=0) * y.max(initial=0) >= 2.0 ** 63 and ((x[:, None] * y[None, :] >= 2.0 ** 63) & ~own).any():
+        raise OverflowError("inner products leave 64 bits: choose a smaller scale")
+
+
+def scores_of(q: np.ndarray, c: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Whole scores of the open pairs alone; the others stay 0 and are not looked at."""
+    whole = np.zeros(open_.shape, np.int64)
+    i, j = np.nonzero(open_)
+    step = max(1, RESOLVED // max(1, q.shape[1]))
+    for a in range(0, len(i), step):
+        x, y = i[a:a + step], j[a:a + step]
+        whole[x, y] = np.einsum("nd,nd->n", q[x], c[y])
+    return whole
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,25 +103,25 @@ def cuts(dim: int) -> list[slice]:
 
 
 def lists(pairs: DataFrame, k: int) -> DataFrame:
-    """First phase: in each block and for each slice of the components the k highest partial scores; the vectors that
-    they name keep their whole scores (which are added up for all), and each block lists its k best."""
+    """First phase: in each block every slice of the components is a list of partial scores, of which the k highest are gathered. Only
+    the vectors that these name are scored whole, and each block lists its k best."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 qi, q = unpack(row, "q")
                 ci, c = unpack(row, "c")
-                named = np.zeros((len(qi), len(ci)), bool)
-                whole = np.zeros((len(qi), len(ci)), np.int64)
                 own = qi[:, None] == ci[None, :]
+                fits(q, c, own)
+                named = np.zeros((len(qi), len(ci)), bool)
                 for s in cuts(row["dim"]):
                     part = product(q[:, s], c[:, s])
-                    whole += part
                     part[own] = np.iinfo(np.int64).min
                     if len(ci) > k:
                         np.put_along_axis(named, np.argpartition(part, len(ci) - k, axis=1)[:, -k:], True, axis=1)
                     else:
                         named[:] = True
-                yield answers(qi, ci, whole, named & ~own, k)
+                named &= ~own
+                yield answers(qi, ci, scores_of(q, c, named), named, k)
 
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -126,23 +146,24 @@ def answers(qi, ci, whole, open_, k) -> pa.RecordBatch:
 
 
 def resolved(pairs: DataFrame, k: int) -> DataFrame:
-    """Second and third phase: a vector whose whole score reaches the cutoff has a partial score of at least cutoff /
-    slices in some slice. All slices of all pairs are computed and added up, so this uniform threshold saves no product;
-    each block gives the k best of those that reach the cutoff."""
+    """Second and third phase: a vector whose whole score reaches the cutoff has a partial score of at least cutoff / slices in some
+    slice, so the entries of each list from there on are collected; the vectors they name, and no others, are scored whole,
+    and each block gives the k best of those that reach the cutoff."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 qi, q = unpack(row, "q")
                 ci, c = unpack(row, "c")
+                own = qi[:, None] == ci[None, :]
+                fits(q, c, own)
                 limit = np.frombuffer(row["q_cutoff"], "<i8")[:, None]
+                least = -((-(limit + 1)) // SLICES) - 1  # at most cutoff / slices, without leaving 64 bits
                 passed = np.zeros((len(qi), len(ci)), bool)
-                whole = np.zeros((len(qi), len(ci)), np.int64)
                 for s in cuts(row["dim"]):
-                    part = product(q[:, s], c[:, s])
-                    whole += part
-                    passed |= part >= -((-limit) // SLICES)
-                passed &= (whole >= limit) & (qi[:, None] != ci[None, :])
-                yield answers(qi, ci, whole, passed, k)
+                    passed |= product(q[:, s], c[:, s]) >= least
+                passed &= ~own
+                whole = scores_of(q, c, passed)
+                yield answers(qi, ci, whole, passed & (whole >= limit), k)
 
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -162,7 +183,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     vectors has its best score. The cutoff of a query is the k-th of its gathered whole scores (the lowest number if
     there are fewer), so nothing that belongs to the answer is below it; the cutoffs travel with the blocks of
     queries, not by broadcast. Each block of queries meets each block of candidates once in either pass, and a block
-    returns at most k rows for a query.
+    returns at most k rows for a query. Scores that might leave 64 bits are an error.
     """
     rows = written(numbers(vectors, id_col, vector_col, scale).distinct(), "vectors")
     asked = written(numbers(queries, id_col, vector_col, scale).distinct(), "queries")

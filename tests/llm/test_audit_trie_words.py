@@ -258,3 +258,43 @@ def test_many_classes_and_headers(spark):
              f"<div class=werbung>Kaufen</div></body>" for w in ("one", "two")] + ["<article><header><h1>Title</h1></header><p>Body</p></article>"]
     assert main_texts(spark, [(f"http://{'k' if i < 2 else 'l'}/", p) for i, p in enumerate(pages)]) == [
         "Told one in a long enough sentence for a page.", "Told two in a long enough sentence for a page.", "Title Body"]
+
+
+# losses that must not come back ------------------------------------------------------------------------------------------
+
+def test_conversations_without_an_id_stay(spark):
+    from forewarn.llm import chat
+    rows = [(1, 0, "user", "a"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (1, 1, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit("clash")).withColumn("rank", F.lit(0))
+    out = chat.format_trees(chat.threads(df)).withColumn("said", chat.read_turns(F.col("formatted"))).collect()
+    assert {r["tree"]: [tuple(t) for t in r["said"]] for r in out} == {1: [("user", "a"), ("assistant", "")], None: [("user", "x"), ("assistant", "y")]}
+
+
+def test_large_scores(spark):
+    """Scores below -2**62 stay, and those that would wrap are an error."""
+    from forewarn.llm import topk
+    big = 976_562.5
+    rows = [(1, [big] * 100), (2, [-big] * 100), (3, [-big * 0.9] * 100), (4, [0.0] * 100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = [(r["vec_id"], r["score"]) for r in topk.search(df, df.where("vec_id = 1"), 3).orderBy("rank").collect()]
+    x = [[int(256 * c) for c in v] for _, v in rows]
+    want = sorted(((-sum(a * b for a, b in zip(x[0], x[i])), i + 1) for i in (1, 2, 3)))
+    assert got == [(i, -s) for s, i in want]
+    small = spark.createDataFrame([(1, [1.7e7] * 64), (2, [-1.7e7] * 64)], "vec_id long, embedding array<double>")
+    assert [r["score"] for r in topk.search(small, small.where("vec_id = 1"), 5, scale=16).collect()] == [-64 * (17_000_000 * 16) ** 2]
+    huge = spark.createDataFrame([(1, [1e12] * 6), (2, [1e12] * 6), (3, [0.0] * 6)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leave 64 bits"):
+        topk.search(huge, huge.where("vec_id = 1"), 2).collect()
+
+
+def test_few_pairs_are_scored_whole(monkeypatch):
+    """The cutoff saves whole scores, and the answer is that of all pairs."""
+    from forewarn.llm import topk
+    rng = np.random.default_rng(3)
+    q, c = rng.integers(-100, 100, (40, 32)), rng.integers(-100, 100, (2000, 32))
+    whole, limit = q @ c.T, np.sort(q @ c.T, axis=1)[:, -5:-4]
+    passed = np.zeros(whole.shape, bool)
+    for s in topk.cuts(32):
+        passed |= topk.product(q[:, s], c[:, s]) >= -((-(limit + 1)) // topk.SLICES) - 1
+    assert passed.mean() < 0.5 and (passed | (whole < limit)).all()
+    assert (topk.scores_of(q, c, passed)[passed] == whole[passed]).all()
