@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..session import work_path
 from ..sources.writers import upsert
@@ -78,44 +79,73 @@ def sessions(stream: DataFrame, keys: list[str], ts: str, gap: str, aggs: list[C
                     *[F.col(c) for c in _names(aggs, keys, stream)]))
 
 
+DAY_MS = 86_400_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class PeakRanges(StatefulProcessor):
+    """Of each station the last decided exceedance, the exceedances that wait, and a timer at the end of each waiting day."""
+
+    def __init__(self, day_range: int):
+        self.day_range = day_range
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "day bigint")
+        self.waiting = handle.getListState("waiting", "day bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {d for (d,) in self.waiting.get()}
+        new = {int(d) for pdf in rows for d in pdf.loc[pdf["exceeds"] == 1, "day"]} - known
+        if new:
+            self.waiting.appendList([(d,) for d in sorted(new)])
+            for d in new:
+                self.handle.registerTimer((d + 1) * DAY_MS)
+        yield self.settled(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.settled(key, timerValues.getCurrentWatermarkInMs())
+
+    def settled(self, key, now: int) -> pd.DataFrame:
+        """Decide the waiting days that have ended, in order."""
+        days = sorted(d for (d,) in self.waiting.get())
+        ended = [d for d in days if (d + 1) * DAY_MS <= now]
+        last = self.last.get()[0] if self.last.exists() else None
+        fired = []
+        for d in ended:
+            if last is None or d - last > self.day_range:
+                fired.append(d)
+            last = d if last is None else max(last, d)
+        if ended:
+            self.last.update((last,))
+            left = [(d,) for d in days[len(ended):]]
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        return pd.DataFrame({"station": [int(key[0])] * len(fired), "day": fired})
+
+    def close(self) -> None:
+        pass
+
+
 def live_triggers(stream: DataFrame, key: str, ts: str, exceeds: str, day_range: int,
                   late: str = "1 day") -> DataFrame:
     """Emit the days on which a new peak range opens, from the state of each station.
 
     A day opens a range when it exceeds and the previous exceedance is more than ``day_range`` days back. A day is
-    decided once the watermark has passed its end: until then it waits in the state, together with the last decided
+    decided once the watermark has passed its end: until then it waits in a list of the station's state, next to the last decided
     exceedance, and an event-time timer wakes the station. Whatever comes at most ``late`` behind the newest row may
     come in any order and in any batches; later rows are dropped by Spark. The state of a station is bounded by the
-    days within ``late``.
+    days within ``late``, and lies in RocksDB, which the session is set to (typed state needs it).
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-    day_ms = 86_400_000
-
-    def step(group, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, "")
-        days = {int(d) for d in waiting.split(",") if d}
-        if not state.hasTimedOut:
-            for pdf in chunks:
-                days.update(int(d) for d in pdf.loc[pdf["exceeds"] == 1, "day"])
-        now = state.getCurrentWatermarkMs()
-        fired = []
-        for d in sorted(days):
-            if (d + 1) * day_ms > now:
-                break
-            days.discard(d)
-            if last is None or d - last > day_range:
-                fired.append(d)
-            last = d if last is None else max(last, d)
-        state.update((last, ",".join(map(str, sorted(days)))))
-        if days:
-            state.setTimeoutTimestamp((min(days) + 1) * day_ms)
-        yield pd.DataFrame({"station": [int(group[0])] * len(fired), "day": fired})
-
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark(ts, late).select(
         F.col(key).cast("bigint").alias("station"), F.col(ts).alias("_ts"),
         F.unix_date(F.to_date(ts)).cast("bigint").alias("day"), F.col(exceeds).alias("exceeds"))
-    fired = rows.groupBy("station").applyInPandasWithState(
-        step, "station bigint, day bigint", "last_day bigint, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    fired = rows.groupBy("station").transformWithStateInPandas(
+        PeakRanges(day_range), "station bigint, day bigint", "Append", "EventTime")
     return fired.select("station", F.date_from_unix_date(F.col("day").cast("int")).alias("date"))
 
 

@@ -207,6 +207,22 @@ def test_ingest_resumes_and_live_triggers_ignore_order(spark):
     assert found[0] == found[1] == found[2] == [(1, 0), (1, 5), (1, 11), (1, 20), (1, 30), (1, 40), (2, 1)]
 
 
+def test_live_triggers_go_on_after_a_restart(spark):
+    """Days that waited in the state of a query that ended are decided by the next one, as if it had never ended."""
+    from forewarn.streaming import jobs
+    base = dt.datetime(2024, 1, 1)
+    days = [0, 1, 5, 6, 11, 20, 21, 30, 40]
+    rows = [(1, base + dt.timedelta(days=d), 1) for d in days] + [(2, base + dt.timedelta(days=d), d % 2) for d in range(41)]
+    inbox, table, progress = (work_path(spark, x) for x in ("inbox", "fired", "progress"))
+    schema = "key long, ts timestamp, over int"
+    for part in (rows[1::2], rows[::2], [(3, base + dt.timedelta(days=200), 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = jobs.file_stream(spark, inbox, schema)
+        jobs.available_now(jobs.live_triggers(stream, "key", "ts", "over", 3, late="100 days"), "live", checkpoint=progress, table=table)
+    found = sorted((r["station"], (r["date"] - base.date()).days) for r in spark.read.parquet(table).collect())
+    assert found == [(1, 0), (1, 5), (1, 11), (1, 20), (1, 30), (1, 40), (2, 1)]
+
+
 def test_upstream_has_no_round_limit(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 12)], "basin long, down long")
     start = spark.createDataFrame([(0,)], "basin long")
