@@ -141,20 +141,3 @@ def _fraction(a: np.ndarray, v: np.ndarray) -> np.ndarray:
         h[open_] *= step
         open_ = open_[np.abs(step - 1.0) > 4e-16]
     return h
-
-
-def harmonic_forecast(y: np.ndarray, month: np.ndarray, train: int) -> np.ndarray:
-    """One-step forecasts of a level, trend and two yearly harmonics from the last ``train`` rows."""
-    t = np.arange(y.size, dtype=float)
-    angle = 2 * np.pi * month / 12
-    design = np.column_stack([np.ones_like(t), t, np.sin(angle), np.cos(angle),
-                              np.sin(2 * angle), np.cos(2 * angle)])
-    out = np.full(y.size, np.nan)
-    for i in range(train, y.size):
-        a = design[i - train:i].copy()
-        a[:, 1] -= i
-        coef, *_ = np.linalg.lstsq(a, y[i - train:i], rcond=None)
-        row = design[i].copy()
-        row[1] = 0.0
-        out[i] = row @ coef
-    return out

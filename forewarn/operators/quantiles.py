@@ -133,12 +133,13 @@ def quantiles_of_rows(df: DataFrame, keys: list[str], value: str, percents: list
 
     sketches = rows.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", SKETCH).alias("_s"), F.count("*").alias("_total"),
                                        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # a margin that reaches beyond the first or last rank takes everything on that side
-    lo = F.transform(F.kll_sketch_get_quantile_double("_s", ranks(-1)), lambda x, i: F.when(F.get(ranks(-1), i) <= 0, F.col("_min")).otherwise(x))
-    hi = F.transform(F.kll_sketch_get_quantile_double("_s", ranks(1)), lambda x, i: F.when(F.get(ranks(1), i) >= 1, F.col("_max")).otherwise(x))
+    # a margin that reaches beyond the first or last rank takes everything on that side; one of a few rows takes the whole key
+    few = F.col("_total") * MARGIN < 4
+    lo = F.transform(F.kll_sketch_get_quantile_double("_s", ranks(-1)), lambda x, i: F.when(few | (F.get(ranks(-1), i) <= 0), F.col("_min")).otherwise(x))
+    hi = F.transform(F.kll_sketch_get_quantile_double("_s", ranks(1)), lambda x, i: F.when(few | (F.get(ranks(1), i) >= 1), F.col("_max")).otherwise(x))
     bounds = sketches.select(*keys, "_total", lo.alias("_lo"), hi.alias("_hi"))
-    few = F.count("*").over(Window.partitionBy(F.lit(1))) <= max_keys
-    bounds = bounds.withColumn("_ok", F.assert_true(few, F.lit(f"more than {max_keys} keys"))).where("_ok IS NULL").drop("_ok")
+    allowed = F.count("*").over(Window.partitionBy(F.lit(1))) <= max_keys
+    bounds = bounds.withColumn("_ok", F.assert_true(allowed, F.lit(f"more than {max_keys} keys"))).where("_ok IS NULL").drop("_ok")
     met = rows.join(F.broadcast(bounds), keys)
     v = F.col("_v")
     inside = F.lit(False)

@@ -86,6 +86,16 @@ def test_exact_quantiles_with_one_hot_key(spark):
             assert got[(name, p)] == pytest.approx(np.quantile(arr, p / 100), abs=2e-6)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 699, 702, 5000, 60_000])
+def test_exact_quantiles_of_any_size(spark, n):
+    """Ties, few rows and sketches that have thrown rows away."""
+    rng = np.random.default_rng(n)
+    values = np.concatenate([rng.normal(size=n - n // 3).round(3), np.full(n // 3, 0.125)])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5).withColumn("k", F.lit(1))
+    got = {r["percent"]: r["threshold"] for r in Q.quantiles_of_rows(df, ["k"], "v", [0, 5, 50, 90, 100]).collect()}
+    assert got == pytest.approx({p: np.quantile(values, p / 100) for p in (0, 5, 50, 90, 100)}, abs=2e-6)
+
+
 @pytest.mark.parametrize("n", [1, 5, 12, 13, 50, 63])
 def test_levels_reached(spark, n):
     levels = [float(i) for i in range(n)]
