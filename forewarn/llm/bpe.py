@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Encoded words and stretches that a task keeps between batches; beyond it the older half goes.
-KEPT_WORDS, KEPT_STRETCHES = 600_000, 250_000
+#: Encoded words, stretches and pairs that a task keeps between batches, at most; beyond it the older half goes. Longer ones than
+#: ``KEPT_CHARS`` are encoded where they are met and never kept, so what is kept is bounded in bytes for text without spaces too.
+KEPT_WORDS, KEPT_STRETCHES, KEPT_PAIRS, KEPT_CHARS = 400_000, 200_000, 400_000, 48
 #: Words whose merges are replayed together: their symbols stay in the processor's cache.
 REPLAYED = 16_384
 #: Text that is encoded at a time, in bytes: what a task holds of its share of the corpus.
@@ -27,8 +28,16 @@ STRETCH = re.compile(r"(?:\A\s*| )?\S+(?:(?:[^\S ]\s*| \s+)\S+)*(?:\s+\Z)?|\s+")
 
 
 def younger(known: dict, most: int) -> dict:
-    """The dictionary, or its younger half once it is full."""
-    return known if len(known) <= most else dict(islice(known.items(), len(known) // 2, None))
+    """The dictionary, or once it is full the younger half of what it may hold."""
+    return known if len(known) <= most else dict(islice(known.items(), len(known) - most // 2, None))
+
+
+def kept(known: dict, new: list[str], most: int) -> dict:
+    """What may stay until the next batch: nothing long, and at most ``most``."""
+    for k in new:
+        if len(k) > KEPT_CHARS:
+            del known[k]
+    return younger(known, most)
 
 
 class Vocabulary:
@@ -94,7 +103,7 @@ class Vocabulary:
         heap = list(at)
         heapify(heap)
         pairs, ranks, bytes_of = self.pairs, self.ranks, self.bytes_of
-        if len(pairs) > KEPT_WORDS:
+        if len(pairs) > KEPT_PAIRS:
             pairs.clear()
         while heap:
             r = heappop(heap)
@@ -150,20 +159,24 @@ class Vocabulary:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [STRETCH.findall(t) if t else [] for t in texts]
-        known = self.stretches = younger(self.stretches, KEPT_STRETCHES)
+        known = self.stretches
         new = list(set().union(*cut).difference(known))
         parts = [self.split(s) for s in new]
-        self.learn(set().union(*parts))
+        learnt = self.learn(set().union(*parts))
         word = self.words.__getitem__
         known.update(zip(new, (b"".join(map(word, p)) for p in parts)))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-
-    def learn(self, words: set[str]) -> None:
-        known = self.words = younger(self.words, KEPT_WORDS)
-        new = list(words.difference(known))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        self.words = kept(self.words, learnt, KEPT_WORDS)
+        self.stretches = kept(known, new, KEPT_STRETCHES)
+        return out
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Replay the words that are not known yet, and name them."""
+        new = list(words.difference(self.words))
         for a in range(0, len(new), REPLAYED):
             some = new[a:a + REPLAYED]
-            known.update(zip(some, self.replay([w.encode() for w in some])))
+            self.words.update(zip(some, self.replay([w.encode() for w in some])))
+        return new
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -180,20 +193,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", packed: bool = False,
+           decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text_col`` as ``ids_col`` (a column of that name is replaced): an array, or
     with ``packed`` the ids as little-endian 32-bit numbers in one binary value.
 
     Each match of the pattern is encoded separately, as a text without special tokens. Words do not depend on each
     other, so the merges are replayed over the words that a task meets, once for each distinct word of about 2 MB of
     text, and no word is shuffled. A null or empty text has no ids; texts are whole whatever their length; repeated
-    rows repeat their ids; ids are those of the rank file, which must hold all single bytes.
+    rows repeat their ids; ids are those of the rank file, which must hold all single bytes. With ``decoded_col`` the ids are
+    decoded by the same task, as by ``decode``, and the text is left out: one process for each task, one vocabulary, no ids
+    sent back and forth.
     """
-    kept = [f for f in docs.schema.fields if f.name != ids_col]
-    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([*kept, T.StructField(ids_col, kind, False)])
+    left_out = (ids_col, decoded_col, text_col) if decoded_col else (ids_col,)
+    rows = [f for f in docs.schema.fields if f.name not in left_out]
+    fields = [*rows, T.StructField(ids_col, T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False), False)]
+    if decoded_col:
+        fields.append(T.StructField(decoded_col, T.BinaryType(), False))
+    schema = T.StructType(fields)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = [f.name for f in kept]
+    names = [f.name for f in rows]
 
     def run(batches):
         v = shared.value.load()
@@ -205,7 +224,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
                 else:
                     ends = np.cumsum([0, *(len(x) // 4 for x in got)])
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], [*names, ids_col])
+                made = [ids]
+                if decoded_col:
+                    made.append(pa.array([v.decode(np.frombuffer(x, "<i4").tolist()) for x in got], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], schema.names)
 
     return docs.mapInArrow(run, schema)
 

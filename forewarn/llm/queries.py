@@ -123,9 +123,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    vocabulary = bpe.public_vocabulary()
-    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary, packed=True).drop("text")
-    return bpe.digests(bpe.decode(ids, vocabulary))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode(docs, bpe.public_vocabulary(), packed=True, decoded_col="decoded"))
 
 
 @query("op10_ngram_jaccard_join")

@@ -157,6 +157,25 @@ def test_byte_dedup(spark, monkeypatch, together):
 
 # BPE ----------------------------------------------------------------------------------------------------------------
 
+def test_bpe_keeps_a_bounded_number_of_bytes(monkeypatch):
+    """Text without spaces is a new stretch and new words in every text; nothing of it stays."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 500)
+    monkeypatch.setattr(bpe, "KEPT_STRETCHES", 300)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 1000)
+    v = bpe.public_vocabulary().load()
+    rng = np.random.default_rng(1)
+    for k in range(12):
+        chinese = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 3000))) for _ in range(20)]
+        lines = ["\n".join(f"line{i}x{k}" for i in range(400)), base64.b64encode(rng.bytes(20_000)).decode()]
+        spaced = [" ".join(f"w{rng.integers(10**9)}" for _ in range(2000))]
+        texts = chinese + lines + spaced
+        for t, ids in zip(texts, v.encode(texts)):
+            assert v.decode(np.frombuffer(ids, "<i4").tolist()) == t.encode()
+        for cache, most in ((v.words, 500), (v.stretches, 300)):
+            assert len(cache) <= most and sum(len(a.encode()) + len(b) for a, b in cache.items()) <= most * bpe.KEPT_CHARS * 8
+    assert len(v.pairs) <= 1000 + 70_000
+
+
 def test_bpe_round_trip(spark):
     import public_tokenizers
     import tiktoken
@@ -172,6 +191,9 @@ def test_bpe_round_trip(spark):
         t = rows[r["doc_id"]] or ""
         assert r["ids"] == enc.encode_ordinary(t) and bytes(r["decoded"]).decode() == t
     one = {r["doc_id"]: r for r in bpe.digests(bpe.decode(bpe.encode(df, v, packed=True), v)).collect()}[4]
+    at_once = bpe.encode(df, v, packed=True, decoded_col="decoded")
+    assert "text" not in at_once.columns
+    assert {r["doc_id"]: r for r in bpe.digests(at_once).collect()}[4] == one
     ids = enc.encode_ordinary(rows[4])
     assert one["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert bpe.encode(df.limit(0), v).count() == 0
