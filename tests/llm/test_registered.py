@@ -106,3 +106,18 @@ def test_pipeline(spark, sf):
     for _, stage in p.STAGES:
         none = stage(spark, none, sf)
     assert none.count() == 0
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    own = {c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in ("score", "lang_pred", "n_lines", "n_dropped", "batch", "key")}
+    now = docs.withColumns(own).cache()
+    for name, stage in p.STAGES[:4]:
+        now = stage(spark, now, sf).cache()
+        assert now.columns == docs.columns + list(own), name
+        for r in now.collect():
+            assert all(r[c] == f"{c} of {r['doc_id']}" for c in own), name
+    assert now.count() > 0
