@@ -22,7 +22,7 @@ HEADLINE = [
     "x39_leave_one_out_cue", "x19_spi", "x20_return_levels", "x12_return_period_triggers", "w03_trailing_days",
     "w05_locf", "a07b_quantiles_of_rows", "a17_zonal_stats", "a22_neighbour_overlap", "j10_point_in_polygon",
     "j14_nearest_stations", "j17_date_band", "j21_upstream_closure", "s09_partitioned_sink",
-    "t01_incremental_ingest", "x46_indicator_refresh",
+    "t01_incremental_ingest", "x46_indicator_refresh", "x39b_frugal_trees", "j13b_overlay_area",
 ]
 
 
