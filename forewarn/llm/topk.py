@@ -168,6 +168,14 @@ def resolved(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def met(q: DataFrame, c: DataFrame, q_blocks: int, c_blocks: int) -> DataFrame:
+    """Each block of queries next to each block of candidates, by a shuffled join. A block is a megabyte in one value, which Spark takes for
+    a small row: left to itself it would send all copies of the query blocks through the driver."""
+    left = q.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    right = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    return left.hint("merge").join(right.hint("merge"), ["q_block", "c_block", "dim"])
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -190,15 +198,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     c = written(blocked(rows, "c"), "blocks")
     c_blocks, q_blocks = (max(1, -(-x.count() // BLOCK)) for x in (rows, asked))
 
-    def met(q: DataFrame) -> DataFrame:
-        left = q.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-        right = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        return left.join(right, ["q_block", "c_block", "dim"])
-
     def top(found: DataFrame) -> DataFrame:
         return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
 
-    kth = top(lists(met(blocked(asked, "q")), k)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    kth = top(lists(met(blocked(asked, "q"), c, q_blocks, c_blocks), k)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
     cutoff = kth.select(F.col("query_id").alias("id"), F.when(F.col("n") == k, F.col("s")).alias("cutoff"))
-    limited = written(asked.join(cutoff, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NO_CUTOFF))), "cutoffs")
-    return top(resolved(met(blocked(limited, "q", "cutoff")), k)).select("query_id", "rank", "vec_id", "score")
+    limited = written(asked.join(cutoff.hint("merge"), "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NO_CUTOFF))), "cutoffs")
+    return top(resolved(met(blocked(limited, "q", "cutoff"), c, q_blocks, c_blocks), k)).select("query_id", "rank", "vec_id", "score")

@@ -114,6 +114,13 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_blocks_meet_without_the_driver(spark):
+    v = spark.range(40).select(F.col("id"), F.array(F.col("id"), F.lit(1).cast("long")).alias("v"))
+    pairs = topk.met(topk.blocked(v.where("id % 4 = 0"), "q"), topk.blocked(v, "c"), 1, 1)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and "SortMergeJoin" in text and pairs.count() == 1
+
+
 def test_top_k_of_ids_with_several_vectors(spark):
     rows = [(0, [1.0, 1.0, 1.0, 1.0])] + [(1, [9.0 + i] * 4) for i in range(6)] + [(i, [float(i)] * 4) for i in range(2, 8)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
