@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import half_up, once
 from ..session import cut_lineage
@@ -224,18 +227,38 @@ def gumbel_levels(maxima: DataFrame, keys: list[str], value: str, periods: list[
             .select(*keys, "_r.period", "_r.level"))
 
 
+#: Keys whose fits take their steps together.
+FITTED = 4096
+
+
 def gev_likelihood_levels(maxima: DataFrame, keys: list[str], value: str,
                           periods: list[int]) -> DataFrame:
     """Return levels with a 95 % interval from a maximum-likelihood fit per key.
 
-    A key's rows are its block maxima, one per year, so a group is a short vector.
+    A key's rows are its block maxima, one per year, so a key is a short vector, and a task fits many keys at a time. The vectors are
+    few bytes for much work, so the number of tasks is that of the cores and not left to the size of the shuffle.
     """
-    from ..functions.fits import fit_gev_levels
-    types = dict(maxima.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys)
-    schema += ", period int, low double, estimate double, high double, converged boolean"
-
-    def fit(pdf):
-        return fit_gev_levels(pdf, keys, value, periods)
-
-    return maxima.select(*keys, value).groupBy(*keys).applyInPandas(fit, schema)
+    from ..functions.fits import gev_levels
+    heads = maxima.select(*keys).schema.fields
+    schema = T.StructType([*heads, T.StructField("period", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("low", "estimate", "high")),
+                           T.StructField("converged", T.BooleanType())])
+    tasks = 2 * maxima.sparkSession.sparkContext.defaultParallelism
+    vectors = maxima.repartition(tasks, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_x"))
+
+    def fit(batches):
+        for whole_batch in batches:
+            for a in range(0, whole_batch.num_rows, FITTED):
+                b = whole_batch.slice(a, FITTED)
+                x = [v[~np.isnan(v)] for v in (np.array(r, float) for r in b.column("_x").to_pylist())]
+                levels, met = np.empty((len(x), len(periods), 3)), np.empty(len(x), bool)
+                sizes = np.array([len(v) for v in x])
+                for n in np.unique(sizes):
+                    at = np.flatnonzero(sizes == n)
+                    levels[at], met[at] = gev_levels(np.stack([x[i] for i in at]), periods)
+                key = np.repeat(np.arange(len(x)), len(periods))
+                flat = levels.reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k).take(pa.array(key)) for k in keys), pa.array(np.tile(np.array(periods, np.int32), len(x))),
+                     *(pa.array(flat[:, i], from_pandas=True) for i in range(3)), pa.array(met[key])], schema.names)
+
+    return vectors.mapInArrow(fit, schema)

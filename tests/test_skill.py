@@ -172,6 +172,28 @@ def test_return_levels_by_likelihood(spark):
         assert lm[t] == pytest.approx(ml[t]["estimate"], abs=4) and gu[t] == pytest.approx(true, abs=6)
 
 
+def test_likelihood_fits_take_their_steps_together(spark):
+    from forewarn.functions import fits
+    rng = np.random.default_rng(12)
+    x = np.round(np.sort(40 - 9 * np.log(-np.log(rng.random((40, 14)))), axis=1))
+    levels, met = fits.gev_levels(x, [2, 10])
+    assert 30 <= met.sum()
+    for i in range(len(x)):  # a fit does not depend on what it is fitted beside
+        one, own = fits.gev_levels(x[i:i + 1], [2, 10])
+        assert own[0] == met[i] and np.allclose(one[0], levels[i], rtol=1e-9, equal_nan=True)
+    rows = [(i, float(v)) for i in range(40) for v in x[i]] + [(40, 1.0), (41, None), (None, 1.0)] + [(42, 3.0)] * 8 + [(0, None), (1, float("nan"))]
+    df = spark.createDataFrame(rows, "k long, m double")
+    out = Q.gev_likelihood_levels(df, ["k"], "m", [2, 10])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "REPARTITION_BY_NUM" in plan
+    got = {(r["k"], r["period"]): r for r in out.collect()}
+    assert len(got) == 2 * 44
+    for i in range(40):
+        r = got[i, 10]
+        assert r["converged"] == met[i] and r["estimate"] == pytest.approx(levels[i, 1, 1]) and (r["low"] is None) == np.isnan(levels[i, 1, 0])
+    assert all(got[k, 2]["estimate"] is None and not got[k, 2]["converged"] for k in (40, 41, 42, None))
+
+
 def test_spi_is_standardised(spark):
     rng = np.random.default_rng(1)
     rows = [(1, dt.date(1950 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(rng.gamma(3.0, 20.0, 720))]
