@@ -21,6 +21,18 @@ def collapse(df: DataFrame, keys: list[str], date: str, aggs: dict[str, Column],
             .agg(*[c.alias(name) for name, c in aggs.items()]))
 
 
+#: Series that share a task once their calendar is opened.
+SERIES = 256
+
+
+def spread(df: DataFrame, keys: list[str], series: int) -> DataFrame:
+    """Rows dealt by key to a task for every ``SERIES`` of the ``series``, so that what a task holds does not grow with their number.
+
+    Opening the calendar and taking leads makes many days of the few bytes that are shuffled; left to the size of the shuffle, tasks would be few.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-series // SERIES)), *keys)
+
+
 def scaffold(df: DataFrame, keys: list[str], date: str = "date", step: str = "1 day",
              start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Every calendar step from the first to the last date of each key.
@@ -94,15 +106,17 @@ def clip_to_events(series: DataFrame, events: DataFrame, keys: list[str], days:
 
 
 def filled_with_marks(series: DataFrame, marks: DataFrame, keys: list[str], value: str,
-                      zero: list[str], flag: str = "event", date: str = "date") -> DataFrame:
+                      zero: list[str], flag: str = "event", date: str = "date", n_series: int | None = None) -> DataFrame:
     """Dense, filled series with a 0/1 flag on the marked days, from one shuffle of the sparse rows.
 
     The marks meet the observations while both are sparse and partitioned by key and day; the calendar
     is opened afterwards. ``value`` is filled down then up, the columns in ``zero`` with 0. Days before
-    the first and after the last observation of a key are left out.
+    the first and after the last observation of a key are left out. ``n_series``, about how many keys there are, spreads many of them (see ``spread``).
     """
     marked = marks.select(*keys, date).distinct().withColumn(flag, F.lit(1))
     both = series.join(marked, [*keys, date], "full_outer")
+    if n_series is not None:
+        both = spread(both, keys, n_series)
     g = whole(keys, date)
     seen = F.when(F.col(value).isNotNull(), F.col(date))
     both = both.withColumns({"_first": F.min(seen).over(g), "_last": F.max(seen).over(g)})

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import collapse, densify, filled_with_marks, locf
+from ..operators.series import collapse, densify, filled_with_marks, locf, spread
 
 COMMON: dict[str, str] = {
     "all_reports": """
@@ -90,6 +90,11 @@ def mapping(spark, sf) -> DataFrame:
         F.col("s_suppkey").alias("station"), F.col("s_nationkey").cast("bigint").alias("zone"))
 
 
+def spread_stations(spark, sf) -> DataFrame:
+    """Station days dealt to tasks by the number of stations, before their calendar is opened."""
+    return spread(station_days(spark, sf), ["station"], mapping(spark, sf).count())
+
+
 def zone_days(spark, sf) -> DataFrame:
     """Zone series; stations are collapsed to days before they meet the mapping."""
     return (station_days(spark, sf).join(mapping(spark, sf), "station").groupBy("zone", "date")
@@ -103,11 +108,11 @@ def _filled(df: DataFrame, key: str) -> DataFrame:
 
 
 def station_dense(spark, sf) -> DataFrame:
-    return densify(station_days(spark, sf), ["station"])
+    return densify(spread_stations(spark, sf), ["station"])
 
 
 def station_filled(spark, sf) -> DataFrame:
-    return _filled(station_days(spark, sf), "station")
+    return _filled(spread_stations(spark, sf), "station")
 
 
 def zone_dense(spark, sf) -> DataFrame:

@@ -24,7 +24,7 @@ def flagged_stations(hazard: DataFrame, mapping: DataFrame, events: DataFrame,
     """Dense station series with the 0/1 event flag of the station's zone."""
     days = events.select("zone", "date").distinct()
     marks = days.join(mapping.select("station", "zone"), "zone").select("station", "date")
-    filled = filled_with_marks(hazard, marks, ["station"], "value", zero or [])
+    filled = filled_with_marks(hazard, marks, ["station"], "value", zero or [], n_series=mapping.count())
     return filled.join(mapping.select("station", "zone"), "station")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forewarn.operators import rolling as W
 from forewarn.operators import series as T
 from forewarn.operators import triggers as X
+from forewarn.plans import pipelines as P
 
 D0 = dt.date(2020, 1, 1)
 
@@ -155,3 +156,16 @@ def test_more_thresholds_than_bits(spark):
     for r in X.trigger_table(some, ["k"], "value", "event", "levels", [3, 40, 69], 5).collect():
         assert whole[r["percent"]] == tuple(r)
     assert sorted(whole) == percents
+
+
+def test_series_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(T, "SERIES", 2)
+    day = F.to_date(F.lit("2020-01-01"))
+    df = spark.range(40).select(F.col("id").alias("k"), day.alias("date"), F.lit(1.0).alias("value"))
+    ends = df.union(df.withColumn("date", F.date_add("date", 9)))
+    out = T.filled_with_marks(ends, df.select("k", "date"), ["k"], "value", [], n_series=40)
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 400 and out.where("event = 1").count() == 40
+    mapping = df.select(F.col("k").alias("station"), F.lit(1).alias("zone"))
+    hazard, events = ends.withColumnRenamed("k", "station"), df.limit(1).select(F.lit(1).alias("zone"), "date")
+    flagged = P.flagged_stations(hazard, mapping, events)
+    assert flagged.rdd.getNumPartitions() == 20 and flagged.where("event = 1").count() == 40
