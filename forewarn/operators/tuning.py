@@ -7,12 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hash_text, uniform
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from .models import predict
+from .series import spread
 from .skill import class_scores, confusion
 from .windows import along, past
 
@@ -112,41 +113,65 @@ def tuned_by_key(data: DataFrame, key: str, keys: list, cols: list[str], label:
     return out
 
 
-def station_matrix(days: DataFrame, zone: str, station: str, date: str, value: str, event: str) -> DataFrame:
+#: Stations whose ids may be sent to every task.
+MAX_STATIONS = 2_000_000
+
+
+def station_matrix(days: DataFrame, zone: str, station: str, date: str, value: str, event: str, n_series: int = 0) -> DataFrame:
     """One row for each zone and day: the values of all the zone's stations in the order of their ids, 0 where one has none.
 
     Returns ``zone``, ``date``, ``label``, ``stations`` (ids), ``x`` (values) and ``weight``, which is n / n of the own class within
     the zone. Rows of a zone and day are as many as it has stations, several rows of a station count by their largest value.
+
+    ``days`` are read once: the rows of a zone and day meet in one shuffle (to tasks for about ``n_series`` stations) and are written as sorted
+    arrays. Ids and class sizes come from these, and a day that lacks stations is completed by one sort.
     """
-    cells = days.groupBy(zone, date, station).agg(F.max(value).alias("v"), F.max(event).alias("e"))
-    wide = cells.groupBy(zone, date).agg(F.max("e").cast("int").alias("label"), F.map_from_entries(F.collect_list(F.struct(station, "v"))).alias("_m"))
-    ids = days.groupBy(zone).agg(F.sort_array(F.collect_set(station)).alias("stations"))
+    spark = days.sparkSession
+    path = work_path(spark, "station-days")
+    cells = spread(days, [zone, date], n_series).groupBy(zone, date, station).agg(F.max(value).alias("v"), F.max(event).alias("e"))
+    pair = F.when(F.col(station).isNotNull(), F.struct(F.col(station).alias("s"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v")))
+    met = cells.groupBy(zone, date).agg(F.max("e").cast("int").alias("label"), F.sort_array(F.collect_list(pair)).alias("_p"))
+    met.select(zone, F.col(date).alias("date"), "label", F.col("_p.s").alias("_s"), F.col("_p.v").alias("_v")).write.parquet(path)
+    wide = spark.read.parquet(path)
+    known = cut_lineage(wide.select(zone, F.explode("_s").alias("_id")).distinct())
+    few = known.limit(MAX_STATIONS + 1).count() <= MAX_STATIONS
+    ids = known.groupBy(zone).agg(F.sort_array(F.collect_list("_id")).alias("stations"))
     sizes = wide.groupBy(zone, "label").agg(F.count("*").alias("_own"))
-    total = sizes.groupBy(zone).agg(F.sum("_own").alias("_all"))
-    weight = sizes.join(total, zone).select(zone, "label", (F.col("_all") / F.col("_own")).alias("weight"))
-    x = F.transform("stations", lambda s: F.coalesce(F.element_at("_m", s).cast("double"), F.lit(0.0)))
-    return wide.join(ids, zone).withColumn("x", x).drop("_m").join(weight, [zone, "label"]).withColumnRenamed(date, "date")
+    weight = sizes.withColumn("weight", F.sum("_own").over(Window.partitionBy(zone)) / F.col("_own")).drop("_own")
+    missing = F.transform(F.array_except("stations", "_s"), lambda s: F.struct(s.alias("s"), F.lit(0.0).alias("v")))
+    whole = F.concat(F.arrays_zip(F.col("_s").alias("s"), F.col("_v").alias("v")), missing)
+    x = F.when(F.size("_s") == F.size("stations"), F.col("_v")).otherwise(F.transform(F.sort_array(whole), lambda p: p["v"]))
+    rows = wide.join(F.broadcast(ids) if few else ids, zone).join(F.broadcast(weight) if few else weight, [zone, "label"])
+    return rows.select(zone, "label", "date", "stations", x.alias("x"), "weight")
+
+
+#: Days of a zone that one task takes in a round of boosting. Every task adds a histogram of each station, so few days a task would make
+#: more histograms than there are values.
+DAYS_A_TASK = 2048
 
 
 def trees_by_zone(matrix: DataFrame, zone: str, rounds: int = 10, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Boosted trees of each zone on its station matrix: in-sample scores, and the importance of each station.
 
-    Zones are a short list; each is fitted as a job of its own on its own partition, and zones without both classes are left out.
+    Zones are a short list; each is fitted as a job of its own on its own partition, by as many tasks as its days ask for, and zones without
+    both classes are left out.
     """
     spark = matrix.sparkSession
     path = work_path(spark, "matrix")
-    matrix.select(zone, "label", "weight", "x", "stations").write.partitionBy(zone).parquet(path)
-    table = spark.read.parquet(path).withColumn("features", array_to_vector("x"))
-    zones = [r[0] for r in table.groupBy(zone).agg(F.count_distinct("label").alias("n")).where("n = 2").orderBy(zone).collect()]
-
-    def one(z):
-        rows = table.where(F.col(zone) == F.lit(z))
+    known = matrix.groupBy(zone).agg(F.count_distinct("label").alias("n"), F.count("*").alias("days"), F.any_value("stations").alias("stations")).collect()
+    tasks = max((-(-r["days"] // DAYS_A_TASK) for r in known), default=1)
+    part = F.pmod(F.xxhash64("date"), F.lit(tasks))
+    matrix.select(zone, "label", "weight", "x", part.alias("_part")).repartition(max(1, len(known) * tasks), zone, "_part").drop("_part").write.partitionBy(zone).parquet(path)
+    table = spark.read.schema(matrix.select("label", "weight", "x", zone).schema).parquet(path).withColumn("features", array_to_vector("x"))
+
+    def one(r):
+        z = r[zone]
+        rows = table.where(F.col(zone) == F.lit(z)).coalesce(-(-r["days"] // DAYS_A_TASK))
         model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=11).fit(rows)
         c = confusion(predict(model, rows), [], "label", "predicted").first()
-        ids = rows.select("stations").first()[0]
-        return (z, c["tp"], c["fp"], c["tn"], c["fn"]), [(z, s, float(v)) for s, v in zip(ids, model.featureImportances.toArray())]
+        return (z, c["tp"], c["fp"], c["tn"], c["fn"]), [(z, s, float(v)) for s, v in zip(r["stations"], model.featureImportances.toArray())]
 
-    found = in_parallel(one, zones)
+    found = in_parallel(one, sorted((r for r in known if r["n"] == 2 and r[zone] is not None), key=lambda r: r[zone]))
     kind = dict(matrix.dtypes)[zone]
     counts = spark.createDataFrame([c for c, _ in found], f"{zone} {kind}, tp bigint, fp bigint, tn bigint, fn bigint")
     station = matrix.schema["stations"].dataType.elementType.simpleString()

@@ -58,7 +58,7 @@ def _(spark, sf):
 
 
 def stations(spark, sf):
-    return U.station_matrix(D.station_flagged(spark, sf), "zone", "station", "date", "value", "event")
+    return U.station_matrix(D.station_flagged(spark, sf), "zone", "station", "date", "value", "event", D.mapping(spark, sf).count())
 
 
 @query("x33_boosted_trees")

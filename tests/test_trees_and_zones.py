@@ -176,6 +176,21 @@ def test_station_matrix_and_importances(spark):
     assert w[12] < 0.9
 
 
+def test_station_matrix_of_many_stations(spark):
+    n = 1500
+    cells = spark.range(n * 6).select((F.col("id") % n).alias("station"), (F.col("id") / n).cast("int").alias("date"))
+    cells = cells.where("NOT (date = 2 AND station % 3 = 1) AND NOT (date = 4 AND station <> 7)")
+    days = cells.select(F.lit(1).alias("zone"), "station", "date", (F.col("station") + F.col("date") / 8).alias("value"), (F.col("date") % 2).alias("event"))
+    twice = days.union(days.withColumn("value", F.col("value") - 1))
+    matrix = tuning.station_matrix(twice, "zone", "station", "date", "value", "event", n)
+    assert "element_at" not in matrix._jdf.queryExecution().optimizedPlan().toString()  # looks a map through from its start
+    got = {r["date"]: r for r in matrix.collect()}
+    assert set(got) == set(range(6)) and all(r["stations"] == list(range(n)) for r in got.values())
+    assert got[0]["x"] == [float(s) for s in range(n)] and got[4]["x"] == [7.5 if s == 7 else 0.0 for s in range(n)]
+    assert got[2]["x"] == [0.0 if s % 3 == 1 else s + 0.25 for s in range(n)]
+    assert {r["weight"] for r in got.values()} == {2.0}
+
+
 # zone cover --------------------------------------------------------------------------------------------------------------
 
 def wavy(n, cx, cy, r):
