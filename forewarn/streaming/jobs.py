@@ -84,7 +84,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class PeakRanges(StatefulProcessor):
-    """Of each station the last decided exceedance, the exceedances that wait, and a timer at the end of each waiting day."""
+    """Of each station the last decided exceedance, the exceedances that wait, and a timer at the end of the first waiting day."""
 
     def __init__(self, day_range: int):
         self.day_range = day_range
@@ -99,18 +99,17 @@ class PeakRanges(StatefulProcessor):
         new = {int(d) for pdf in rows for d in pdf.loc[pdf["exceeds"] == 1, "day"]} - known
         if new:
             self.waiting.appendList([(d,) for d in sorted(new)])
-            for d in new:
-                self.handle.registerTimer((d + 1) * DAY_MS)
-        yield self.settled(key, timerValues.getCurrentWatermarkInMs())
+        # a station that waited already has a timer; an earlier day needs one of its own
+        yield self.settled(key, timerValues.getCurrentWatermarkInMs(), sorted(known | new), min(known, default=None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.settled(key, timerValues.getCurrentWatermarkInMs())
+        yield self.settled(key, timerValues.getCurrentWatermarkInMs(), sorted(d for (d,) in self.waiting.get()), None)
 
-    def settled(self, key, now: int) -> pd.DataFrame:
-        """Decide the waiting days that have ended, in order."""
-        days = sorted(d for (d,) in self.waiting.get())
+    def settled(self, key, now: int, days: list[int], timed: int | None) -> pd.DataFrame:
+        """Decide the waiting days that have ended, in order; a timer wakes the station at the end of the first day left, unless it
+        is ``timed`` already."""
         ended = [d for d in days if (d + 1) * DAY_MS <= now]
-        last = self.last.get()[0] if self.last.exists() else None
+        last = self.last.get()[0] if ended and self.last.exists() else None
         fired = []
         for d in ended:
             if last is None or d - last > self.day_range:
@@ -123,6 +122,8 @@ class PeakRanges(StatefulProcessor):
                 self.waiting.put(left)
             else:
                 self.waiting.clear()
+        if len(ended) < len(days) and days[len(ended)] != timed:
+            self.handle.registerTimer((days[len(ended)] + 1) * DAY_MS)
         return pd.DataFrame({"station": [int(key[0])] * len(fired), "day": fired})
 
     def close(self) -> None:
@@ -137,13 +138,16 @@ def live_triggers(stream: DataFrame, key: str, ts: str, exceeds: str, day_range:
     decided once the watermark has passed its end: until then it waits in a list of the station's state, next to the last decided
     exceedance, and an event-time timer wakes the station. Whatever comes at most ``late`` behind the newest row may
     come in any order and in any batches; later rows are dropped by Spark. The state of a station is bounded by the
-    days within ``late``, and lies in RocksDB, which the session is set to (typed state needs it).
+    days within ``late``, and lies in RocksDB, which the session is set to (typed state needs it). Rows that do not exceed move the
+    watermark and go no further; of a station's waiting days one timer at a time is kept.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark(ts, late).select(
         F.col(key).cast("bigint").alias("station"), F.col(ts).alias("_ts"),
         F.unix_date(F.to_date(ts)).cast("bigint").alias("day"), F.col(exceeds).alias("exceeds"))
+    # names the event time, so that it stays behind the watermark, which all rows move
+    rows = rows.where(F.when(F.col("_ts").isNotNull(), F.col("exceeds")) == 1)
     fired = rows.groupBy("station").transformWithStateInPandas(
         PeakRanges(day_range), "station bigint, day bigint", "Append", "EventTime")
     return fired.select("station", F.date_from_unix_date(F.col("day").cast("int")).alias("date"))

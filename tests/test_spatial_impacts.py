@@ -207,6 +207,69 @@ def test_ingest_resumes_and_live_triggers_ignore_order(spark):
     assert found[0] == found[1] == found[2] == [(1, 0), (1, 5), (1, 11), (1, 20), (1, 30), (1, 40), (2, 1)]
 
 
+def test_live_triggers_keep_one_timer_for_a_station():
+    import pandas as pd
+    from forewarn.streaming import jobs
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            return list(self.rows)
+
+        def exists(self):
+            return bool(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def update(self, row):
+            self.rows = row
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getValueState(self, *_):
+            return State()
+
+        def getListState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, day):
+            self.day = day
+
+        def getCurrentWatermarkInMs(self):
+            return self.day * jobs.DAY_MS
+
+    p, handle = jobs.PeakRanges(3), Handle()
+    p.init(handle)
+
+    def come(days, now):
+        rows = pd.DataFrame({"day": days, "exceeds": [1] * len(days)})
+        return [d for t in p.handleInputRows((1,), iter([rows]), Now(now)) for d in t["day"]]
+
+    def wake(now):
+        return [d for t in p.handleExpiredTimer((1,), Now(now), None) for d in t["day"]]
+
+    assert come(list(range(10, 40)), 0) == [] and handle.timers == [11 * jobs.DAY_MS]
+    assert come([50, 60], 0) == [] and len(handle.timers) == 1
+    assert come([5], 0) == [] and handle.timers[1:] == [6 * jobs.DAY_MS]  # an earlier day wakes earlier
+    assert wake(30) == [5, 10] and handle.timers[2:] == [31 * jobs.DAY_MS]
+    assert wake(61) == [50, 60] and len(handle.timers) == 3
+
+
 def test_live_triggers_go_on_after_a_restart(spark):
     """Days that waited in the state of a query that ended are decided by the next one, as if it had never ended."""
     from forewarn.streaming import jobs
