@@ -161,7 +161,9 @@ def trees_by_zone(matrix: DataFrame, zone: str, rounds: int = 10, depth: int = 3
     known = matrix.groupBy(zone).agg(F.count_distinct("label").alias("n"), F.count("*").alias("days"), F.any_value("stations").alias("stations")).collect()
     tasks = max((-(-r["days"] // DAYS_A_TASK) for r in known), default=1)
     part = F.pmod(F.xxhash64("date"), F.lit(tasks))
-    matrix.select(zone, "label", "weight", "x", part.alias("_part")).repartition(max(1, len(known) * tasks), zone, "_part").drop("_part").write.partitionBy(zone).parquet(path)
+    dealt = matrix.select(zone, "date", "label", "weight", "x", part.alias("_part")).repartition(max(1, len(known) * tasks), zone, "_part")
+    # days in order: equal gains are told apart by rounding, which follows the order of the rows
+    dealt.sortWithinPartitions(zone, "date").drop("_part", "date").write.partitionBy(zone).parquet(path)
     table = spark.read.schema(matrix.select("label", "weight", "x", zone).schema).parquet(path).withColumn("features", array_to_vector("x"))
 
     def one(r):
