@@ -14,7 +14,8 @@ from ..operators import skill as K
 from ..operators import spatial as G
 from ..operators import triggers as X
 from ..operators.indices import z_score
-from ..operators.series import filled_with_marks
+from ..operators.joining import join_dimension
+from ..operators.series import filled_with_marks, spread
 from ..operators.windows import along
 from ..sources.writers import upsert
 
@@ -23,8 +24,10 @@ def flagged_stations(hazard: DataFrame, mapping: DataFrame, events: DataFrame,
                      zero: list[str] | None = None) -> DataFrame:
     """Dense station series with the 0/1 event flag of the station's zone."""
     days = events.select("zone", "date").distinct()
-    marks = days.join(mapping.select("station", "zone"), "zone").select("station", "date")
-    filled = filled_with_marks(hazard, marks, ["station"], "value", zero or [], n_series=mapping.count())
+    n = mapping.count()
+    # each station takes the days of its zone where it lies, else a few tasks would make the marks of all
+    marks = join_dimension(spread(mapping.select("station", "zone"), ["station"], n), days, ["zone"]).select("station", "date")
+    filled = filled_with_marks(hazard, marks, ["station"], "value", zero or [], n_series=n)
     return filled.join(mapping.select("station", "zone"), "station")
 
 
